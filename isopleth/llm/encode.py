@@ -2,7 +2,7 @@
 
 Both supported vocabularies cut a text into pre-tokens that are merged
 independently.  The encoder cuts with an equivalent pattern, looks each
-pre-token up in a memo of bounded size and asks the library only for those not
+pre-token up in a memo of bounded size and has the library merge only those not
 seen yet.  Texts with characters for which the cutting could differ (anything
 but common Latin text), or with the text of a special token, go whole to the
 library.  Results are those of the library in every case.
@@ -13,6 +13,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -36,10 +38,31 @@ def sure(text: str) -> bool:
     return _UNSURE.search(text) is None
 
 
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class Memo(dict):
+    """A look-up of bounded size that makes what it lacks."""
+
+    def __init__(self, make: Callable[[str], object], entries: int):
+        super().__init__()
+        self.make, self.entries = make, entries
+
+    def __missing__(self, key: str):
+        if len(self) >= self.entries:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class MemoEncoder:
     """Ids of whole texts as bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, entries: int = 500_000):
+    def __init__(self, path: str, entries: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -52,8 +75,12 @@ class MemoEncoder:
             self.kind = "byte"
         elif pre.get("type") == "Sequence" and [x["type"] for x in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
             self.kind = "word"
-        self.entries = entries
-        self.memo: dict[str, bytes] = {}
+        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
+        self.memo = Memo(lambda word: b"".join([struct.pack("<I", t.id) for t in self.merge(word)]), entries)
+
+    def merge(self, word: str) -> list:
+        """Tokens of one pre-token: the merges alone, without cutting."""
+        return self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
 
     def library(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -63,7 +90,7 @@ class MemoEncoder:
         """One byte string for each text; a null text counts as empty."""
         if self.kind is None:
             return self.library([t or "" for t in texts])
-        find, lower = _PATTERNS[self.kind].findall, self.kind == "word"
+        find, lower, get = _PATTERNS[self.kind].findall, self.kind == "word", self.memo.__getitem__
         out: list[bytes] = []
         for t in texts:
             if not t:
@@ -71,23 +98,9 @@ class MemoEncoder:
             elif not sure(t):
                 out += self.library([t])
             else:
-                out.append(self._joined(find(t.lower() if lower else t)))
+                out.append(b"".join(map(get, find(t.lower() if lower else t))))
         return out
 
-    def _joined(self, words: list[str]) -> bytes:
-        get = self.memo.__getitem__
-        try:
-            return b"".join(map(get, words))
-        except KeyError:
-            pass
-        if len(self.memo) > self.entries:
-            self.memo.clear()
-        missing = list({w for w in words if w not in self.memo})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            self.memo.update(zip(part, self.library(part), strict=True))
-        return b"".join(map(get, words))
-
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> MemoEncoder:
