@@ -82,17 +82,15 @@ def lookup_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, hot:
     ``weight`` is the number of left rows of each key.  Keys with at least
     1/``hot`` of all rows number ``hot`` at most, so that their part of ``right``
     has a proven bound and is broadcast; every other key is small enough for a
-    shuffle.  A null key finds nothing.  ``right`` should be materialised.
+    shuffle.  A null key finds nothing and is not shuffled.  ``right`` should be
+    materialised.
     """
     total = right.agg(F.sum(weight)).first()[0] or 0
     least = max(2, total // hot)
     rest = right.where(F.col(weight) < least).drop(weight)
-    heavy = right.where(F.col(weight) >= least).drop(weight)
-    if not heavy.take(1):
-        return left.join(rest, key, "left")
-    heavy = heavy.withColumn("_heavy", F.lit(True))
+    heavy = right.where(F.col(weight) >= least).drop(weight).withColumn("_heavy", F.lit(True))
     both = left.join(F.broadcast(heavy), key, "left")
     names = [c for c in rest.columns if c != key]
-    done = both.where("_heavy").drop("_heavy")
-    other = both.where("_heavy is null").drop("_heavy", *names).join(rest, key, "left")
+    done = both.where(F.col("_heavy") | F.col(key).isNull()).drop("_heavy")
+    other = both.where(F.col("_heavy").isNull() & F.col(key).isNotNull()).drop("_heavy", *names).join(rest, key, "left")
     return done.unionByName(other)

@@ -6,15 +6,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, sharding, token_files
+from ..session import ship_package
+from . import decontaminate, language_id, packing, sharding, token_counts, token_files, url_filter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,7 +32,77 @@ def op3_pack_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), WORD_BPE, keep=False)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A list for the synthetic pages: their hosts, the domains above and the first
+    path segments, some of them listed, delisted and listed again on days that
+    follow from a hash of the key."""
+    keys = pages.select(F.explode(url_filter.keys_of(F.col("url"))).alias("key")).where(r"key rlike '^d:.*[.]|^u:[^/]*/[^/]*$'").distinct()
+    number = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("int")
+    dealt = keys.withColumn("h", number).where("h % 3 = 0 or key rlike '[.-](ads|track)'")
+    added = F.date_add(F.lit("2024-01-01").cast("date"), F.col("h") % 200)
+    event = lambda action, days: F.struct(F.lit(action).alias("action"), F.date_add(added, days).alias("day"))
+    dates = F.array(event("add", 0), F.when(F.col("h") % 5 != 0, event("remove", 60)), F.when(F.col("h") % 5 == 1, event("add", 120)))
+    return dealt.select("key", F.explode(F.filter(dates, lambda d: d.isNotNull())).alias("e")).select("key", "e.action", "e.day")
+
+
+def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    return url_filter.filter_urls(pages.withColumn("fetched_on", fetched), dated_list(pages))
+
+
+OP7_SQL = r"""
+WITH parts AS (
+  SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
+         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS segs
+  FROM pages),
+keyed AS (
+  SELECT page_id, url, fetched_on, unnest(list_distinct(list_concat(
+           list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.')),
+           list_transform(range(1, len(segs) + 1), lambda i: 'u:' || host || '/' || array_to_string(segs[1:i], '/'))))) AS key
+  FROM parts WHERE host <> ''),
+dealt AS (
+  SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS INTEGER) AS h FROM (SELECT DISTINCT key FROM keyed)
+  WHERE regexp_matches(key, '^d:.*[.]|^u:[^/]*/[^/]*$')),
+spans AS (
+  SELECT key, DATE '2024-01-01' + h % 200 AS since, CASE WHEN h % 5 <> 0 THEN DATE '2024-01-01' + h % 200 + 60 ELSE DATE '9999-01-01' END AS until
+  FROM dealt WHERE h % 3 = 0 OR regexp_matches(key, '[.-](ads|track)')
+  UNION ALL
+  SELECT key, DATE '2024-01-01' + h % 200 + 120, DATE '9999-01-01' FROM dealt WHERE h % 5 = 1 AND (h % 3 = 0 OR regexp_matches(key, '[.-](ads|track)'))),
+best AS (
+  SELECT page_id, url, fetched_on, count(*) AS n_active, arg_max(key, (length(key), key)) AS matched, arg_max(since, (length(key), key)) AS listed_since
+  FROM keyed JOIN spans USING (key) WHERE since <= fetched_on AND fetched_on < until GROUP BY ALL)
+SELECT p.page_id, p.url, p.fetched_on, coalesce(n_active, 0) AS n_active, matched, listed_since, n_active IS NOT NULL AS blocked
+FROM parts p LEFT JOIN best b ON p.page_id = b.page_id AND p.url = b.url
+"""
+
+
+def op8_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op2_shard_by_bytes, op3_pack_ordered)
-}
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_token_files, op2_shard_by_bytes, op3_pack_ordered, op5_wu_manber_decontamination, op6_prefix_token_counts,
+        op7_temporal_url_filter, op8_kneser_ney_language, op10_warc_salvage,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op7_temporal_url_filter": OP7_SQL}
