@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_id, packing, sharding, token_counts, token_files, url_filter, warc
+from . import decontaminate, language_id, packing, sharding, simhash, token_counts, token_files, url_filter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +32,10 @@ def op3_pack_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op4_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("spans")
@@ -101,7 +105,7 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_files, op2_shard_by_bytes, op3_pack_ordered, op5_wu_manber_decontamination, op6_prefix_token_counts,
+        op1_token_files, op2_shard_by_bytes, op3_pack_ordered, op4_gray_simhash, op5_wu_manber_decontamination, op6_prefix_token_counts,
         op7_temporal_url_filter, op8_kneser_ney_language, op10_warc_salvage,
     )
 }
