@@ -229,3 +229,11 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
         F.col("_doc").alias("doc_id"), held_out(F.col("_doc")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"),
         F.col("_entropy").alias("cross_entropy"), F.col("_rejected").alias("rejected"), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)),
     )
+
+
+def keep_identified(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents that are not rejected, with all their columns."""
+    names = [f"k_{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)), *(docs[f"`{c}`"].alias(c) for c in ("doc_id", "text")))
+    found = identify(plain, model, keep=names).where("not rejected")
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_id, packing, sharding, simhash, token_counts, token_files, url_filter, warc
+from . import decontaminate, language_id, packing, rp_forest, sharding, simhash, token_counts, token_files, url_filter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -97,6 +97,10 @@ def op8_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op9_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -106,7 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_shard_by_bytes, op3_pack_ordered, op4_gray_simhash, op5_wu_manber_decontamination, op6_prefix_token_counts,
-        op7_temporal_url_filter, op8_kneser_ney_language, op10_warc_salvage,
+        op7_temporal_url_filter, op8_kneser_ney_language, op9_rp_forest, op10_warc_salvage,
     )
 }
 ORACLE_SQL: dict[str, str] = {"op7_temporal_url_filter": OP7_SQL}
