@@ -66,9 +66,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def partitions_for(df: DataFrame, mb: int = 16, most: int = 20_000) -> int:
-    """Partitions of about ``mb`` MB of stored input, two per core at least."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return max(2 * cores, min(most, math.ceil(input_bytes(df) / (mb << 20))))
+    """Partitions of about ``mb`` MB of stored input, two per core at least; those of
+    the session's shuffles if Catalyst does not know the size."""
+    spark, size = df.sparkSession, input_bytes(df)
+    if size >= 1 << 58:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(2 * spark.sparkContext.defaultParallelism, min(most, math.ceil(size / (mb << 20))))
 
 
 def columns(df: DataFrame, *names: str) -> list[Column]:
@@ -76,6 +79,14 @@ def columns(df: DataFrame, *names: str) -> list[Column]:
     return [df[f"`{n}`"] for n in names]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def lookup_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = 2000) -> DataFrame:
     """Left join to a table with one row a key, safe when one key holds many rows.
 

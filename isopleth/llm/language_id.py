@@ -4,7 +4,8 @@ A text is scored word by word (a word is a maximal run of letters, between
 boundary marks), so the cost of a word is known once and kept in a bounded memo.
 Each order's n-grams of all languages lie in one sorted array of 64-bit hashes;
 beside it stand, a column a language, the discounted probability of the n-gram
-and the weight that its context gives to the next lower order.  The language
+and the weight that its context gives to the next lower order.  A context that
+the word's beginning cuts short stands for itself at every order above.  The language
 with the lowest cross-entropy a character wins; a text whose cross-entropy is
 beyond what held-back training texts show is rejected.
 
@@ -37,7 +38,12 @@ _BASE, _MIX = 0xD6E8FEB86659FD93, np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Maximal runs of letters, in lower case."""
+    found = _WORD.findall(text.lower()) if text else []
+    if "".join(found).isalpha():
+        return found
+    # the pattern also takes numerals such as superscripts and fractions
+    return "".join([c if c.isalpha() else " " for w in found for c in (*w, " ")]).split()
 
 
 def held_out(doc_id: Column) -> Column:
@@ -55,7 +61,7 @@ def _hashes(some: list[str], lags: range, shift: int) -> list[np.ndarray]:
     out = [h[inside]]
     with np.errstate(over="ignore"):
         for k in lags:
-            back = np.concatenate([np.zeros(k, np.uint64), codes[: len(codes) - k]])
+            back = np.concatenate([np.zeros(k, np.uint64), codes])[: len(codes)]
             h = h + np.where(place >= k, (back + np.uint64(1)) * np.uint64(pow(_BASE, k + 1, 2**64)), np.uint64(0))
             out.append(((h ^ (h >> np.uint64(shift))) * _MIX)[inside])
     return out
@@ -196,8 +202,11 @@ def train(docs: DataFrame, train: int = TRAIN, calibration: int = CALIBRATE, siz
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), lang.alias("lang")).where("text is not null and lang is not null and doc_id is not null")
     size = F.octet_length("text")
     fit_rows = rows.where(~held_out(F.col("doc_id")) & size.between(*sizes))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = fit_rows.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= train + calibration)
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
+    # first within 64 parts of each language, so that no task sees all rows of one
+    parts = fit_rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
+    few = parts.withColumn("rank", least("lang", "part")).where(F.col("rank") <= train + calibration)
+    chosen = few.withColumn("rank", least("lang")).where(F.col("rank") <= train + calibration).select("doc_id", "lang", "rank")
     # at most train + calibration rows a language
     chosen = F.broadcast(chosen.dropDuplicates(["doc_id", "lang"]))
     some = fit_rows.join(chosen, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("lang", "rank", "text").collect()

@@ -32,6 +32,8 @@ from ._shared import columns, lookup_skewed, materialize
 
 #: Vectors that the trees are fitted on, at most twice so many.
 SAMPLE = 20_000
+#: Vectors of the sample whose exact neighbours set the number of leaves to visit.
+PROBES = 128
 FOUND = pa.schema([("query", pa.int64()), ("class", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
 
 
@@ -92,6 +94,37 @@ def fit(sample: np.ndarray, trees: int, depth: int, tries: int = 16, seed: int =
     return Forest(planes, cuts, depth)
 
 
+def leaf_costs(forest: Forest, x: np.ndarray) -> np.ndarray:
+    """(row, tree, leaf): the squared margins crossed on the way, by which the queue
+    orders leaves."""
+    cost = np.zeros((len(x), len(forest.planes), 1))
+    for level in range(forest.depth):
+        at = slice(2**level - 1, 2 ** (level + 1) - 1)
+        margin = np.einsum("ij,tnj->itn", x, forest.planes[:, at]) - forest.cuts[:, at]
+        right = margin > 0
+        both = np.stack([cost + np.where(right, margin**2, 0), cost + np.where(right, 0, margin**2)], axis=3)
+        cost = both.reshape(*cost.shape[:2], -1)
+    return cost
+
+
+def calibrate(forest: Forest, sample: np.ndarray, k: int, target: float) -> float:
+    """The part of one tree's leaves (all trees have ``len(planes)`` such parts) that
+    must be visited to reach ``target`` of the ``k`` nearest within the sample."""
+    n, leaves = len(sample), 2**forest.depth
+    if n < 2:
+        return float(len(forest.planes))
+    of = forest.route(sample)
+    places = []
+    for i in np.unique(np.linspace(0, n - 1, min(PROBES, n)).astype(int)):
+        near = ((sample - sample[i]) ** 2).sum(1)
+        near[i] = np.inf
+        best = np.argpartition(near, min(k, n - 1) - 1)[: min(k, n - 1)]
+        cost = leaf_costs(forest, sample[i : i + 1])[0]
+        nth = np.searchsorted(np.sort(cost.ravel()), cost[np.arange(len(of))[:, None], of[:, best]], "right")
+        places.append(nth.min(0))
+    return float(np.quantile(np.concatenate(places), target, method="higher")) / leaves
+
+
 def _classes(vectors: DataFrame, keep: int) -> DataFrame:
     """class, vec, ids (the ``keep`` smallest) and first of all distinct usable vectors."""
     vec_id, raw = columns(vectors, "vec_id", "embedding")
@@ -108,12 +141,8 @@ def _classes(vectors: DataFrame, keep: int) -> DataFrame:
     return rows, materialize(groups.select(F.monotonically_increasing_id().alias("class"), "vec", "ids", F.col("ids")[0].alias("first")), "classes")
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 6, leaf_rows: int = 64, share: float = 1.2, bucket_rows: int = 20_000) -> DataFrame:
-    """query_id, rank, vec_id, score for the queries whose id is divisible by ``every``.
-
-    ``share`` of the rows, counted as often as trees yield them, is what each
-    query's leaves hold.
-    """
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 6, leaf_rows: int = 64, target: float = 0.96, bucket_rows: int = 20_000, block_queries: int = 20_000) -> DataFrame:
+    """query_id, rank, vec_id, score for the queries whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows, classes = _classes(vectors, k + 1)
     queries = rows.where(F.col("vec_id") % every == 0)
@@ -128,9 +157,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 6, l
         sample = np.asarray(classes.select("vec").first()["vec"])[None]
     leaf = max(leaf_rows, 4 * n // max(1, len(sample)))
     depth = max(0, round(math.log2(max(1, n / leaf))))
-    shared = spark.sparkContext.broadcast(fit(sample, trees, depth))  # SAMPLE bounds it
+    forest = fit(sample, trees, depth)
     leaves = 2**depth
-    visits = max(1, math.ceil(share * leaves))
+    visits = max(1, math.ceil(calibrate(forest, sample, k, target) * leaves))
+    shared = spark.sparkContext.broadcast(forest)  # SAMPLE bounds it
+    blocks = max(1, -(-asked.count() // block_queries))
     per_bucket = max(1, bucket_rows * leaves // max(1, n))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +212,11 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 6, l
         return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
 
     index = classes.select("class", "vec", "first").mapInArrow(routed, "bucket long, leaf long, class long, first long, raw binary")
+    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     wanted = asked.join(classes, "vec").select("class", "vec")
     probes = wanted.mapInArrow(probing, "bucket long, query long, leaves array<long>, raw binary")
-    found = probes.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInArrow(lambda p, i: rank(i, p), "query long, class long, first long, score double").distinct()
+    probes = probes.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
+    found = probes.groupBy("bucket", "block").cogroup(index.groupBy("bucket", "block")).applyInArrow(lambda p, i: rank(i, p), "query long, class long, first long, score double").distinct()
     near = Window.partitionBy("query").orderBy("score", "first")
     best = found.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1)
     pairs = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))

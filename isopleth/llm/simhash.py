@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import gray_index
-from ._shared import columns, lookup_skewed, materialize, partitions_for
+from ._shared import columns, fresh, lookup_skewed, materialize, partitions_for
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -98,37 +98,71 @@ def _edges_of_batch(key: np.ndarray, value: np.ndarray, most: int) -> tuple[np.n
     return value[linked], value[labels[linked]]
 
 
-def links(prints: DataFrame, most: int = 4) -> DataFrame:
-    """Edges (a, b) that connect the distinct ``print`` values as all links within
-    ``most`` bits do; fewer than one an input row and key."""
-    dealt = prints.select("print", F.explode(_keys(most)).alias("key"))
-    spark = prints.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(prints, 1))
+def _linked(dealt: DataFrame, most: int, n: int, hot: int) -> DataFrame:
+    """Edges (a, b) within equal ``key`` columns; a key of more than ``hot`` rows leaves
+    its rows instead, as (its print, null, its key)."""
+    keys = [c for c in dealt.columns if c != "print"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        rows, over = 0, None
 
         def edges(key, value):
             a, b = _edges_of_batch(key, value, most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+
+        def passed(key, value):
+            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.nulls(len(value), pa.int64()), pa.array(key)], ["a", "b", "key"])
 
         for batch in batches:
-            key, value = batch.column(1).to_numpy(), batch.column(0).to_numpy().view(np.uint64)
+            value, key = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            if over is not None:  # the rest of a key that was given up
+                cut = int(np.searchsorted(key, over, "right"))
+                if cut:
+                    yield passed(key[:cut], value[:cut])
+                key, value = key[cut:], value[cut:]
             if not len(key):
                 continue
+            over = None
             held.append((key, value))
-            if key[0] == key[-1] == held[0][0][-1]:
+            rows += len(key)
+            if key[0] == key[-1] == held[0][0][-1] and rows <= hot:
                 continue  # a long run goes on
             key, value = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
                 yield edges(key[:cut], value[:cut])
-            held = [(key[cut:], value[cut:])]
+            held, rows = [(key[cut:], value[cut:])], len(key) - cut
+            if rows > hot:
+                over = key[-1]
+                yield passed(*held[0])
+                held, rows = [], 0
         if held:
             yield edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    found = dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    return found.distinct()
+    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, key long")
+
+
+def links(prints: DataFrame, most: int = 4, hot: int = 1 << 18) -> DataFrame:
+    """Edges (a, b) that connect the distinct ``print`` values as all links within
+    ``most`` bits do; fewer than one an input row and key.
+
+    A key of more than ``hot`` prints is cut into parts, and each pair of parts is
+    searched by itself, so that no task holds more than twice ``hot`` of them.
+    """
+    spark = prints.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(prints, 1))
+    found = materialize(_linked(prints.select("print", F.explode(_keys(most)).alias("key")), most, n, hot), "links")
+    edges, large = found.where("key is null").select("a", "b"), found.where("key is not null").select(F.col("a").alias("print"), "key")
+    if large.take(1):
+        parts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / hot).alias("_parts"))
+        # a key here has more than ``hot`` rows: few keys
+        cut = large.join(F.broadcast(parts), "key").withColumn("_own", F.pmod(F.xxhash64("print"), F.col("_parts")))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+        pairs = cut.select("print", "key", "_own", other.alias("_other"))
+        pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
+        edges = edges.unionByName(_linked(pairs.select("print", pair.alias("key")), most, n, 1 << 62).select("a", "b"))
+    return edges.distinct()
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -173,12 +207,12 @@ def deduplicate(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     only if no document of their group has one.
     """
     doc_id = columns(docs, "doc_id")[0]
+    gone_id, twice_id = fresh(docs, "_gone"), fresh(docs, "_twice")
     found = materialize(near_duplicates(docs, shingle, most), "dedup")
-    gone = found.where("doc_id != component_id or (doc_id is null and component_id is not null)").select("doc_id").distinct()
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    rest = docs.join(gone.withColumnRenamed("doc_id", "_gone"), doc_id.eqNullSafe(F.col("_gone")), "left_anti")
+    gone = found.where("doc_id != component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias(gone_id)).distinct()
+    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(twice_id)).count().where("count > 1").select(twice_id)
+    rest = docs.join(gone, doc_id.eqNullSafe(F.col(gone_id)), "left_anti")
     if not twice.take(1):
         return rest
-    repeated = twice.select(F.col("doc_id").alias("_twice"))
-    single = rest.join(repeated, doc_id == F.col("_twice"), "left_anti")
-    return single.unionByName(rest.join(repeated, doc_id == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"]))
+    single = rest.join(twice, doc_id == F.col(twice_id), "left_anti")
+    return single.unionByName(rest.join(twice, doc_id == F.col(twice_id), "left_semi").dropDuplicates(["doc_id"]))

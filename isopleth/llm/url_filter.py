@@ -10,7 +10,7 @@ captures by the history of a key.
 Cases: a capture with a null or unusable URL or a null time is not blocked; list
 entries with a null key or time are void; of entries with one key and time a
 removal wins; repeated captures are kept; an empty list blocks nothing; other
-columns of ``captures`` ride along.
+columns of ``captures`` ride along, but those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ._shared import columns, lookup_skewed, materialize
 
 STRETCH = 32
+RESULTS = ("n_active", "matched", "listed_since", "blocked")
 _END = 2**31 - 1
 
 
@@ -53,10 +54,12 @@ def validity(entries: DataFrame) -> DataFrame:
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on", broadcast_keys: int = 50_000) -> DataFrame:
     """``captures`` with n_active, matched (the longest active key), listed_since and blocked."""
     link, when = columns(captures, url, fetched)
-    seen = captures.withColumn("_at", F.concat_ws(" ", F.unix_date(when.cast("date")).cast("string"), link))
-    seen = seen.withColumn("_at", F.when(link.isNotNull() & when.isNotNull(), F.col("_at")))
+    own = [c for c in captures.columns if c.lower() not in RESULTS]
+    day = F.unix_date(when.cast("date"))
+    at = F.when(link.isNotNull() & day.isNotNull(), F.concat_ws(" ", day.cast("string"), link))
+    seen = captures.select(*(captures[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(own)), at.alias("_at"), link.alias("_url"), day.alias("_day"))
     # one row a distinct question
-    asked = seen.where("_at is not null").groupBy("_at").agg(F.first(link).alias("_url"), F.first(F.unix_date(when.cast("date"))).alias("_day"), F.count("*").alias("_copies"))
+    asked = seen.where("_at is not null").groupBy("_at").agg(F.first("_url").alias("_url"), F.first("_day").alias("_day"), F.count("*").alias("_copies"))
     keyed = asked.select("_at", "_day", "_copies", F.explode(keys_of(F.col("_url"))).alias("key")).withColumn("stretch", F.floor(F.col("_day") / STRETCH).cast("int"))
 
     ends = asked.agg(F.min("_day").alias("first"), F.max("_day").alias("last"))  # one row
@@ -77,4 +80,5 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     decided = active.groupBy("_at").agg(F.count("*").alias("n_active"), best.alias("best"), F.max("_copies").alias("_copies"))
     decided = decided.select("_at", "n_active", F.col("best.key").alias("matched"), F.date_from_unix_date("best.since").alias("listed_since"), "_copies")
     out = lookup_skewed(seen, materialize(decided, "decided"), "_at", "_copies")
-    return out.drop("_at").withColumns({"n_active": F.coalesce("n_active", F.lit(0)).cast("long"), "blocked": F.col("n_active").isNotNull()})
+    made = [F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), "matched", "listed_since", F.col("n_active").isNotNull().alias("blocked")]
+    return out.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(own)), *made)
