@@ -93,7 +93,7 @@ def deriv_uneven(f: Field, dim: str, order: int = 1, accuracy: int = 2, keepedge
         return pdf.dropna(subset=[value])
 
     slim = f.df.select(*f.dims, f.value)
-    return f.with_df((slim.groupBy(*rest) if rest else slim.groupBy(F.lit(0))).applyInPandas(run, slim.schema), units=units)
+    return f.with_df(slim.groupBy(*rest).applyInPandas(run, slim.schema), units=units)
 
 
 def deriv_half(f: Field, dim: str, order: int = 1) -> Field:

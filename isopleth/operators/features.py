@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..field import Field
 from ..session import ship_package
@@ -91,7 +91,7 @@ def linetrack(found: DataFrame, rest: list[str], axis: str, nmax: int | None = N
     """(rest, axis, track, x0): points of successive rows joined to tracks, greedily."""
     ship_package(found.sparkSession)
     slim = found.select(*rest, axis, F.col(x).alias("x0"))
-    schema = slim.schema.add("track", "int")
+    schema = T.StructType([*slim.schema.fields, T.StructField("track", T.IntegerType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(k, sorted(g["x0"].tolist())) for k, g in pdf.sort_values([axis, "x0"]).groupby(axis)]
@@ -99,6 +99,6 @@ def linetrack(found: DataFrame, rest: list[str], axis: str, nmax: int | None = N
         out = pd.DataFrame([(k, v, t) for (k, _), pairs in zip(rows, linked, strict=True) for t, v in pairs], columns=[axis, "x0", "track"])
         for i, c in enumerate(rest):
             out.insert(i, c, pdf[c].iloc[0])
-        return out
+        return out[[*rest, axis, "x0", "track"]]
 
-    return (slim.groupBy(*rest) if rest else slim.groupBy(F.lit(0))).applyInPandas(run, schema)
+    return slim.groupBy(*rest).applyInPandas(run, schema)

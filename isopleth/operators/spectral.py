@@ -26,7 +26,7 @@ def _grouped(df: DataFrame, rest: Sequence[str], run, fields: str) -> DataFrame:
         return out
 
     schema = f"{heads}, {fields}" if heads else fields
-    return (df.groupBy(*rest) if rest else df.groupBy(F.lit(0))).applyInPandas(keyed, schema)
+    return df.groupBy(*rest).applyInPandas(keyed, schema)
 
 
 def power(f: Field, dim: str, dx: float = 1.0, nperseg: int | None = None, wintype: str | tuple = "boxcar", detrend: str | None = "constant") -> Field:
@@ -62,12 +62,13 @@ def copower(f: Field, g: Field, dim: str, dx: float = 1.0, nperseg: int | None =
 def spectra2d(f: Field, cyclic: str, time: str, g: Field | None = None, dx_lon: float = 1.0, dx_time: float = 1.0, nperseg: int | None = None, wintype: str | tuple = "boxcar", detrend: str | None = "constant") -> DataFrame:
     """(rest, k, f, power), or with a second field (rest, k, f, c, q, p1, p2, coherence, phase)."""
     names = ["power"] if g is None else ["c", "q", "p1", "p2", "coherence", "phase"]
+    inputs = ["_a"] if g is None else ["_a", "_b"]
     df = f.df.select(*f.dims, f.v.alias("_a"))
     if g is not None:
         df = df.join(g.df.select(*g.dims, g.v.alias("_b")), list(f.dims))
 
     def run(pdf):
-        y = [pdf.pivot(index=time, columns=cyclic, values=c).to_numpy(float) for c in ("_a", "_b")[: 1 if g is None else 2]]
+        y = [pdf.pivot(index=time, columns=cyclic, values=c).to_numpy(float) for c in inputs]
         k, freq, values = kernels.spectra2d(dx_lon, dx_time, *y, nperseg=nperseg, wintype=wintype, detrend=detrend)
         kk, ff = np.meshgrid(k, freq)
         return pd.DataFrame({"k": kk.ravel(), "f": ff.ravel(), **{n: v.ravel() for n, v in zip(names, values, strict=True)}})

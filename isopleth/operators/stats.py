@@ -173,7 +173,7 @@ def eof(f: Field, sample: str, component: str, neof: int = 5, weights: DataFrame
             out.append(part)
         return pd.concat(out)[[*rest, keep, "eof", "load", "eval", "pct"]]
 
-    loads = (g.groupBy(*rest) if rest else g.groupBy(F.lit(0))).applyInPandas(run, schema)
+    loads = g.groupBy(*rest).applyInPandas(run, schema)
     value = "pct" if percent else "eval"
     z = f.df.withColumn("_z", f.v - F.avg(f.v).over(Window.partitionBy(*rest, component)))
     if keep == component:

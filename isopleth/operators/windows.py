@@ -71,4 +71,4 @@ def recursive(f: Field, dim: str, b: Sequence[float], a: Sequence[float], n: int
 
     out = f.df.select(*f.dims, f.value)
     rest = f.rest(dim)
-    return f.with_df((out.groupBy(*rest) if rest else out.groupBy(F.lit(0))).applyInPandas(run, schema))
+    return f.with_df(out.groupBy(*rest).applyInPandas(run, schema))

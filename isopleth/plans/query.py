@@ -74,7 +74,7 @@ def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight:
     asked, limits = {**(indexers or {}), **methods}, {}
     for key in list(asked):
         m = _BOUND.match(key)
-        if isinstance(asked.get(key), tuple):
+        if key in f.dims and isinstance(asked[key], tuple):
             limits[key] = asked.pop(key)
         elif m and m[1] in f.dims:
             lo, hi = limits.get(m[1], (None, None))
