@@ -65,7 +65,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def partitions_for(df: DataFrame, mb: int = 16, most: int = 20_000) -> int:
+def partitions_for(df: DataFrame, mb: int = 16, most: int = 200_000) -> int:
     """Partitions of about ``mb`` MB of stored input, two per core at least; those of
     the session's shuffles if Catalyst does not know the size."""
     spark, size = df.sparkSession, input_bytes(df)
