@@ -106,6 +106,28 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+  WHERE text IS NOT NULL AND item_id IS NOT NULL),
+patterns AS (SELECT DISTINCT item_id, m, w[s : s + m - 1] AS p FROM (SELECT item_id, w, least(8, len(w)) AS m, unnest(range(1, len(w) - least(8, len(w)) + 2)) AS s FROM items WHERE len(w) > 0)),
+windows AS (SELECT doc_id, m, s, w[s : s + m - 1] AS p FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM docs CROSS JOIN (SELECT DISTINCT m FROM patterns))),
+hits AS (SELECT DISTINCT doc_id, s, m, item_id FROM windows JOIN patterns USING (m, p)),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS place FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH sized AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+known AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS top FROM sized)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest, CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, nullif(top, page_id) AS refers_to FROM known
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,4 +135,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_temporal_url_filter, op8_kneser_ney_language, op9_rp_forest, op10_warc_salvage,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_temporal_url_filter": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_wu_manber_decontamination": OP5_SQL, "op7_temporal_url_filter": OP7_SQL, "op10_warc_salvage": OP10_SQL}
