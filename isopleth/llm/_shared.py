@@ -74,6 +74,13 @@ def partitions_for(df: DataFrame, mb: int = 16, most: int = 200_000) -> int:
     return max(2 * spark.sparkContext.defaultParallelism, min(most, math.ceil(size / (mb << 20))))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores if it is so small that it may be one row group;
+    larger inputs are split where they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if input_bytes(df) < cores << 20 else df
+
+
 def columns(df: DataFrame, *names: str) -> list[Column]:
     """The named columns, found case-insensitively, whatever else the frame holds."""
     return [df[f"`{n}`"] for n in names]

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import columns, materialize
+from ._shared import columns, materialize, spread
 
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256)
@@ -111,10 +111,10 @@ def contamination(
     """
     kept = keep or []
     doc_id, text = columns(docs, "doc_id", "text")
-    state = docs.select(
+    state = spread(docs.select(
         text.alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<string>").alias("_found"),
         F.array().cast(_SPANS).alias("_spans"), doc_id.cast("long").alias("_doc"), *(docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(kept)),
-    )
+    ))
     blocks = _item_blocks(items, block_items, block_bytes)
     block = next(blocks)
     while block is not None:

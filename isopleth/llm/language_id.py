@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import columns
+from ._shared import columns, spread
 
 TRAIN, CALIBRATE, SIZES, ORDER, DISCOUNT = 400, 100, (200, 20_000), 5, 0.75
 MEMO = 300_000
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None
                 out = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*out, *some.columns[1:]], ["_lang", "_score", "_entropy", "_rejected", *some.schema.names[1:]])
 
-    return slim.mapInArrow(run, schema).select(
+    return spread(slim).mapInArrow(run, schema).select(
         F.col("_doc").alias("doc_id"), held_out(F.col("_doc")).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"),
         F.col("_entropy").alias("cross_entropy"), F.col("_rejected").alias("rejected"), *(F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)),
     )

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import gray_index
-from ._shared import columns, fresh, lookup_skewed, materialize, partitions_for
+from ._shared import columns, fresh, lookup_skewed, materialize, partitions_for, spread
 
 BLOCKS = (11, 11, 11, 11, 10, 10)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     doc_id, text = columns(docs, "doc_id", "text")
     slim = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
-    return materialize(slim.mapInArrow(run, "doc_id long, print long"), "prints")
+    return materialize(spread(slim).mapInArrow(run, "doc_id long, print long"), "prints")
 
 
 def _keys(most: int) -> Column:

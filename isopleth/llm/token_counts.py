@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import columns
+from ._shared import columns, spread
 from .encode import SPACED_WORD, Memo, MemoEncoder, encoder, sure
 
 LONGEST = 256
@@ -138,4 +138,4 @@ def prefix_counts(docs: DataFrame, vocabulary: str, keep: bool = True) -> DataFr
                 )
 
     doc_id, text = columns(docs, "doc_id", "text")
-    return docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, COUNTS)
+    return spread(docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))).mapInArrow(run, COUNTS)
