@@ -9,6 +9,7 @@ from .base import grid, query, rounded, sql_r, users
 
 _MEAN = "m AS (SELECT user_id, t, v - avg(v) OVER (PARTITION BY user_id) AS v FROM users)"
 _W = "WINDOW o AS (PARTITION BY user_id ORDER BY t)"
+STRETCH = 10
 
 
 def _crossings(of: str, level: float = 0.0) -> str:
@@ -83,6 +84,7 @@ def intersection(spark, sf_dir):
 
 @query()
 def linetrack(spark, sf_dir):
-    """A kernel: crossings along t joined to tracks over successive users."""
-    found = feat.find(_demeaned(spark, sf_dir), "t").where("user_id < 40")
-    return rounded(feat.linetrack(found, [], "user_id", sep=3.0))
+    """A kernel: crossings of each user, by their place in successive stretches of
+    ``STRETCH`` points, joined to tracks; a group is one user's series."""
+    found = feat.find(_demeaned(spark, sf_dir), "t").withColumn("stretch", F.floor(F.col("x0") / STRETCH).cast("int"))
+    return rounded(feat.linetrack(found.withColumn("x0", F.col("x0") - F.col("stretch") * STRETCH), ["user_id"], "stretch", sep=3.0))

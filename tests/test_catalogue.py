@@ -1,11 +1,13 @@
 """Every registered query: SQL twins agree exactly, kernels give sound rows."""
 
 import math
+from collections import defaultdict
 
 import duckdb
 import pytest
 
 from isopleth.catalogue import ORACLE_SQL, QUERIES
+from isopleth.operators import kernels
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("supplier", "orders", "lineitem", "events", "embeddings")
@@ -50,3 +52,18 @@ def test_entry(spark):
 def test_no_query_multiplies_scans_or_misses_pruning(spark):
     plan = QUERIES["average_area"](spark, SF)._jdf.queryExecution().toString()
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int,l_quantity:double>" in plan
+
+
+def test_linetrack_takes_every_crossing_of_every_user(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    rows, crossings = QUERIES["linetrack"](spark, sf).collect(), defaultdict(lambda: defaultdict(list))
+    for r in QUERIES["find_zeros"](spark, sf).collect():
+        crossings[r.user_id][int(r.x0 // 10)].append(r.x0 % 10)
+    assert max(crossings) > 40 and len(rows) == sum(len(x) for s in crossings.values() for x in s.values())
+    for user in sorted(crossings)[::10]:
+        stretches = sorted(crossings[user])
+        linked = kernels.link_tracks([sorted(crossings[user][s]) for s in stretches], separation=3.0)
+        want = sorted((s, t, x) for s, pairs in zip(stretches, linked, strict=True) for t, x in pairs)
+        got = sorted((r.stretch, r.track, r.x0) for r in rows if r.user_id == user)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-6)
