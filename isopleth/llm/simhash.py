@@ -51,17 +51,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, materialised."""
+def fingerprints(docs: DataFrame, shingle: int = 4, row: str | None = None) -> DataFrame:
+    """doc_id, the fingerprint as a signed long and the long ``row``, if named, materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(t, shingle) for at in range(0, batch.num_rows, 500) for t in batch.column(1).slice(at, 500).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
 
-    doc_id, text = columns(docs, "doc_id", "text")
-    slim = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
-    return materialize(spread(slim).mapInArrow(run, "doc_id long, print long"), "prints")
+    doc_id, text, *more = columns(docs, "doc_id", "text", *([row] if row else []))
+    slim = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"), *(c.alias("row") for c in more))
+    return materialize(spread(slim).mapInArrow(run, "doc_id long, print long" + ", row long" * len(more)), "prints")
 
 
 def _keys(most: int) -> Column:
@@ -186,33 +186,34 @@ def connect(edges: DataFrame) -> DataFrame:
         now = ends.select(F.greatest("x", "low").alias("a"), F.least("x", "low").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    by_doc = fingerprints(docs, shingle)
-    groups = materialize(by_doc.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("_copies")), "groups")
+def _with_best(by_doc: DataFrame, most: int, best: Column) -> DataFrame:
+    """``by_doc`` and component_id: the minimum ``best`` over the component of a row's
+    print, or null where that print has this row alone and is its own best."""
+    groups = materialize(by_doc.groupBy("print").agg(best.alias("first"), F.count("*").alias("_copies")), "groups")
     roots = connect(links(groups.select("print"), most))
     member = groups.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
     member = materialize(member, "members")
     found = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_prints")).where("_prints > 1")
     known = lookup_skewed(member, materialize(found, "components"), "root", "_prints")
-    known = known.select("print", F.coalesce("component_id", "first").alias("component_id"), "_copies").where("_copies > 1 or component_id != first")
-    out = lookup_skewed(by_doc, materialize(known, "known"), "print", "_copies")
+    known = known.select("print", F.coalesce("component_id", "first").alias("component_id"), "first", "_copies").where("_copies > 1 or not (component_id <=> first)").drop("first")
+    return lookup_skewed(by_doc, materialize(known, "known"), "print", "_copies")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of every document."""
+    out = _with_best(fingerprints(docs, shingle), most, F.min("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """The documents whose doc_id is their component's, with all their columns.
+    """One row of each component, with all its columns: one with the smallest doc_id.
 
-    Of repeated rows with one doc_id one stays; documents without a doc_id stay
-    only if no document of their group has one.
+    Rows are told apart by a number that is written with them, so that a doc_id
+    may be null or stand in several components; a row without one stays only if
+    its component has none.
     """
-    doc_id = columns(docs, "doc_id")[0]
-    gone_id, twice_id = fresh(docs, "_gone"), fresh(docs, "_twice")
-    found = materialize(near_duplicates(docs, shingle, most), "dedup")
-    gone = found.where("doc_id != component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias(gone_id)).distinct()
-    twice = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(twice_id)).count().where("count > 1").select(twice_id)
-    rest = docs.join(gone, doc_id.eqNullSafe(F.col(gone_id)), "left_anti")
-    if not twice.take(1):
-        return rest
-    single = rest.join(twice, doc_id == F.col(twice_id), "left_anti")
-    return single.unionByName(rest.join(twice, doc_id == F.col(twice_id), "left_semi").dropDuplicates(["doc_id"]))
+    row = fresh(docs, "_row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = _with_best(fingerprints(numbered, shingle, row), most, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")))
+    gone = found.where("component_id.row != row").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").drop(row)

@@ -127,6 +127,19 @@ def test_deduplicate_keeps_one_of_repeated_rows(spark):
     assert sorted(r.doc_id for r in out) == [1, 9]
 
 
+def test_deduplicate_keeps_one_row_of_each_component(spark):
+    rng = random.Random(3)
+    a, b, c, d, e, f = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6))
+    near = f.rsplit(" ", 1)[0] + " other"
+    assert 0 < (simhash.fingerprint(f) ^ simhash.fingerprint(near)).bit_count() <= 4
+    rows = [(None, a), (1, a), (None, b), (None, c), (None, c), (5, d), (5, e), (3, e), (7, c[:200]), (7, b[:200]), (9, near), (None, f)]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a), (None, b), (None, c), (5, d), (3, e), (7, c[:200]), (7, b[:200]), (9, near)]
+    assert sorted(map(tuple, out), key=str) == sorted(want, key=str)
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is null").collect()
+    assert sorted(str(r.component_id) for r in found) == ["1", "9", "None", "None", "None"]
+
+
 def test_fingerprints_of_odd_texts():
     for text in (None, "", "  \t", "a", "A b", "é É x y z", "w " * 70_000, "x y " * 40_000 + "end"):
         assert simhash.fingerprint(text) == brute.fingerprint(text)
