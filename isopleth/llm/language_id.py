@@ -10,7 +10,9 @@ with the lowest cross-entropy a character wins; a text whose cross-entropy is
 beyond what held-back training texts show is rejected.
 
 The model is fitted on a bounded sample: of each language at most ``TRAIN`` +
-``CALIBRATE`` texts of ``SIZES`` bytes, those with the smallest hash of doc_id.
+``CALIBRATE`` texts with a letter, those of ``SIZES`` bytes first and then those
+with the smallest hash of doc_id.  Of a text at most ``SIZES[1]`` characters are
+read, so a language's budget is 500 x 20,000 characters.
 
 Cases: a null text or one without a letter gives ``und``, score 0 and is
 rejected; without labelled rows every text is ``und``; ties go to the language
@@ -199,21 +201,24 @@ def calibrate(model: Model, texts: list[tuple[str, str]], slack: float = 1.8) ->
 def train(docs: DataFrame, train: int = TRAIN, calibration: int = CALIBRATE, sizes: tuple[int, int] = SIZES) -> Model | None:
     """Fit on the documents that are not held out and have a language."""
     doc_id, text, lang = columns(docs, "doc_id", "text", "lang")
-    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), lang.alias("lang")).where("text is not null and lang is not null and doc_id is not null")
-    size = F.octet_length("text")
-    fit_rows = rows.where(~held_out(F.col("doc_id")) & size.between(*sizes))
-    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "doc_id"))
+    rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), lang.alias("lang")).where("lang is not null and doc_id is not null")
+    fit_rows = rows.where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).withColumn("outside", ~F.octet_length("text").between(*sizes))
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("outside", "hash", "doc_id"))
     # first within 64 parts of each language, so that no task sees all rows of one
-    parts = fit_rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
+    parts = fit_rows.select("doc_id", "lang", "outside", F.xxhash64("doc_id").alias("hash")).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
     few = parts.withColumn("rank", least("lang", "part")).where(F.col("rank") <= train + calibration)
-    chosen = few.withColumn("rank", least("lang")).where(F.col("rank") <= train + calibration).select("doc_id", "lang", "rank")
+    chosen = few.withColumn("rank", least("lang")).where(F.col("rank") <= train + calibration).select("doc_id", "lang", "outside", "rank")
     # at most train + calibration rows a language
-    chosen = F.broadcast(chosen.dropDuplicates(["doc_id", "lang"]))
-    some = fit_rows.join(chosen, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).select("lang", "rank", "text").collect()
+    chosen = F.broadcast(chosen.groupBy("doc_id", "lang").agg(F.min_by("outside", "rank").alias("outside"), F.min("rank").alias("rank")))
+    found = fit_rows.join(chosen, ["doc_id", "lang", "outside"]).dropDuplicates(["doc_id", "lang"])
+    some = found.select("lang", "rank", "outside", F.substring("text", 1, sizes[1]).alias("text")).collect()
     some.sort(key=lambda r: (r["lang"], r["rank"]))
+    inside = {r["lang"] for r in some if not r["outside"]}
     every = max(2, (train + calibration) // max(1, calibration))
-    model = fit([(r["lang"], r["text"]) for r in some if r["rank"] % every])
-    return calibrate(model, [(r["lang"], r["text"]) for r in some if not r["rank"] % every]) if model else None
+    # limits come from texts of the usual sizes where a language has them
+    held = [not r["rank"] % every and not (r["outside"] and r["lang"] in inside) for r in some]
+    model = fit([(r["lang"], r["text"]) for r, h in zip(some, held, strict=True) if not h])
+    return calibrate(model, [(r["lang"], r["text"]) for r, h in zip(some, held, strict=True) if h]) if model else None
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str] | None = None) -> DataFrame:

@@ -315,3 +315,17 @@ def test_skewed_lookup(spark):
     got = lookup_skewed(left, right, "key", "w", hot=10)
     want = left.join(right.drop("w"), "key", "left").select(*got.columns)
     assert got.count() == 5000 and not got.exceptAll(want).take(1)
+
+
+def test_languages_of_short_or_long_texts_are_learned(spark):
+    rng = random.Random(4)
+    letters = {"long": "abcdef", "mid": "ghijkl", "short": "mnopqr"}
+    text = lambda lang, n: " ".join("".join(rng.choices(letters[lang], k=5)) for _ in range(n))
+    rows = [(i * 3 + j, text(lang, n), lang) for i in range(30) for j, (lang, n) in enumerate((("long", 4000), ("mid", 100), ("short", 12)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == ["long", "mid", "short"]
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()} == {i: lang for i, _, lang in rows}
+    for lang in ("long", "short"):
+        some = docs.where(F.col("lang") == lang)
+        assert language_id.keep_identified(some, language_id.train(some)).count() == 30
