@@ -11,27 +11,35 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _CREATED: list[tuple[SparkSession, str]] = []
+_LOCAL: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; removed when the driver ends.
 
-    The setting names a folder that the driver and all executors share.  Only
-    where it is unset (tests on one machine) is a local folder chosen.
+    The setting names a folder that the driver and all executors share; a path
+    without a scheme lies on Hadoop's default file system.  Only on a local master,
+    where it may be unset (tests), is a local folder chosen.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="isopleth-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if "://" not in path and path.startswith("/"):
-        path = f"file://{path}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="isopleth-")
+    path = qualified(spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
     if not _CREATED:
         atexit.register(_clean)
     _CREATED.append((spark, path))
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority that Hadoop's settings give it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    text = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return text.replace("file:/", "file:///", 1) if text.startswith("file:/") and not text.startswith("file://") else text
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder through Hadoop's file system layer."""
     jvm = spark.sparkContext._jvm

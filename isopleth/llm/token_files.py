@@ -61,11 +61,20 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None] * nulls + names.view(np.int64).tolist(), bounds, ids
 
 
+#: Hadoop's names of file systems that Arrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(path: str) -> str:
+    """``path`` as Arrow's file systems name it."""
+    scheme, colon, rest = path.partition("://")
+    return f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}"
+
+
 def _open(path: str):
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
-    return system, inner
+    return fs.FileSystem.from_uri(arrow_uri(path))
 
 
 def put_file(path: str, data: bytes) -> None:
