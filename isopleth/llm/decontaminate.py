@@ -10,7 +10,7 @@ compared word by word.
 The items are a stated set.  They are collected in blocks of at most
 ``block_items`` ids and ``block_bytes`` of text, so that neither the driver nor
 an executor ever holds more patterns than that; every block is searched over
-all documents.
+all documents, whose texts are written at most once.
 
 Cases: a null, empty or wordless text has no words and no hits; a null or
 wordless item has no windows; an item shorter than a window is one window;
@@ -20,11 +20,14 @@ repeated documents are kept; other columns ride along only in ``keep``.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._shared import columns, materialize, spread
 
@@ -90,13 +93,13 @@ def _item_blocks(items: DataFrame, block_items: int, block_bytes: int) -> Iterat
     """Items in blocks of bounded size, read through Spark one partition at a time."""
     item_id, text = columns(items, "item_id", "text")
     block, held = [], 0
-    rows = items.select(item_id.cast("string"), text).where(item_id.isNotNull() & text.isNotNull())
-    for name, t in rows.toLocalIterator():
-        if block and (len(block) >= block_items or held + len(t) > block_bytes):
+    rows = items.select(item_id.cast("string"), text, F.octet_length(text)).where(item_id.isNotNull() & text.isNotNull())
+    for name, t, size in rows.toLocalIterator():
+        if block and (len(block) >= block_items or held + size > block_bytes):
             yield block
             block, held = [], 0
         block.append((name, t))
-        held += len(t)
+        held += size
     yield block
 
 
@@ -106,23 +109,29 @@ def contamination(
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
     spans (first and last hit word of each maximal run) and the kept columns.
 
-    Each block's patterns travel as one broadcast of bounded size.  Items beyond
-    one block cost one more pass each, with the state written in between.
+    Each block's patterns travel as one broadcast of bounded size.  With one block
+    a single pass finds everything.  With more, the documents are numbered and
+    written once; every block reads them and gives only the rows it hits, and one
+    join brings those back.
     """
     kept = keep or []
     doc_id, text = columns(docs, "doc_id", "text")
-    state = spread(docs.select(
-        text.alias("_text"), F.lit(0).cast("long").alias("_words"), F.array().cast("array<string>").alias("_found"),
-        F.array().cast(_SPANS).alias("_spans"), doc_id.cast("long").alias("_doc"), *(docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(kept)),
-    ))
+    slim = spread(docs.select(text.alias("_text"), doc_id.cast("long").alias("_doc"), *(docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(kept))))
     blocks = _item_blocks(items, block_items, block_bytes)
-    block = next(blocks)
-    while block is not None:
-        after = next(blocks, None)
-        state = _search(state, block, window, last=after is None)
-        if after is not None:
-            state = materialize(state, "searched")
-        block = after
+    block, after = next(blocks), next(blocks, None)
+    if after is None:
+        state = _search(slim, block, window, "_text")
+    else:
+        numbered = materialize(slim.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        hits = []
+        for some in chain([block, after], blocks):
+            hits.append(_search(numbered.select("_text", "_row"), some, window, "_text").drop("_words").where("size(_found) > 0"))
+        once = materialize(reduce(DataFrame.unionByName, hits), "hits")
+        # a row and block give one line at most, so a group is no larger than the number of blocks
+        both = once.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("_found"))).alias("_found"), F.array_sort(F.flatten(F.collect_list("_spans"))).alias("_spans"))
+        words_of = _search(numbered, [], window, "_text").drop("_found", "_spans")
+        none = {"_found": F.array().cast("array<string>"), "_spans": F.array().cast(_SPANS)}
+        state = words_of.join(both.withColumn("_spans", _merged("_spans")), "_row", "left").withColumns({c: F.coalesce(c, e) for c, e in none.items()})
     names = F.array_join(F.array_sort("_found"), ",")
     return state.select(
         F.col("_doc").alias("doc_id"),
@@ -139,21 +148,44 @@ def contamination(
 _SPANS = "array<struct<first:int,last:int>>"
 
 
-def _search(state: DataFrame, block: list[tuple[str, str | None]], window: int, last: bool) -> DataFrame:
-    """Add what one block of items finds; the last pass drops the texts."""
-    shared = state.sparkSession.sparkContext.broadcast(block)
-    fields = [f for f in state.schema.fields if not last or f.name != "_text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+def _merged(spans: str) -> Column:
+    """Sorted spans of several blocks as maximal runs."""
+    run = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
+
+    def add(out: Column, s: Column) -> Column:
+        end = F.element_at(out, -1)
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(run(end["first"], F.greatest(end["last"], s["last"]))))
+        return F.when((F.size(out) > 0) & (s["first"] <= F.try_element_at(out, F.lit(-1))["last"] + 1), joined).otherwise(F.concat(out, F.array(run(s["first"], s["last"]))))
+
+    return F.aggregate(spans, F.array().cast(_SPANS), add)
+
+
+_BUILT: dict[str, list[WuManber]] = {}
+
+
+def _search(docs: DataFrame, block: list[tuple[str, str | None]], window: int, text: str) -> DataFrame:
+    """``docs`` without their first column, the text, and _words, _found and _spans.
+
+    A worker process builds the tables of a block once and keeps the last ones.
+    """
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+    others = [f for f in docs.schema.fields if f.name != text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "_words long, _found array<string>, _spans " + _SPANS])
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searchers = build(shared.value, window)
+        from isopleth.llm import decontaminate as here
+
+        if name not in here._BUILT:
+            here._BUILT.clear()
+            here._BUILT[name] = build(shared.value, window)
+        searchers = here._BUILT[name]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
                 counts, items, spans = [], [], []
-                for t, had, ran in zip(*(some.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                    w, found, runs = words(t), set(had), [(r["first"], r["last"]) for r in ran]
+                for t in some.column(text).to_pylist():
+                    w, found, runs = words(t), set(), []
                     for s in searchers:
                         for end, names in s.search(w):
                             found |= names
@@ -162,10 +194,9 @@ def _search(state: DataFrame, block: list[tuple[str, str | None]], window: int,
                     items.append(list(found))
                     spans.append(merge(runs))
                 made = [pa.array(counts, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)]
-                out = [some.column(0), *made, *some.columns[4:]]
-                yield pa.RecordBatch.from_arrays(out[last:], some.schema.names[last:])
+                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in others), *made], [*(f.name for f in others), "_words", "_found", "_spans"])
 
-    return state.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def merge(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -179,9 +210,10 @@ def merge(runs: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+def clean(docs: DataFrame, items: DataFrame, min_items: int = 1, **options) -> DataFrame:
+    """The documents that hold windows of fewer than ``min_items`` items, with all
+    their columns; by default a single occurring window removes a document."""
     names = [f"k_{i}" for i in range(len(docs.columns))]
     plain = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)), *(docs[f"`{c}`"].alias(c) for c in ("doc_id", "text")))
-    found = contamination(plain, items, keep=names, **options).where("not contaminated")
+    found = contamination(plain, items, keep=names, min_items=min_items, **options).where("not contaminated")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -150,9 +150,50 @@ def test_wu_manber_blocks_agree(spark):
     items = [(f"i{k}", " ".join(random.Random(100 + k).choices("abcdef", k=k % 12))) for k in range(40)]
     want = brute.contamination(docs, items, window=4)
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
-    for block in (1000, 15):
-        got = decontaminate.contamination(*frames, window=4, block_items=block).drop("spans").collect()
-        assert {r[0]: tuple(r)[1:] for r in got} == want
+    spans = None
+    for block in (1000, 15, 3):
+        rows = decontaminate.contamination(*frames, window=4, block_items=block).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in rows} == want
+        spans = spans or {r.doc_id: r.spans for r in rows}
+        assert {r.doc_id: r.spans for r in rows} == spans
+    # texts are written once, whatever the number of blocks
+    plan = decontaminate.contamination(*frames, window=4, block_items=3)._jdf.queryExecution().toString()
+    assert plan.count("_text") and "hits-" in plan
+
+
+def test_one_planted_item_removes_a_document(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(n))
+    items = [(f"i{k}", text(20 if k else 5)) for k in range(6)]
+    clean = [(i, text(80)) for i in range(12)] + [(50, None), (51, ""), (52, items[1][1].rsplit(" ", 13)[0])]
+    planted = [(100 + k, f"{text(30)}, {t.upper()}! {text(30)}") for k, (_, t) in enumerate(items)]
+    planted += [(200, " ".join(items[3][1].split()[4:12]))]  # a single window
+    frames = spark.createDataFrame(clean + planted, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert sorted(r.doc_id for r in decontaminate.clean(*frames).collect()) == sorted(i for i, _ in clean)
+    assert decontaminate.clean(*frames, min_items=2).count() == len(clean + planted)
+
+
+def test_scratch_lies_on_the_shared_file_system(spark, monkeypatch):
+    from isopleth.llm import _shared
+
+    said = {"spark.checkpoint.dir": "/checkpoints"}
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: said.get(key, default))
+    assert _shared.scratch(spark, "x").startswith("file:///checkpoints/x-")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    default = hadoop.get("fs.defaultFS")
+    try:
+        hadoop.set("fs.defaultFS", "nowhere://host/")
+        with pytest.raises(Exception, match="nowhere"):
+            _shared.scratch(spark, "x")  # asks the default file system, not the local one
+    finally:
+        hadoop.set("fs.defaultFS", default)
+    said.clear()
+    monkeypatch.setattr(_shared, "_LOCAL", {})
+    monkeypatch.setattr(type(spark.sparkContext), "master", "spark://elsewhere:7077", raising=False)
+    monkeypatch.setitem(spark.sparkContext.__dict__, "master", "spark://elsewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _shared.scratch(spark, "x")
+    assert token_files.arrow_uri("s3a://b/k") == "s3://b/k" and token_files.arrow_uri("hdfs://h/k") == "hdfs://h/k"
 
 
 def test_costs_match_plain_kneser_ney():
