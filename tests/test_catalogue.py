@@ -1,7 +1,11 @@
 """Every registered query: SQL twins agree exactly, kernels give sound rows."""
 
 import math
+import shutil
+import subprocess
+import sys
 from collections import defaultdict
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -49,6 +53,17 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_the_rest_imports_without_the_corpus_operators(tmp_path, pipeline_too):
+    root = Path(__file__).parent.parent
+    shutil.copytree(root / "isopleth", tmp_path / "isopleth", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", *(("corpus_pipeline.py",) if pipeline_too and (root / "corpus_pipeline.py").exists() else ())):
+        shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'average_area' in q and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout) == len(QUERIES), done.stderr
+
+
 def test_no_query_multiplies_scans_or_misses_pruning(spark):
     plan = QUERIES["average_area"](spark, SF)._jdf.queryExecution().toString()
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int,l_quantity:double>" in plan
