@@ -1,20 +1,23 @@
-"""A hierarchical index over 64-bit fingerprints in Gray-code order.
-
-Fingerprints sorted by their rank in the reflected Gray code lie beside others
-that differ in few bits.  Every ``FAN`` neighbours form a node that keeps the
-bits all of them share, as a mask and a pattern; nodes form nodes in turn.  For
-two nodes the shared bits in which their patterns differ are a lower bound of the
-distance of any two members, so that whole groups are pruned at once.  Members
-that are known to be connected already are not compared again, so a dense group
-costs little more than its own size.
+"""A hierarchical index over bit fingerprints in Gray-code order.
+
+Fingerprints of one key, sorted by their rank in the reflected Gray code, lie
+beside others that differ in few bits.  Every ``FAN`` neighbours form a node that
+keeps the bits all of them share, as a mask and a pattern; nodes form nodes in
+turn, up to a root over a whole batch of keys.  For two nodes the shared bits in
+which their patterns differ, added up word by word, are a lower bound of the
+distance of any two members, so that whole groups are pruned at once.  Nodes
+without a common key are never compared, nor are members that are known to be
+connected already: a dense group costs little more than its own size.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 
 FAN = 8
-_CHUNK = 1 << 18
+_CHUNK = 1 << 15
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -43,67 +46,93 @@ def join_labels(n: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray | None
     return labels
 
 
-def components(values: np.ndarray, most: int) -> np.ndarray:
-    """For distinct uint64 ``values``, the index of one member of each one's
-    component, where values are linked at ``most`` or fewer differing bits."""
+class _Index:
+    """Nodes by level, from single values upwards: shared bits and the range of keys."""
+
+    def __init__(self, v: np.ndarray, keys: np.ndarray):
+        ones, zeros = v, v
+        self.pattern, self.mask, self.first, self.last, self.width = [v], [np.full_like(v, ~np.uint64(0))], [keys], [keys], [1]
+        while len(ones) > FAN:
+            starts = np.arange(0, len(ones), FAN)
+            ones, zeros = np.bitwise_and.reduceat(ones, starts), np.bitwise_or.reduceat(zeros, starts)
+            mask = ~(ones ^ zeros)
+            self.pattern.append(ones & mask)
+            self.mask.append(mask)
+            self.first.append(self.first[-1][starts])
+            self.last.append(self.last[-1][np.minimum(starts + FAN, len(self.last[-1])) - 1])
+            self.width.append(self.width[-1] * FAN)
+
+    def near(self, level: int, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Which pairs of nodes may hold members within ``most`` differences."""
+        left, diff = np.arange(len(a)), np.zeros(len(a), np.int32)
+        pattern, mask = self.pattern[level], self.mask[level]
+        for word in range(pattern.shape[1]):
+            x, y = a[left], b[left]
+            bits = pattern[x, word] ^ pattern[y, word]
+            diff[left] += np.bitwise_count(bits & mask[x, word] & mask[y, word] if level else bits)
+            left = left[diff[left] <= most]
+        return left
+
+    def uniform(self, labels: np.ndarray) -> list[np.ndarray]:
+        """For each node the label that all its members have, or -1."""
+        out = []
+        for width in self.width:
+            starts = np.arange(0, len(labels), width)
+            low, high = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
+            out.append(np.where(low == high, low, -1))
+        return out
+
+
+def components(values: np.ndarray, most: int, keys: np.ndarray | None = None, counts: Counter | None = None) -> np.ndarray:
+    """For uint64 ``values`` (one or several words a row), the index of one member of
+    each one's component, where values of equal ``keys`` are linked at ``most`` or
+    fewer differing bits.  ``counts`` gets the pairs compared by level, and the links."""
     n = len(values)
-    order = np.argsort(gray_rank(values), kind="stable")
-    v = values[order]
-    labels = np.arange(n)
+    v = values.reshape(n, -1)
+    keys = np.zeros(n, np.int64) if keys is None else keys
+    if n < 2:
+        return np.arange(n)
+    order = np.lexsort((gray_rank(v[:, 0]), keys))
+    v, keys = v[order], keys[order]
+    labels, counts = np.arange(n), Counter() if counts is None else counts
     # neighbours in this order and in those of rotated bits connect dense groups
     for turn in (0, 13, 26, 39, 52):
         t, back = np.uint64(turn), np.uint64((64 - turn) % 64)
-        by = np.argsort(gray_rank((v << t) | (v >> back) if turn else v), kind="stable")
-        near = np.bitwise_count(v[by[1:]] ^ v[by[:-1]]) <= most
-        labels = join_labels(n, by[1:][near], by[:-1][near], labels)
-    levels = _levels(v)
-    same = _uniform(labels, levels)
-    stack = [(len(levels) - 1, *np.triu_indices(len(levels[-1][0])))]
+        by = np.lexsort((gray_rank((v[:, 0] << t) | (v[:, 0] >> back)), keys)) if turn else np.arange(n)
+        a, b = by[:-1], by[1:]
+        near = (keys[a] == keys[b]) & (np.bitwise_count(v[a] ^ v[b]).sum(1, dtype=np.int32) <= most)
+        labels = join_labels(n, b[near], a[near], labels)
+        counts["links"] += int(near.sum())
+    index = _Index(v, keys)
+    same, new = index.uniform(labels), []
+    stack = [(len(index.width) - 1, *np.triu_indices(len(index.first[-1])))]
     while stack:
         level, a, b = stack.pop()
         if len(a) > _CHUNK:
             half = len(a) // 2
             stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
             continue
-        pattern, mask, _ = levels[level]
-        keep = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]) <= most
-        keep &= (same[level][a] != same[level][b]) | (same[level][a] < 0)
+        keep = (index.last[level][a] >= index.first[level][b]) & ((same[level][a] != same[level][b]) | (same[level][a] < 0))
+        a, b = a[keep], b[keep]
+        counts[level] += len(a)
+        keep = index.near(level, a, b, most)
         a, b = a[keep], b[keep]
-        if level == 0:
-            if len(a) and (labels[a] != labels[b]).any():
-                labels = join_labels(n, a, b, labels)
-                same = _uniform(labels, levels)
-            continue
         if not len(a):
             continue
-        below = len(levels[level - 1][0])
+        if level == 0:
+            counts["links"] += len(a)
+            new.append((a, b))
+            if sum(len(x) for x, _ in new) > n >> 8:
+                labels = join_labels(n, *map(np.concatenate, zip(*new, strict=True)), labels)
+                same, new = index.uniform(labels), []
+            continue
+        below = len(index.first[level - 1])
         i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
         a, b = (a[:, None] * FAN + i).ravel(), (b[:, None] * FAN + j).ravel()
         good = (a < below) & (b < below) & (a <= b)
         stack.append((level - 1, a[good], b[good]))
+    if new:
+        labels = join_labels(n, *map(np.concatenate, zip(*new, strict=True)), labels)
     out = np.empty(n, int)
     out[order] = order[labels]
     return out
-
-
-def _levels(v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(pattern, mask of shared bits, members a node) from single values upwards."""
-    ones, zeros, width = v, v, 1
-    out = [(v, np.full(len(v), ~np.uint64(0)), 1)]
-    while len(ones) > FAN:
-        starts = np.arange(0, len(ones), FAN)
-        ones, zeros = np.bitwise_and.reduceat(ones, starts), np.bitwise_or.reduceat(zeros, starts)
-        width *= FAN
-        mask = ~(ones ^ zeros)
-        out.append((ones & mask, mask, width))
-    return out
-
-
-def _uniform(labels: np.ndarray, levels: list) -> list[np.ndarray]:
-    """For each node the label that all its members have, or -1."""
-    out = []
-    for _, _, width in levels:
-        starts = np.arange(0, len(labels), width)
-        low, high = np.minimum.reduceat(labels, starts), np.maximum.reduceat(labels, starts)
-        out.append(np.where(low == high, low, -1))
-    return out

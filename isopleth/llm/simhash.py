@@ -1,13 +1,21 @@
-"""SimHash near-duplicates with exact links at a few differing bits.
+"""SimHash near-duplicates, linked through a Gray-order hierarchical index.
 
 Fingerprints are made per document; equal ones are summed up first, so that a
-group of copies is one row from there on.  The 64 bits are cut into ``BLOCKS``
-blocks; two fingerprints within ``most`` bits agree on at least ``BLOCKS - most``
-of them, so each fingerprint is dealt once for every choice of so many blocks and
-all links fall within one key.  A key's fingerprints are searched with the
-Gray-order index of ``gray_index``, and leave as one edge a fingerprint to its
-local component.  Components are then joined with rounds of joins and
-aggregations over written tables.
+group of copies is one row from there on.  Each print is dealt to keys such that
+prints to be linked meet in one, and the prints of a key are searched with the
+index of ``gray_index``, whatever their number; they leave as one edge a print to
+its local component.  Components are then joined with rounds of joins and
+aggregations over written tables.  Keys get longer as prints get more, so that a
+key holds about ``ROWS`` unrelated ones at every size of the corpus.
+
+``near_duplicates`` links 64-bit prints at ``most`` differing bits exactly: the
+bits are cut into blocks, and there is a key for every choice of blocks so small
+that two linked prints must agree on one of them.
+
+``deduplicate`` links by similarity: prints of ``WIDE`` words of 64 bits estimate
+the Jaccard similarity of the sets of shingles, and keys are sampled bits, in so
+many tables that a pair at the threshold meets in none with a probability of
+``MISS`` at most.
 
 Cases: a null, empty or wordless text has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; repeated rows are kept; a
@@ -18,7 +26,8 @@ kept by ``deduplicate``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,140 +37,222 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import gray_index
 from ._shared import columns, fresh, lookup_skewed, materialize, partitions_for, spread
 
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Unrelated prints that a key holds, as keys are long.
+ROWS = 128
+#: Words of a wide print, and the share of pairs at the threshold that no key brings together.
+WIDE, MISS = 8, 0.01
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
-_SMALL = 16
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned 64-bit SimHash of the word shingles' XXH64 (seed 42)."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles, as unsigned 64-bit integers."""
     from xxhash import xxh64_intdigest as h
 
     words = text.encode().translate(_LOWER).split() if text else []
-    if not words:
-        return 0
     plain = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1) if words else 0
     edge = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)
     starts, ends = edge[:n].tolist(), (edge[min(shingle, len(words)) :] - 1).tolist()
+    return np.fromiter((h(plain[a:b], 42) for a, b in zip(starts, ends, strict=bool(words))), np.uint64, n)
+
+
+def _majority(hashes: np.ndarray) -> np.ndarray:
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        some = np.array([h(plain[a:b], 42) for a, b in zip(starts[at : at + (1 << 16)], ends[at : at + (1 << 16)], strict=True)], "<u8")
-        counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 1 << 14):
+        some = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(some, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """Unsigned 64-bit SimHash of the word shingles, repeats included."""
+    return int(_majority(shingle_hashes(text, shingle))[0])
+
 
+def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE) -> np.ndarray:
+    """SimHash of the set of shingles in several words: further hashes of a shingle
+    come from its first one by a mixing step each."""
+    h = np.unique(shingle_hashes(text, shingle))
+    out = []
+    for k in range(words):
+        z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
+        if k:
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            z ^= z >> np.uint64(31)
+        out.append(_majority(z))
+    return np.concatenate(out)
 
-def fingerprints(docs: DataFrame, shingle: int = 4, row: str | None = None) -> DataFrame:
-    """doc_id, the fingerprint as a signed long and the long ``row``, if named, materialised."""
+
+def differing_share(similarity: float) -> float:
+    """Expected share of SimHash bits in which two sets of that Jaccard similarity differ."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+def reach(similarity: float, words: int = WIDE) -> int:
+    """Most differing bits of a linked pair: the expected number at ``similarity`` and
+    one standard deviation, so that few pairs above the threshold are lost to chance."""
+    p = differing_share(similarity)
+    return int(64 * words * p + math.sqrt(64 * words * p * (1 - p)))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, row: str | None = None, wide: bool = False) -> DataFrame:
+    """doc_id, the fingerprint (a signed long; binary if wide) and the long ``row``, if
+    named, materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t, shingle) for at in range(0, batch.num_rows, 500) for t in batch.column(1).slice(at, 500).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(made, np.uint64).view(np.int64)), *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
+            texts = (t for at in range(0, batch.num_rows, 500) for t in batch.column(1).slice(at, 500).to_pylist())
+            if wide:
+                made = pa.array([wide_fingerprint(t, shingle).tobytes() for t in texts], pa.binary())
+            else:
+                made = pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made, *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
 
     doc_id, text, *more = columns(docs, "doc_id", "text", *([row] if row else []))
     slim = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"), *(c.alias("row") for c in more))
-    return materialize(spread(slim).mapInArrow(run, "doc_id long, print long" + ", row long" * len(more)), "prints")
+    return materialize(spread(slim).mapInArrow(run, f"doc_id long, print {'binary' if wide else 'long'}" + ", row long" * len(more)), "prints")
+
+
+def block_plan(n: int, most: int) -> tuple[int, ...]:
+    """Widths of the blocks of which two prints must agree on all but ``most``: the
+    fewest blocks whose keys hold about ``ROWS`` of ``n`` prints, 12 more than ``most`` at most."""
+    for blocks in range(most + 1, most + 13):
+        widths = tuple(64 // blocks + (i < 64 % blocks) for i in range(blocks))
+        if n >> sum(sorted(widths)[: blocks - most]) <= ROWS:
+            break
+    return widths
 
 
-def _keys(most: int) -> Column:
+def _block_keys(widths: tuple[int, ...], most: int) -> Column:
     """One number for every choice of blocks, holding the choice and its bits."""
-    starts = np.cumsum([0, *BLOCKS]).tolist()
+    starts = np.cumsum([0, *widths]).tolist()
     keys = []
-    for number, chosen in enumerate(combinations(range(len(BLOCKS)), len(BLOCKS) - most)):
+    for number, chosen in enumerate(combinations(range(len(widths)), len(widths) - most)):
         key = F.lit(number).cast("long")
         for b in chosen:
-            part = F.shiftrightunsigned("print", starts[b]).bitwiseAND(F.lit((1 << BLOCKS[b]) - 1).cast("long"))
-            key = F.shiftleft(key, BLOCKS[b]).bitwiseOR(part)
+            part = F.shiftrightunsigned("print", starts[b]).bitwiseAND(F.lit((1 << widths[b]) - 1).cast("long"))
+            key = F.shiftleft(key, widths[b]).bitwiseOR(part)
         keys.append(key)
     return F.array(*keys)
 
 
-def _edges_of_batch(key: np.ndarray, value: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of whole runs of equal keys: (member, another of its component)."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [len(key)]]))
-    labels = np.arange(len(key))
-    a, b = [], []
-    several = np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
-    for step in range(1, min(_SMALL, int(sizes.max()))):
-        i = np.flatnonzero(several[:-step] & (key[step:] == key[:-step]))
-        i = i[np.bitwise_count(value[i] ^ value[i + step]) <= most]
-        a.append(i)
-        b.append(i + step)
-    if a:
-        labels = gray_index.join_labels(len(key), np.concatenate(a), np.concatenate(b), labels)
-    for s in np.flatnonzero(sizes > _SMALL):
-        at, end = starts[s], starts[s] + sizes[s]
-        labels[at:end] = at + gray_index.components(value[at:end], most)
+def deal_blocks(most: int) -> Callable[[DataFrame, int], DataFrame]:
+    """(node, print) of one word dealt to the keys in which all links of ``most`` bits lie."""
+    return lambda prints, n: prints.select("node", "print", F.explode(_block_keys(block_plan(n, most), most)).alias("key"))
+
+
+def table_plan(n: int, similarity: float) -> tuple[int, int]:
+    """Sampled bits a key, for about ``ROWS`` of ``n`` prints in one, and tables."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
+    together = (1 - differing_share(similarity)) ** bits
+    return bits, 1 if not bits else math.ceil(math.log(MISS) / math.log1p(-together))
+
+
+def deal_samples(similarity: float) -> Callable[[DataFrame, int], DataFrame]:
+    """(node, print) of wide prints dealt to one key a table."""
+
+    def deal(prints: DataFrame, n: int) -> DataFrame:
+        bits, tables = table_plan(n, similarity)
+        rng = np.random.default_rng(11)
+        places = [np.sort(rng.choice(64 * WIDE, bits, replace=False)) for _ in range(tables)]
+        powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1000):
+                    some = batch.slice(at, 1000)
+                    raw = np.frombuffer(b"".join(some.column(1).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+                    of = np.unpackbits(raw, axis=1, bitorder="little").astype(np.int64)
+                    for table, p in enumerate(places):
+                        key = (of[:, p] @ powers) * tables + table
+                        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(key)], ["node", "print", "key"])
+
+        return prints.select("node", "print").mapInArrow(run, "node long, print binary, key long")
+
+    return deal
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+    return column.to_numpy().view(np.uint64).reshape(-1, 1)
+
+
+def edges_of(key: np.ndarray, node: np.ndarray, words: np.ndarray, most: int, counts=None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of whole keys: (member, another of its component there)."""
+    labels = gray_index.components(words, most, key, counts)
     linked = np.flatnonzero(labels != np.arange(len(key)))
-    return value[linked], value[labels[linked]]
+    return node[linked], node[labels[linked]]
+
 
+def _linked(dealt: DataFrame, most: int, n: int, hot: int, batch_rows: int = 1 << 17) -> DataFrame:
+    """Edges (a, b) within equal keys of (node, print, key); a key of more than ``hot``
+    rows leaves its rows instead, as (node, null, key)."""
 
-def _linked(dealt: DataFrame, most: int, n: int, hot: int) -> DataFrame:
-    """Edges (a, b) within equal ``key`` columns; a key of more than ``hot`` rows leaves
-    its rows instead, as (its print, null, its key)."""
-    keys = [c for c in dealt.columns if c != "print"]
+    batch_rows = min(batch_rows, hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rows, over = 0, None
 
-        def edges(key, value):
-            a, b = _edges_of_batch(key, value, most)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
+        def edges(key, node, words):
+            a, b = edges_of(key, node, words, most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
 
-        def passed(key, value):
-            return pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.nulls(len(value), pa.int64()), pa.array(key)], ["a", "b", "key"])
+        def passed(key, node):
+            return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(key)], ["a", "b", "key"])
 
         for batch in batches:
-            value, key = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            node, words, key = batch.column(0).to_numpy(), _words(batch.column(1)), batch.column(2).to_numpy()
             if over is not None:  # the rest of a key that was given up
                 cut = int(np.searchsorted(key, over, "right"))
                 if cut:
-                    yield passed(key[:cut], value[:cut])
-                key, value = key[cut:], value[cut:]
+                    yield passed(key[:cut], node[:cut])
+                node, words, key = node[cut:], words[cut:], key[cut:]
             if not len(key):
                 continue
             over = None
-            held.append((key, value))
+            held.append((key, node, words))
             rows += len(key)
-            if key[0] == key[-1] == held[0][0][-1] and rows <= hot:
-                continue  # a long run goes on
-            key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            if rows <= batch_rows or (held[0][0][0] == key[-1] and rows <= hot):
+                continue  # more rows, or the rest of a long key, may come
+            key, node, words = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(key, key[-1]))
             if cut:
-                yield edges(key[:cut], value[:cut])
-            held, rows = [(key[cut:], value[cut:])], len(key) - cut
+                yield edges(key[:cut], node[:cut], words[:cut])
+            held, rows = [(key[cut:], node[cut:], words[cut:])], len(key) - cut
             if rows > hot:
                 over = key[-1]
-                yield passed(*held[0])
+                yield passed(*held[0][:2])
                 held, rows = [], 0
         if held:
             yield edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return dealt.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long, key long")
+    return dealt.select("node", "print", "key").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
 
 
-def links(prints: DataFrame, most: int = 4, hot: int = 1 << 18) -> DataFrame:
-    """Edges (a, b) that connect the distinct ``print`` values as all links within
-    ``most`` bits do; fewer than one an input row and key.
+def links(prints: DataFrame, most: int, deal: Callable[[DataFrame, int], DataFrame] | None = None, hot: int = 1 << 18) -> DataFrame:
+    """Edges (a, b) that connect the nodes of (node, print), whose prints are distinct,
+    as all links within ``most`` bits do; fewer than one a print and key.
 
     A key of more than ``hot`` prints is cut into parts, and each pair of parts is
     searched by itself, so that no task holds more than twice ``hot`` of them.
     """
     spark = prints.sparkSession
+    dealt = (deal or deal_blocks(most))(prints, prints.count())
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(prints, 1))
-    found = materialize(_linked(prints.select("print", F.explode(_keys(most)).alias("key")), most, n, hot), "links")
-    edges, large = found.where("key is null").select("a", "b"), found.where("key is not null").select(F.col("a").alias("print"), "key")
+    found = materialize(_linked(dealt, most, n, hot), "links")
+    edges, large = found.where("key is null").select("a", "b"), found.where("key is not null").select(F.col("a").alias("node"), "key")
     if large.take(1):
         parts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / hot).alias("_parts"))
         # a key here has more than ``hot`` rows: few keys
-        cut = large.join(F.broadcast(parts), "key").withColumn("_own", F.pmod(F.xxhash64("print"), F.col("_parts")))
+        cut = large.join(F.broadcast(parts), "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_parts")))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
-        pairs = cut.select("print", "key", "_own", other.alias("_other"))
+        pairs = cut.select("node", "key", "_own", other.alias("_other"))
         pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
-        edges = edges.unionByName(_linked(pairs.select("print", pair.alias("key")), most, n, 1 << 62).select("a", "b"))
+        again = pairs.select("node", pair.alias("key")).join(prints.select("node", "print"), "node")
+        edges = edges.unionByName(_linked(again, most, n, 1 << 62).select("a", "b"))
     return edges.distinct()
 
 
@@ -186,13 +277,15 @@ def connect(edges: DataFrame) -> DataFrame:
         now = ends.select(F.greatest("x", "low").alias("a"), F.least("x", "low").alias("b")).distinct()
 
 
-def _with_best(by_doc: DataFrame, most: int, best: Column) -> DataFrame:
+def _with_best(by_doc: DataFrame, find: Callable[[DataFrame], DataFrame], best: Column) -> DataFrame:
     """``by_doc`` and component_id: the minimum ``best`` over the component of a row's
     print, or null where that print has this row alone and is its own best."""
-    groups = materialize(by_doc.groupBy("print").agg(best.alias("first"), F.count("*").alias("_copies")), "groups")
-    roots = connect(links(groups.select("print"), most))
-    member = groups.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
-    member = materialize(member, "members")
+    grouped = by_doc.groupBy("print").agg(best.alias("first"), F.count("*").alias("_copies"))
+    node = F.col("print") if dict(by_doc.dtypes)["print"] == "bigint" else F.monotonically_increasing_id()
+    groups = materialize(grouped.withColumn("node", node), "groups")
+    roots = connect(find(groups.select("node", "print")))
+    member = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = materialize(member.select("print", "root", "first", "_copies"), "members")
     found = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_prints")).where("_prints > 1")
     known = lookup_skewed(member, materialize(found, "components"), "root", "_prints")
     known = known.select("print", F.coalesce("component_id", "first").alias("component_id"), "first", "_copies").where("_copies > 1 or not (component_id <=> first)").drop("first")
@@ -201,12 +294,13 @@ def _with_best(by_doc: DataFrame, most: int, best: Column) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    out = _with_best(fingerprints(docs, shingle), most, F.min("doc_id"))
+    out = _with_best(fingerprints(docs, shingle), lambda p: links(p, most), F.min("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """One row of each component, with all its columns: one with the smallest doc_id.
+def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each component of similar texts, with all its columns: one with the
+    smallest doc_id.
 
     Rows are told apart by a number that is written with them, so that a doc_id
     may be null or stand in several components; a row without one stays only if
@@ -214,6 +308,8 @@ def deduplicate(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """
     row = fresh(docs, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = _with_best(fingerprints(numbered, shingle, row), most, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")))
+    prints = fingerprints(numbered, shingle, row, wide=True)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    found = _with_best(prints, lambda p: links(p, reach(similarity), deal_samples(similarity)), best)
     gone = found.where("component_id.row != row").select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").drop(row)

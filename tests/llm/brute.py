@@ -43,6 +43,37 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def shingles(text: str | None, size: int = 5) -> set[str]:
+    words = SPACE_WORDS.findall(lower(text or ""))
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def wide_fingerprint(text: str | None, words: int = 8) -> int:
+    """One integer of ``words`` times 64 bits."""
+    out, hashes = 0, [xxh64_intdigest(s.encode(), 42) for s in shingles(text)]
+    for k in range(words):
+        mixed = []
+        for h in hashes:
+            z = (h + k * 0x9E3779B97F4A7C15) % 2**64
+            if k:
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                z ^= z >> 31
+            mixed.append(z)
+        out |= sum(1 << b for b in range(64) if 2 * sum(z >> b & 1 for z in mixed) > len(mixed)) << 64 * k
+    return out
+
+
+def wide_components(ids: list[int], prints: list[int], most: int) -> list[int]:
+    """Smallest id reachable over links of ``most`` differing bits."""
+    label = list(ids)
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= most]
+    while any(label[i] != label[j] for i, j in pairs):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
 def components(ids: list[int], prints: list[int], most: int = 4) -> list[int]:
     """Smallest id reachable from each one."""
     if not ids:

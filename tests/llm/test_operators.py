@@ -101,15 +101,77 @@ def test_gray_index_components(n, flips):
     assert all((int(a) ^ int(b)).bit_count() == 1 for a, b in zip(order, order[1:], strict=False))
 
 
+@pytest.mark.parametrize("words", [1, 8])
+def test_gray_index_keeps_keys_apart(words):
+    rng = np.random.default_rng(words)
+    base = rng.integers(0, 2**64, (9, words), np.uint64)
+    values = base[rng.integers(0, 9, 900)]
+    for _ in range(4):
+        values[:, rng.integers(words)] ^= np.where(rng.random(900) < 0.5, np.uint64(1) << rng.integers(0, 64, 900, np.uint64), np.uint64(0))
+    keys, counts = np.sort(rng.integers(0, 12, 900)), Counter()
+    got = gray_index.components(values, 3, keys, counts)
+    for key in range(12):
+        at = np.flatnonzero(keys == key)
+        whole = [sum(int(w) << 64 * k for k, w in enumerate(row)) for row in values[at]]
+        want = brute.wide_components(at.tolist(), whole, 3)
+        assert len(set(zip(got[at].tolist(), want, strict=True))) == len(set(got[at].tolist())) == len(set(want))
+    # most pairs of nodes within keys were never brought down to single values
+    assert 0 < counts["links"] and counts[0] < sum(n * (n - 1) // 2 for n in np.bincount(keys))
+
+
+def test_every_link_comes_from_the_gray_index(spark):
+    """At sf0.1 the keys of the query, searched by the index alone, give all links."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    prints = simhash.fingerprints(docs).select(F.col("print").alias("node"), "print").distinct()
+    values = np.array([r.node for r in prints.collect()])
+    dealt = simhash.deal_blocks(4)(prints, len(values)).toPandas().sort_values("key")
+    counts = Counter()
+    a, b = simhash.edges_of(dealt["key"].to_numpy(), dealt["node"].to_numpy(), dealt["print"].to_numpy().view(np.uint64).reshape(-1, 1), 4, counts)
+    at = {int(v): i for i, v in enumerate(values)}
+    labels = gray_index.join_labels(len(values), np.array([at[x] for x in a.tolist()]), np.array([at[x] for x in b.tolist()]))
+    assert labels.tolist() == brute.components(list(range(len(values))), values.view(np.uint64).tolist())
+    assert counts["links"] >= len(a) > 0 and counts[2] > 0  # three levels of nodes were used
+
+
+def test_similar_texts_are_linked_and_others_not(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts, pairs = [], []
+    for _ in range(150):
+        words = [word() for _ in range(200)]
+        changed = list(words)
+        for i in rng.sample(range(200), rng.randint(1, 14)):
+            changed[i] = word()
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(changed)]
+    likeness = [len(brute.shingles(texts[a]) & brute.shingles(texts[b])) / len(brute.shingles(texts[a]) | brute.shingles(texts[b])) for a, b in pairs]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
+    assert all(a in kept for a, _ in pairs)
+    above = [b not in kept for (_, b), j in zip(pairs, likeness, strict=True) if j >= 0.8]
+    below = [b not in kept for (_, b), j in zip(pairs, likeness, strict=True) if j < 0.65]
+    assert len(above) > 20 and np.mean(above) > 0.9 and len(below) > 20 and not any(below)
+
+
+def test_keys_grow_with_the_corpus():
+    for n in (10**3, 10**6, 10**9):
+        widths = simhash.block_plan(n, 4)
+        assert sum(widths) == 64 and n >> sum(sorted(widths)[: len(widths) - 4]) <= simhash.ROWS
+        bits, tables = simhash.table_plan(n, 0.8)
+        assert n / 2**bits <= simhash.ROWS and (1 - (1 - simhash.differing_share(0.8)) ** bits) ** tables <= simhash.MISS
+    # tables grow like the fourth root of the number of prints
+    assert simhash.table_plan(10**9, 0.8)[1] < 6 * simhash.table_plan(10**6, 0.8)[1]
+
+
 def test_hot_keys_are_searched_in_parts(spark):
     rng = np.random.default_rng(3)
     base = np.uint64(0xABCDEF0123456789)
     near = np.array([base ^ (np.uint64(1) << np.uint64(a)) ^ (np.uint64(1) << np.uint64(b)) for a in range(64) for b in range(a)])
     values = np.unique(np.concatenate([near[rng.permutation(len(near))[:600]], rng.integers(0, 2**64, 300, np.uint64)])).view(np.int64)
-    prints = spark.createDataFrame([(int(v),) for v in values], "print long")
+    prints = spark.createDataFrame([(int(v), int(v)) for v in values], "node long, print long")
     want = brute.components(list(range(len(values))), values.view(np.uint64).tolist())
     for hot in (1 << 18, 50):
-        found = simhash.links(prints, hot=hot).collect()
+        found = simhash.links(prints, 4, hot=hot).collect()
         at = {int(v): i for i, v in enumerate(values)}
         labels = gray_index.join_labels(len(values), np.array([at[r.a] for r in found]), np.array([at[r.b] for r in found]))
         assert labels.tolist() == want
@@ -132,6 +194,7 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
     a, b, c, d, e, f = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6))
     near = f.rsplit(" ", 1)[0] + " other"
     assert 0 < (simhash.fingerprint(f) ^ simhash.fingerprint(near)).bit_count() <= 4
+    assert 0 < (brute.wide_fingerprint(f) ^ brute.wide_fingerprint(near)).bit_count() <= simhash.reach(0.8)
     rows = [(None, a), (1, a), (None, b), (None, c), (None, c), (5, d), (5, e), (3, e), (7, c[:200]), (7, b[:200]), (9, near), (None, f)]
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, a), (None, b), (None, c), (5, d), (3, e), (7, c[:200]), (7, b[:200]), (9, near)]
@@ -143,6 +206,7 @@ def test_deduplicate_keeps_one_row_of_each_component(spark):
 def test_fingerprints_of_odd_texts():
     for text in (None, "", "  \t", "a", "A b", "é É x y z", "w " * 70_000, "x y " * 40_000 + "end"):
         assert simhash.fingerprint(text) == brute.fingerprint(text)
+        assert int.from_bytes(simhash.wide_fingerprint(text).tobytes(), "little") == brute.wide_fingerprint(text)
 
 
 def test_wu_manber_blocks_agree(spark):
