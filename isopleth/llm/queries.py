@@ -42,8 +42,7 @@ def op5_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_counts.prefix_counts(_table(spark, sf_dir, "documents"), WORD_BPE, keep=False)
-    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    return token_counts.truncations(token_counts.store(_table(spark, sf_dir, "documents"), WORD_BPE), 2048)
 
 
 def dated_list(pages: DataFrame) -> DataFrame:

@@ -53,15 +53,32 @@ def test_encoders_match_the_library(texts):
         assert [np.frombuffer(x, "<u4").tolist() for x in made] == [brute.encode(name, t) for t in texts]
 
 
-@given(ODD)
-@settings(max_examples=60, deadline=None)
-def test_every_prefix_count(text):
-    table = token_counts.counter(queries.WORD_BPE)
-    counts, loose = table.count(text)
+def check_prefixes(text: str) -> None:
+    steps = token_counts.counter(queries.WORD_BPE).count(text)
+    counts = token_counts.unpack(token_counts.pack(steps), len(text))
     want = [len(brute.encode("word_bpe_49k.json", text[:i])) for i in range(len(text) + 1)]
-    assert [table.count_prefix(text, i, counts, loose) for i in range(len(text) + 1)] == want
+    assert counts.tolist() == want
     for budget in (0, 1, 3, 7):
-        assert table.fit(text, budget, counts, loose) == max(i for i, n in enumerate(want) if n <= budget)
+        assert token_counts.fit(counts, budget) == max(i for i, n in enumerate(want) if n <= budget)
+
+
+@given(st.one_of(ODD, st.text(st.sampled_from("aabe\u0301\u0308'srevl"), max_size=120), st.text("aab", min_size=60, max_size=150), st.text(max_size=40)))
+@settings(max_examples=200, deadline=None)
+def test_every_prefix_count(text):
+    check_prefixes(text)
+
+
+@pytest.mark.parametrize("text", ["İstanbul is big", "a<|b", "x" * 600, "no<|endoftext|>yes <|startoftext|><|endoftext|", "हिन्दी में 'restaurant've", "e\u0301" * 90, "한국어\u1112\u1161\u11ab", "日本語のテキスト" * 40, "don't'" * 30, "\u2003 \u00a0x"])
+def test_every_prefix_count_of_hard_texts(text):
+    check_prefixes(text)
+
+
+def test_prefix_counts_of_very_long_pre_tokens():
+    table = token_counts.counter(queries.WORD_BPE)
+    for text in ("x" * 50_000, "ab" * 20_000, "テキスト" * 5_000):
+        counts = token_counts.unpack(token_counts.pack(table.count(text)), len(text))
+        for i in (1, 999, 12_345, len(text)):
+            assert counts[i] == len(brute.encode("word_bpe_49k.json", text[:i]))
 
 
 @given(st.lists(st.integers(1, 9), min_size=1, max_size=14), st.integers(9, 16))
@@ -402,8 +419,8 @@ def test_salvage(spark):
 
 def test_prefix_table_is_kept(spark):
     docs = spark.createDataFrame([(1, "Hello there, world"), (2, None)], "doc_id long, text string")
-    rows = {r.doc_id: r for r in token_counts.prefix_counts(docs, queries.WORD_BPE).collect()}
-    assert np.frombuffer(rows[1].counts, "<i4").tolist() == [len(brute.encode("word_bpe_49k.json", "Hello there, world"[:i])) for i in range(19)]
+    rows = {r.doc_id: r for r in token_counts.store(docs, queries.WORD_BPE).collect()}
+    assert token_counts.unpack(rows[1].steps, 18).tolist() == [len(brute.encode("word_bpe_49k.json", "Hello there, world"[:i])) for i in range(19)]
     assert rows[2].n_chars == 0
 
 

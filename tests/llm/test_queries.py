@@ -104,7 +104,15 @@ def test_decontamination(spark, tables):
 
 def test_token_counts(spark, tables):
     want = {d: (len((t or "").encode()), n := len(brute.encode("word_bpe_49k.json", t)), n > 2048) for d, t in documents(tables)}
-    assert {r[0]: tuple(r)[1:] for r in queries.op6_prefix_token_counts(spark, tables).collect()} == want
+    rows = queries.op6_prefix_token_counts(spark, tables).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows} == want
+    docs = dict(documents(tables))
+    for r in rows:
+        text = docs[r.doc_id] or ""
+        if not r.over_limit:
+            assert r.fit_chars == len(text)
+        else:  # the longest prefix that fits
+            assert len(brute.encode("word_bpe_49k.json", text[: r.fit_chars])) <= 2048 < len(brute.encode("word_bpe_49k.json", text[: r.fit_chars + 1]))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
