@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
+import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from datetime import date, timedelta
 
@@ -417,6 +421,67 @@ def test_salvage(spark):
     assert all(rows[i].html == dict((p, h) for p, _, h in pages)[i] for i in rows if rows[i].record_type == "response")
 
 
+def _found(data: bytes) -> list[str]:
+    return [r.headers["WARC-Record-ID"] for _, r in warc.read_archive(data).records]
+
+
+def _plain_record(name: str, block: bytes = b"some text", **more: str) -> bytes:
+    return warc.record_bytes({"WARC-Type": "resource", "WARC-Record-ID": name, **{k.replace("_", "-"): v for k, v in more.items()}}, block)
+
+
+def test_members_of_several_records_keep_the_valid_ones():
+    three = [_plain_record(n, n.encode() * 50) for n in "abc"]
+    broken = three[1].replace(b"b" * 50, b"b" * 49 + b"x")
+    whole = gzip.compress(three[0] + broken + three[2])
+    found = warc.read_archive(whole + gzip.compress(_plain_record("d")))
+    assert [r.headers["WARC-Record-ID"] for _, r in found.records] == ["a", "c", "d"]
+    assert found.gaps == [(0, len(whole), "block digest differs")]
+    # a member that breaks off keeps what came before
+    long = gzip.compress(b"".join(_plain_record(n, random.Random(n).randbytes(9000)) for n in "efg"))
+    found = warc.read_archive(long[: len(long) - 5000] + gzip.compress(_plain_record("h")))
+    assert [r.headers["WARC-Record-ID"] for _, r in found.records] == ["e", "f", "h"]
+    assert found.gaps[0][:2] == (0, len(long) - 5000)
+
+
+def test_headers_in_any_case_and_folded():
+    record = _plain_record("a").replace(b"WARC-Record-ID", b"warc-record-id").replace(b"Content-Length", b"content-length").replace(b"WARC-Type: resource", b"WARC-Type:\r\n resource")
+    found = warc.read_archive(record)
+    assert found.records[0][1].headers["WARC-Type"] == "resource" and not found.gaps
+    for length in (b"-1", b"1_0", "٣".encode(), b""):
+        assert not _found(record.replace(b"content-length: 9", b"content-length: " + length))
+
+
+def test_digests_by_their_algorithm():
+    block = b"some text"
+    sha256, sha1, md5 = (hashlib.new(n, block).digest() for n in ("sha256", "sha1", "md5"))
+    good = ["sha256:" + sha256.hex(), "SHA-256:" + base64.b32encode(sha256).decode(), "sha1:" + sha1.hex(), "md5:" + md5.hex(), "sha256:" + base64.b64encode(sha256).decode(), "blake9:what", "none"]
+    bad = ["sha256:" + sha1.hex(), "sha1:" + sha1.hex()[:-1] + "g", "md5:"]
+    for digests, count in ((good, 1), (bad, 0)):
+        for digest in digests:
+            record = re.sub(rb"WARC-Block-Digest: [^\r]*", b"WARC-Block-Digest: " + digest.encode(), _plain_record("a", block))
+            assert len(_found(record)) == count, digest
+
+
+def test_records_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>body"
+    records = [
+        warc.record_bytes({"WARC-Type": "warcinfo", "WARC-Record-ID": "<urn:uuid:1>"}, b"software: x"),
+        warc.record_bytes({"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:2>", "Content-Type": "application/http; msgtype=request"}, b"GET / HTTP/1.1\r\n\r\n"),
+        warc.record_bytes({"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:6c2ea2f7-0000-4000-8000-000000000001>", "WARC-Target-URI": "http://a/", "Content-Type": "application/http"}, http),
+        warc.record_bytes({"WARC-Type": "revisit", "WARC-Record-ID": "odd"}, b""),
+        warc.record_bytes({"WARC-Type": "resource", "WARC-Record-ID": warc.page_uri(7), "WARC-Payload-Digest": "md5:" + hashlib.md5(b"zz").hexdigest()}, b"zz"),
+        warc.record_bytes({"WARC-Type": "resource", "WARC-Record-ID": warc.page_uri(8), "WARC-Payload-Digest": "md5:" + hashlib.md5(b"other").hexdigest()}, b"zz"),
+        warc.record_bytes({}, b"no type"),
+    ]
+    path = f"{tmp_path}/other.warc"
+    token_files.put_file(path, b"".join(records))
+    manifest = spark.createDataFrame([(path,)], "path string")
+    rows = [(r.record_type, r.page_id, r.payload_bytes, r.html) for r in warc.read_archives(manifest).collect()]
+    assert rows == [("response", None, 7, "<p>body"), ("revisit", None, None, None), ("resource", 7, 2, "zz")]
+    at = sum(map(len, records[:5]))
+    assert [tuple(r)[1:] for r in warc.read_gaps(manifest).collect()] == [(at, at + len(records[5]), "payload digest differs")]
+
+
 def test_prefix_table_is_kept(spark):
     docs = spark.createDataFrame([(1, "Hello there, world"), (2, None)], "doc_id long, text string")
     rows = {r.doc_id: r for r in token_counts.store(docs, queries.WORD_BPE).collect()}
