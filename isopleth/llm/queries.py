@@ -49,7 +49,7 @@ def dated_list(pages: DataFrame) -> DataFrame:
     """A list for the synthetic pages: their hosts, the domains above and the first
     path segments, some of them listed, delisted and listed again on days that
     follow from a hash of the key."""
-    keys = pages.select(F.explode(url_filter.keys_of(F.col("url"))).alias("key")).where(r"key rlike '^d:.*[.]|^u:[^/]*/[^/]*$'").distinct()
+    keys = pages.select(F.explode(url_filter.keys_of(F.col("url"), segments=1)).alias("key")).where(r"key rlike '^d:.*[.]|^u:[^/]*/[^/]*$'").distinct()
     number = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 6), 16, 10).cast("int")
     dealt = keys.withColumn("h", number).where("h % 3 = 0 or key rlike '[.-](ads|track)'")
     added = F.date_add(F.lit("2024-01-01").cast("date"), F.col("h") % 200)
@@ -67,12 +67,12 @@ def op7_temporal_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH parts AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS fetched_on,
-         lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+         lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1), '\.+$', '')) AS host,
          list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS segs
   FROM pages),
 keyed AS (
   SELECT page_id, url, fetched_on, unnest(list_distinct(list_concat(
-           list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.')),
+           CASE WHEN host LIKE '[%' THEN ['d:' || host] ELSE list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'd:' || array_to_string(string_split(host, '.')[i:], '.')) END,
            list_transform(range(1, len(segs) + 1), lambda i: 'u:' || host || '/' || array_to_string(segs[1:i], '/'))))) AS key
   FROM parts WHERE host <> ''),
 dealt AS (

@@ -374,8 +374,8 @@ def test_temporal_join_against_brute_force(spark):
 
     frame = spark.createDataFrame([(*c, c[0]) for c in captures], "id long, url string, fetched_on date, matched long")
     listed = spark.createDataFrame(entries, "key string, action string, day date")
-    for few in (50_000, 0):
-        got = {r.id: r for r in url_filter.filter_urls(frame, listed, broadcast_keys=few).collect()}
+    for few, size in ((50_000, 1 << 24), (0, 1 << 24), (50_000, 10)):
+        got = {r.id: r for r in url_filter.filter_urls(frame, listed, broadcast_keys=few, broadcast_bytes=size).collect()}
         assert len(got) == len(captures)
         for i, url, day in captures:
             if not url or not day or "://" not in url:
@@ -391,6 +391,31 @@ def test_temporal_join_against_brute_force(spark):
                 assert (got[i].matched, got[i].listed_since) == (best, hits[best])
 
 
+HOSTS = {
+    "http://user:pw@evil.com/a": "evil.com", "http://a@b@EVIL.com:80/": "evil.com", "https://evil.com.:443/x": "evil.com", "http://[::1]:8080/p": "[::1]", "http://u@[2001:DB8::ff.1]/": "[2001:db8::ff.1]",
+    "http://evil.com?x@y": "evil.com", "http://evil.com/@other": "evil.com", "ftp://..": "", "http://": "", "mailto:a@evil.com": "", "http://a.b#@c.d": "a.b",
+}
+
+
+def test_hosts_cannot_hide(spark):
+    rows = spark.createDataFrame([(u,) for u in HOSTS], "url string").select("url", url_filter.host_of(F.col("url")).alias("host"), url_filter.keys_of(F.col("url")).alias("keys")).collect()
+    assert {r.url: r.host for r in rows} == HOSTS
+    keys = {r.url: r["keys"] for r in rows}
+    assert keys["http://user:pw@evil.com/a"] == ["d:com", "d:evil.com", "u:evil.com/a"] and keys["http://[::1]:8080/p"] == ["d:[::1]", "u:[::1]/p"] and keys["ftp://.."] is None
+    listed = spark.createDataFrame([("d:evil.com", "add", date(2024, 1, 1))], "key string, action string, day date")
+    frame = spark.createDataFrame([(u, date(2024, 2, 1)) for u in HOSTS], "url string, fetched_on date")
+    assert {r.url for r in url_filter.filter_urls(frame, listed).collect() if r.blocked} == {u for u, h in HOSTS.items() if h == "evil.com"}
+
+
+def test_very_long_urls(spark):
+    urls = ["http://a.com/" + "s/" * 60_000, "http://" + "x." * 60_000 + "a.com/p/q/r", "http://a.com/p/q/r/" + "y" * 200_000]
+    frame = spark.createDataFrame([(i, u, date(2024, 2, 1)) for i, u in enumerate(urls)], "id long, url string, fetched_on date")
+    listed = spark.createDataFrame([("u:a.com/s/s", "add", date(2024, 1, 1)), ("u:a.com/p/q/r", "add", date(2024, 1, 1)), ("d:x.a.com", "add", date(2024, 1, 2))], "key string, action string, day date")
+    got = {r.id: (r.matched, r.n_active) for r in url_filter.filter_urls(frame, listed).collect()}
+    assert got == {0: ("u:a.com/s/s", 1), 1: ("d:x.a.com", 1), 2: ("u:a.com/p/q/r", 1)}
+    assert {r.blocked for r in url_filter.filter_urls(frame, listed.limit(0)).collect()} == {False}
+
+
 def test_salvage(spark):
     pages = [(i, f"http://h/{i}", ("body %d " % i) * 200 if i % 3 else "same " * 400) for i in range(30)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
