@@ -4,9 +4,11 @@ Trees are fitted on a bounded sample: each node takes, of a few random
 directions, the one along which its sample spreads most, and splits at the
 median.  All vectors are then routed to leaves.  A query walks all trees through
 one shared priority queue, nearest branches (by the squared margins crossed so
-far) first, until the leaves it has reached should hold its share of all rows.
-Leaves and the queries that reached them meet in buckets of bounded size, and
-candidates are ranked by exact distances.
+far) first, until the leaves it has reached should hold its share of all rows and
+those of one tree do hold more than ``k``.  How many rows a leaf holds is counted
+first: leaves make buckets of at most about ``bucket_rows`` rows, and a larger leaf
+is cut into several.  Every vector goes to one bucket a tree; the queries that
+reached a bucket are streamed past it, and candidates ranked by exact distances.
 
 Equal vectors are one class from the start.  Of a class only its ``k`` + 1
 smallest ids can be in any answer, so no more are carried; nothing is lost.
@@ -14,7 +16,8 @@ smallest ids can be in any answer, so no more are carried; nothing is lost.
 Cases: vectors that are null, zero, of another length than most, or that hold
 null or non-finite components take no part; repeated rows are candidates as often
 as they occur, save that a query never finds its own id; with fewer candidates
-than ``k`` all are returned; no vectors give no rows.
+than ``k`` all are returned; no vectors give no rows; distances that overflow are
+infinite and tie; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from ._shared import columns, lookup_skewed, materialize
 SAMPLE = 20_000
 #: Vectors of the sample whose exact neighbours set the number of leaves to visit.
 PROBES = 128
+#: Vectors (kind 0) and queries (kind 1) as they meet in a bucket.
+MET = ["key", "kind", "id", "first", "leaf", "leaves", "raw"]
 FOUND = pa.schema([("query", pa.int64()), ("class", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
 
 
@@ -55,17 +60,19 @@ class Forest:
             at -= 2**self.depth - 1
         return out
 
-    def search(self, x: np.ndarray, visits: int) -> Iterator[list[tuple[int, int]]]:
-        """For each row the (tree, leaf) pairs it reaches first, ``visits`` at most."""
+    def search(self, x: np.ndarray, visits: int, counts: np.ndarray | None = None, least: int = 0) -> Iterator[list[tuple[int, int]]]:
+        """For each row the (tree, leaf) pairs it reaches first: ``visits``, or more until
+        those of one tree hold ``least`` rows by ``counts[tree, leaf]``."""
         trees, inner = len(self.planes), 2**self.depth - 1
         if not inner:
             yield from ([(t, 0) for t in range(min(trees, visits))] for _ in x)
             return
+        counts = np.zeros((trees, inner + 1), np.int64) if counts is None else counts
         for at in range(0, len(x), 256):
             margins = np.einsum("ij,tnj->itn", x[at : at + 256], self.planes) - self.cuts
             for row in margins:
-                queue, out = [(0.0, t, 0) for t in range(trees)], []
-                while queue and len(out) < visits:
+                queue, out, held = [(0.0, t, 0) for t in range(trees)], [], [0] * trees
+                while queue and (len(out) < visits or max(held) < least):
                     far, t, node = heapq.heappop(queue)
                     margin = row[t]
                     while node < inner:
@@ -74,6 +81,7 @@ class Forest:
                         heapq.heappush(queue, (far + m * m, t, left if m > 0 else left + 1))
                         node = left + 1 if m > 0 else left
                     out.append((t, node - inner))
+                    held[t] += int(counts[t, node - inner])
                 yield out
 
 
@@ -125,6 +133,69 @@ def calibrate(forest: Forest, sample: np.ndarray, k: int, target: float) -> floa
     return float(np.quantile(np.concatenate(places), target, method="higher")) / leaves
 
 
+def leaf_counts(classes: DataFrame, forest: Forest) -> np.ndarray:
+    """Rows by (tree, leaf): trees times leaves numbers, which the sample bounds."""
+    shared, leaves = classes.sparkSession.sparkContext.broadcast(forest), 2**forest.depth
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(len(shared.value.planes) * leaves, np.int64)
+        for b in batches:
+            if b.num_rows:
+                of = shared.value.route(b.column(0).flatten().to_numpy().reshape(b.num_rows, -1))
+                out += np.bincount((of + np.arange(len(of))[:, None] * leaves).ravel(), minlength=len(out))
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["at", "n"])
+
+    got = classes.select("vec").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(forest.planes) * leaves, np.int64)
+    out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+    return out.reshape(-1, leaves)
+
+
+def bucket_plan(counts: np.ndarray, bucket_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each (tree, leaf) its first bucket and over how many it is dealt; the number
+    of buckets.  Neighbouring small leaves of a tree share one."""
+    base, parts, number = np.zeros_like(counts), np.ones_like(counts), 0
+    for t, row in enumerate(counts.tolist()):
+        room = 0
+        for leaf, n in enumerate(row):
+            if n > bucket_rows:
+                base[t, leaf], parts[t, leaf], room = number, -(-n // bucket_rows), 0
+                number += int(parts[t, leaf])
+                continue
+            if n > room:
+                number, room = number + 1, bucket_rows
+            base[t, leaf], room = max(0, number - 1), room - n
+    return base, parts, number + 1
+
+
+class _Bucket:
+    """Vectors of some leaves, in order of their leaf."""
+
+    def __init__(self, held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        leaf = t.column("leaf").to_numpy()
+        by = np.argsort(leaf, kind="stable")
+        self.leaf = leaf[by]
+        self.x = np.frombuffer(b"".join(t.column("raw").to_pylist()), np.float64).reshape(len(leaf), -1)[by]
+        self.names, self.firsts = t.column("id").to_numpy()[by], t.column("first").to_numpy()[by]
+
+    def rank(self, probes: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        """The ``k`` + 1 nearest of each query in the leaves it reached."""
+        out = []
+        for query, reached, raw in zip(*(probes.column(c).to_pylist() for c in ("id", "leaves", "raw")), strict=True):
+            ends = np.searchsorted(self.leaf, [reached, np.asarray(reached) + 1])
+            at = np.concatenate([np.arange(a, b) for a, b in ends.T.tolist()])
+            with np.errstate(over="ignore"):
+                score = np.sqrt(((self.x[at] - np.frombuffer(raw, np.float64)) ** 2).sum(1))
+            if len(at) > k + 1:
+                keep = score <= np.partition(score, k)[k]
+                at, score = at[keep], score[keep]
+            best = np.lexsort((self.firsts[at], score))[: k + 1]
+            out.append((np.full(len(best), query), self.names[at[best]], self.firsts[at[best]], score[best]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
+
+
 def _classes(vectors: DataFrame, keep: int) -> DataFrame:
     """class, vec, ids (the ``keep`` smallest) and first of all distinct usable vectors."""
     vec_id, raw = columns(vectors, "vec_id", "embedding")
@@ -141,7 +212,7 @@ def _classes(vectors: DataFrame, keep: int) -> DataFrame:
     return rows, materialize(groups.select(F.monotonically_increasing_id().alias("class"), "vec", "ids", F.col("ids")[0].alias("first")), "classes")
 
 
-def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 6, leaf_rows: int = 64, target: float = 0.96, bucket_rows: int = 20_000, block_queries: int = 20_000) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 6, leaf_rows: int = 64, target: float = 0.96, bucket_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score for the queries whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     rows, classes = _classes(vectors, k + 1)
@@ -160,63 +231,69 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = 6, l
     forest = fit(sample, trees, depth)
     leaves = 2**depth
     visits = max(1, math.ceil(calibrate(forest, sample, k, target) * leaves))
-    shared = spark.sparkContext.broadcast(forest)  # SAMPLE bounds it
-    blocks = max(1, -(-asked.count() // block_queries))
-    per_bucket = max(1, bucket_rows * leaves // max(1, n))
+    counts = leaf_counts(classes, forest)
+    base, parts, buckets = bucket_plan(counts, bucket_rows)
+    shared = spark.sparkContext.broadcast((forest, counts, base, parts))  # SAMPLE bounds all of it
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, _, base, parts = shared.value
         for b in batches:
             if not b.num_rows:
                 continue
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
             raw = pa.array([r.tobytes() for r in x], pa.binary())
-            for t, leaf in enumerate(shared.value.route(x)):
-                yield pa.RecordBatch.from_arrays([pa.array(t * leaves + leaf // per_bucket), pa.array(leaf), b.column(0), b.column(2), raw], ["bucket", "leaf", "class", "first", "raw"])
+            names = b.column(0).to_numpy()
+            for t, leaf in enumerate(forest.route(x)):
+                key = base[t, leaf] + names % parts[t, leaf]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.zeros(len(x), np.int32)), b.column(0), b.column(2), pa.array(leaf), pa.nulls(len(x), pa.list_(pa.int64())), raw], MET)
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, counts, base, parts = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
                 x = some.column(1).flatten().to_numpy().reshape(some.num_rows, -1)
                 ids, rows = some.column(0).to_pylist(), [r.tobytes() for r in x]
                 by: dict[tuple[int, int], list[int]] = {}
-                for i, reached in enumerate(shared.value.search(x, visits)):
+                for i, reached in enumerate(forest.search(x, visits, counts, k + 1)):
                     for t, leaf in reached:
-                        by.setdefault((i, t * leaves + leaf // per_bucket), []).append(leaf)
-                keys = list(by)
+                        for part in range(parts[t, leaf]):
+                            by.setdefault((i, int(base[t, leaf]) + part), []).append(leaf)
+                n = len(by)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for _, c in keys], pa.int64()), pa.array([ids[i] for i, _ in keys], pa.int64()), pa.array([by[x] for x in keys], pa.list_(pa.int64())), pa.array([rows[i] for i, _ in keys], pa.binary())],
-                    ["bucket", "query", "leaves", "raw"],
-                )
-
-    def rank(index: pa.Table, probes: pa.Table) -> pa.Table:
-        if not index.num_rows or not probes.num_rows:
-            return FOUND.empty_table()
-        dim = len(index.column("raw")[0].as_py()) // 8
-        leaf = index.column("leaf").to_numpy()
-        by = np.argsort(leaf, kind="stable")
-        leaf = leaf[by]
-        x = np.frombuffer(b"".join(index.column("raw").to_pylist()), np.float64).reshape(-1, dim)[by]
-        names, firsts = index.column("class").to_numpy()[by], index.column("first").to_numpy()[by]
-        out = []
-        for query, reached, raw in zip(*(probes.column(c).to_pylist() for c in ("query", "leaves", "raw")), strict=True):
-            at = np.concatenate([np.arange(*np.searchsorted(leaf, [v, v + 1])) for v in reached])
-            q = np.frombuffer(raw, np.float64)
-            score = np.sqrt(((x[at] - q) ** 2).sum(1))
-            if len(at) > k + 1:
-                limit = np.partition(score, k)[k]
-                keep = score <= limit
-                at, score = at[keep], score[keep]
-            best = np.lexsort((firsts[at], score))[: k + 1]
-            out.append((np.full(len(best), query), names[at[best]], firsts[at[best]], score[best]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND)
+                    [
+                        pa.array([key for _, key in by], pa.int64()), pa.array(np.ones(n, np.int32)), pa.array([ids[i] for i, _ in by], pa.int64()), pa.nulls(n, pa.int64()),
+                        pa.nulls(n, pa.int64()), pa.array(list(by.values()), pa.list_(pa.int64())), pa.array([rows[i] for i, _ in by], pa.binary()),
+                    ], MET,
+                )
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come bucket by bucket, in each its vectors before its queries."""
+        now, held, index = None, [], None
+        for b in batches:
+            key, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.flatnonzero(np.diff(key * 2 + kind)) + 1
+            for at, end in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if at == end:
+                    continue
+                some = b.slice(at, end - at)
+                if key[at] != now:
+                    now, held, index = key[at], [], None
+                if not kind[at]:
+                    held.append(some)
+                    continue
+                if index is None and held:
+                    index, held = _Bucket(held), []
+                if index is not None:
+                    yield index.rank(some, k)
 
-    index = classes.select("class", "vec", "first").mapInArrow(routed, "bucket long, leaf long, class long, first long, raw binary")
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = "key long, kind int, id long, first long, leaf long, leaves array<long>, raw binary"
+    index = classes.select("class", "vec", "first").mapInArrow(routed, met)
     wanted = asked.join(classes, "vec").select("class", "vec")
-    probes = wanted.mapInArrow(probing, "bucket long, query long, leaves array<long>, raw binary")
-    probes = probes.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-    found = probes.groupBy("bucket", "block").cogroup(index.groupBy("bucket", "block")).applyInArrow(lambda p, i: rank(i, p), "query long, class long, first long, score double").distinct()
+    probes = wanted.mapInArrow(probing, met)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(buckets, trees * n * sample.shape[1] >> 23))
+    dealt = index.unionByName(probes).repartition(n_parts, "key").sortWithinPartitions("key", "kind")
+    found = dealt.mapInArrow(rank, "query long, class long, first long, score double").distinct()
     near = Window.partitionBy("query").orderBy("score", "first")
     best = found.withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1)
     pairs = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))

@@ -350,6 +350,65 @@ def test_few_vectors(spark):
     assert [(r["rank"], r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 0] == [(1, 100, 0.0), (2, 3, 1.0), (3, 100, math.sqrt(13))]
 
 
+def degenerate(kind: str) -> np.ndarray:
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((2000, 6))
+    if kind == "offset with ties":
+        return 1e7 + np.round(x)
+    if kind == "outliers":
+        x[:40] *= 1e6
+    if kind == "overflow":
+        x *= 1e200
+    if kind == "one direction":
+        x = np.outer(rng.integers(0, 400, 2000), np.ones(6)) + 1
+    if kind == "one dense leaf":
+        x[:1800] = 5 + 1e-9 * x[:1800]
+    return x
+
+
+@pytest.mark.parametrize("kind", ["offset with ties", "outliers", "overflow", "one direction", "one dense leaf"])
+@pytest.mark.parametrize("bucket_rows", [20_000, 50])
+def test_degenerate_vectors(spark, kind, bucket_rows):
+    x = degenerate(kind)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in rp_forest.nearest(frame, bucket_rows=bucket_rows, leaf_rows=16).collect():
+        got[r.query_id].append((r["rank"], r.score, r.vec_id))
+    with np.errstate(over="ignore"):
+        want = {q: np.sort(np.sqrt(((np.delete(x, q, 0) - x[q]) ** 2).sum(1)))[:10] for q in range(0, 2000, 100)}
+    assert sorted(got) == sorted(want)
+    hits = 0
+    for q, near in want.items():
+        found = sorted(got[q])
+        assert [n for n, _, _ in found] == list(range(1, 11)) and len({i for *_, i in found} - {q}) == 10
+        hits += sum(s <= near[-1] for _, s, _ in found)
+    assert hits >= 0.9 * 200
+
+
+def test_a_query_goes_on_until_it_has_enough_candidates():
+    x = np.random.default_rng(1).standard_normal((640, 5))
+    forest = rp_forest.fit(x, 2, 6)
+    counts = np.stack([np.bincount(leaf, minlength=64) for leaf in forest.route(x)])
+    for reached in forest.search(x[:20], 1, counts, 35):
+        held = [sum(counts[t, leaf] for t, leaf in reached if t == tree) for tree in range(2)]
+        before = [sum(counts[t, leaf] for t, leaf in reached[:-1] if t == tree) for tree in range(2)]
+        assert max(held) >= 35 > max(before)
+    assert all(len(r) == 128 for r in forest.search(x[:3], 1, counts, 10**6))
+
+
+def test_buckets_hold_leaves_and_large_leaves_are_cut():
+    counts = np.array([[5, 5, 0, 95, 7, 30], [1, 1, 1, 1, 1, 1]])
+    base, parts, n = rp_forest.bucket_plan(counts, 10)
+    assert parts.tolist() == [[1, 1, 1, 10, 1, 3], [1] * 6]
+    held = Counter()
+    for t in range(2):
+        for leaf in range(6):
+            for part in range(parts[t, leaf]):
+                held[base[t, leaf] + part] += counts[t, leaf] / parts[t, leaf]
+    assert max(held.values()) <= 10 and max(held) < n
+    assert not set(base[0].tolist()) & set(base[1].tolist())
+
+
 def test_temporal_join_against_brute_force(spark):
     rng = random.Random(4)
     hosts = ["a.com", "x.a.com", "b.org", "deep.x.a.com"]
