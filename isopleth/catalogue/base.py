@@ -20,10 +20,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 FIXTURES = {
     "users": "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS t, CAST(value AS DOUBLE) AS v FROM events",
-    "hourly": """SELECT CAST(s.t AS INTEGER) AS t, coalesce(x.s, 0) AS v FROM range(720) s(t) LEFT JOIN (
+    "span": "SELECT unnest(range(0, (SELECT date_diff('hour', min(date_trunc('hour', ts)), max(date_trunc('hour', ts))) + 1 FROM events))) AS t",
+    "hourly": """SELECT CAST(s.t AS INTEGER) AS t, coalesce(x.s, 0) AS v FROM span s LEFT JOIN (
         SELECT date_diff('hour', (SELECT min(date_trunc('hour', ts)) FROM events), date_trunc('hour', ts)) AS t, sum(value) AS s FROM events GROUP BY 1) x USING (t)""",
     "dayhour": "SELECT CAST(floor(t / 24) AS INTEGER) AS day, t % 24 AS hour, v FROM hourly",
-    "types": """SELECT k.event_type, CAST(s.t AS INTEGER) AS t, coalesce(x.s, 0) AS v FROM range(720) s(t) CROSS JOIN (SELECT DISTINCT event_type FROM events) k LEFT JOIN (
+    "types": """SELECT k.event_type, CAST(s.t AS INTEGER) AS t, coalesce(x.s, 0) AS v FROM span s CROSS JOIN (SELECT DISTINCT event_type FROM events) k LEFT JOIN (
         SELECT event_type, date_diff('hour', (SELECT min(date_trunc('hour', ts)) FROM events), date_trunc('hour', ts)) AS t, sum(value) AS s FROM events GROUP BY ALL) x
         ON x.t = s.t AND x.event_type = k.event_type""",
     "cells": "SELECT CAST(l_orderkey % 18 * 10 - 85 AS DOUBLE) AS lat, CAST(l_partkey % 36 * 10 AS DOUBLE) AS lon, CAST(l_linenumber * 100 AS DOUBLE) AS lev, date_trunc('month', l_shipdate) AS month, l_quantity FROM lineitem",
@@ -35,7 +36,7 @@ FIXTURES = {
     "levw": "SELECT lev, (hi - lo) * 100 / 9.80665 AS w FROM (SELECT lev, coalesce((lag(lev) OVER o + lev) / 2, lev) AS lo, coalesce((lead(lev) OVER o + lev) / 2, lev) AS hi FROM (SELECT DISTINCT lev FROM cells) WINDOW o AS (ORDER BY lev))",
     "comps": "SELECT vec_id, CAST(unnest(range(len(embedding))) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings",
 }
-_NEEDS = {"dayhour": ("hourly",), **{k: ("cells",) for k in ("grid", "flat", "monthly", "lonw", "latw", "levw")}}
+_NEEDS = {"hourly": ("span",), "types": ("span",), "dayhour": ("span", "hourly"), **{k: ("cells",) for k in ("grid", "flat", "monthly", "lonw", "latw", "levw")}}
 
 
 def with_fixtures(names: tuple[str, ...], body: str) -> str:

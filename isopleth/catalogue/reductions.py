@@ -122,15 +122,15 @@ def groupby_threshold(spark, sf_dir):
 
 
 @query(
-    """WITH qs AS (SELECT l_orderkey, pow(l_quantity / 51.0, 3) AS q FROM lineitem WHERE l_linenumber = 1),
+    """WITH qs AS (SELECT l_orderkey, l_linenumber, pow(l_quantity / 51.0, 3) AS q FROM lineitem),
     ps AS (SELECT round(2 * least(q, 1 - q), 12) AS p, count(*) AS c FROM qs GROUP BY 1),
     ranked AS (SELECT p, sum(c) OVER (ORDER BY p) AS upto, sum(c) OVER () AS n FROM ps),
     lim AS (SELECT max(p) / 2 AS t FROM ranked WHERE p <= (upto - 1) * 0.1 / n)
-    SELECT l_orderkey, coalesce(least(q, 1 - q) <= t, false) AS keep FROM qs CROSS JOIN lim""",
+    SELECT l_orderkey, l_linenumber, coalesce(least(q, 1 - q) <= t, false) AS keep FROM qs CROSS JOIN lim""",
 )
 def wilks_fdr(spark, sf_dir):
-    lines = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return red.wilks(lines.select("l_orderkey", F.pow(F.col("l_quantity") / 51.0, F.lit(3)).alias("q")), "q").select("l_orderkey", "keep")
+    lines = tables.table(spark, sf_dir, "lineitem")
+    return red.wilks(lines.select("l_orderkey", "l_linenumber", F.pow(F.col("l_quantity") / 51.0, F.lit(3)).alias("q")), "q").drop("q")
 
 
 @query(f"SELECT lat, lon, {sql_r('f.v + g.v', 'v')} FROM flat f JOIN (SELECT lat, lon, v FROM grid WHERE lev = 300) g USING (lat, lon)", "flat", "grid")

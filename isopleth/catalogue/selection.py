@@ -111,11 +111,13 @@ def sel_pair_ratio(spark, sf_dir):
     return rounded(sel.sel_pair(grid(spark, sf_dir), "lev", "ratio", (100.0, 500.0)))
 
 
-@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate BETWEEN '1995-03-01' AND '1995-06-30'")
+@query("SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders, (SELECT min(o_orderdate) AS a, max(o_orderdate) AS b FROM orders) WHERE o_orderdate BETWEEN a + INTERVAL 100 DAY AND b - INTERVAL 100 DAY")
 def match_overlap(spark, sf_dir):
-    day = F.col("o_orderdate").cast("date").alias("day")
-    days = tables.table(spark, sf_dir, "orders").select(day).distinct()
-    return sel.match(days.where("day between '1995-01-01' and '1995-06-30'"), days.where("day between '1995-03-01' and '1995-12-31'"))
+    """Two axes of days that begin and end 100 days apart."""
+    days = tables.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    ends = F.broadcast(days.agg(F.min("day").alias("a"), F.max("day").alias("b")))
+    part = lambda condition: days.crossJoin(ends).where(condition).select("day")
+    return sel.match(part("day <= date_sub(b, 100)"), part("day >= date_add(a, 100)"))
 
 
 @query("SELECT event_id, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(day(ts) AS INTEGER) AS day, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, CAST(second(ts) AS INTEGER) AS second FROM events")

@@ -11,27 +11,30 @@ from .base import day_hour, hourly, query, rounded, sql_r, users
 from .statistics import _AB, _pair
 
 
-def _dft(of: str, n: int = 720, ks: str | None = None) -> str:
-    ks = ks or f"range(1, {n // 2 + 1})"
-    turn = f"2 * pi() * k * t / {n}"
-    return f"SELECT CAST(k AS INTEGER) AS k, sum((v - m) * cos({turn})) / {n} AS re, -sum((v - m) * sin({turn})) / {n} AS im FROM {of} CROSS JOIN (SELECT avg(v) AS m FROM {of}) CROSS JOIN (SELECT unnest({ks}) AS k) GROUP BY k"
+def _dft(of: str, ks: str = "range(1, n // 2 + 1)") -> str:
+    turn = "2 * pi() * k * t / n"
+    return f"SELECT CAST(k AS INTEGER) AS k, n, sum((v - m) * cos({turn})) / n AS re, -sum((v - m) * sin({turn})) / n AS im FROM {of} CROSS JOIN (SELECT n, m, unnest({ks}) AS k FROM (SELECT avg(v) AS m, count(*) AS n FROM {of})) GROUP BY k, n"
 
 
-@query(f"WITH d AS ({_dft('hourly')}) SELECT k, {sql_r('k / 720.0', 'f')}, {sql_r('(re * re + im * im) * CASE WHEN k = 360 THEN 1 ELSE 2 END', 'power')} FROM d", "hourly")
+_TWICE = "CASE WHEN 2 * k = {n} THEN 1 ELSE 2 END"
+
+
+@query(f"WITH d AS ({_dft('hourly')}) SELECT k, {sql_r('k / n', 'f')}, {sql_r('(re * re + im * im) * ' + _TWICE.format(n='n'), 'power')} FROM d", "hourly")
 def power_dft(spark, sf_dir):
     return rounded(spec.power_dft(hourly(spark, sf_dir), "t"))
 
 
 _CO = f"{_AB.rstrip()}, x AS ({_dft('a')}), y AS ({_dft('b')})"
+_TWICE_X = _TWICE.format(n="x.n")
 
 
-@query(f"{_CO} SELECT k, {sql_r('k / 720.0', 'f')}, {sql_r('(x.re * y.re + x.im * y.im) * CASE WHEN k = 360 THEN 1 ELSE 2 END', 'c')}, {sql_r('(x.re * y.im - x.im * y.re) * CASE WHEN k = 360 THEN 1 ELSE 2 END', 'q')} FROM x JOIN y USING (k)", "types")
+@query(f"{_CO} SELECT k, {sql_r('k / x.n', 'f')}, {sql_r(f'(x.re * y.re + x.im * y.im) * {_TWICE_X}', 'c')}, {sql_r(f'(x.re * y.im - x.im * y.re) * {_TWICE_X}', 'q')} FROM x JOIN y USING (k)", "types")
 def copower_dft(spark, sf_dir):
     a, b = _pair(spark, sf_dir)
     return rounded(spec.copower_dft(a, b, "t"))
 
 
-_BACK = "SELECT t, round(sum(2 * (re * cos(2 * pi() * k * t / 720) - im * sin(2 * pi() * k * t / 720))), 6) + 0.0 AS v FROM d CROSS JOIN (SELECT t FROM hourly) GROUP BY t"
+_BACK = f"SELECT t, round(sum({_TWICE.format(n='n')} * (re * cos(2 * pi() * k * t / n) - im * sin(2 * pi() * k * t / n))), 6) + 0.0 AS v FROM d CROSS JOIN (SELECT t FROM hourly) GROUP BY t"
 
 
 @query(f"WITH d AS ({_dft('hourly', ks='range(1, 5)')}) {_BACK}", "hourly")
@@ -64,7 +67,7 @@ def waves(spark, sf_dir):
 
 @query(
     f"""WITH n AS (SELECT user_id, count(*) AS n, avg(v) AS m FROM users GROUP BY user_id),
-    d AS (SELECT user_id, k, n, sum((v - m) * cos(2 * pi() * k * t / n)) / n AS re, sum((v - m) * sin(2 * pi() * k * t / n)) / n AS im FROM users JOIN n USING (user_id) CROSS JOIN (SELECT unnest(range(2, 50)) AS k) WHERE k <= n // 2 GROUP BY user_id, k, n),
+    d AS (SELECT user_id, k, n, sum((v - m) * cos(2 * pi() * k * t / n)) / n AS re, sum((v - m) * sin(2 * pi() * k * t / n)) / n AS im FROM users JOIN (SELECT *, unnest(range(2, n // 2 + 1)) AS k FROM n) USING (user_id) GROUP BY user_id, k, n),
     p AS (SELECT user_id, k, (re * re + im * im) * CASE WHEN 2 * k = n THEN 1 ELSE 2 END AS pw FROM d)
     SELECT user_id, {sql_r('0.25 * sum(pw) / sum(k * pw)', 'centroid')} FROM p GROUP BY user_id""",
     "users",

@@ -24,7 +24,7 @@ def autocovar_maxlag(spark, sf_dir):
     return rounded(stats.autocovar(users(spark, sf_dir), "t", imaxlag=5))
 
 
-_TWO = "SELECT CAST(k AS DOUBLE) AS lag, round(sum(x * y) / (720 - abs(k)){}, 6) + 0.0 AS value FROM (SELECT k, a.v - ma AS x, b.v - mb AS y, sa, sb FROM a CROSS JOIN (SELECT unnest(range(-{k}, {k} + 1)) AS k) JOIN b ON b.t = a.t + k CROSS JOIN (SELECT avg(v) AS ma, stddev_pop(v) AS sa FROM a) CROSS JOIN (SELECT avg(v) AS mb, stddev_pop(v) AS sb FROM b)) GROUP BY k, sa, sb"
+_TWO = "SELECT CAST(k AS DOUBLE) AS lag, round(sum(x * y) / (n - abs(k)){}, 6) + 0.0 AS value FROM (SELECT k, n, a.v - ma AS x, b.v - mb AS y, sa, sb FROM a CROSS JOIN (SELECT unnest(range(-{k}, {k} + 1)) AS k) JOIN b ON b.t = a.t + k CROSS JOIN (SELECT avg(v) AS ma, stddev_pop(v) AS sa, count(*) AS n FROM a) CROSS JOIN (SELECT avg(v) AS mb, stddev_pop(v) AS sb FROM b)) GROUP BY k, n, sa, sb"
 _AB = "WITH a AS (SELECT t, v FROM types WHERE event_type = (SELECT min(event_type) FROM types)), b AS (SELECT t, v FROM types WHERE event_type = (SELECT max(event_type) FROM types)) "
 
 

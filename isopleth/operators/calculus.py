@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,18 +12,24 @@ from ..functions import units as u
 from ..functions.design import stencil
 from ..session import ship_package
 from . import kernels
-from .grid import KM
+from .grid import KM, axes, copied
 
 
 def _units(f: Field, dim: str, order: int) -> str:
     return (u.parse(f.units) / u.parse(f.coord_units.get(dim, "")) ** order).text
 
 
-def check_even(df: DataFrame, dim: str, tolerance: float = 1e-9) -> float:
-    """The step of an even axis; an error if steps differ.  One small aggregate."""
-    w = Window.orderBy(dim)
-    steps = df.select(dim).distinct().select((F.lead(dim).over(w) - F.col(dim)).alias("d")).where("d is not null")
-    least, most = steps.agg(F.min("d"), F.max("d")).first()
+def check_even(df: DataFrame, dim: str, tolerance: float = 1e-9, values: list | None = None) -> float:
+    """The step of an even axis; an error if steps differ."""
+    if values is None:
+        values = (axes(df, dim) or {}).get(dim)
+    if values is None:  # a long axis: one small aggregate
+        w = Window.orderBy(dim)
+        steps = df.select(dim).distinct().select((F.lead(dim).over(w) - F.col(dim)).alias("d")).where("d is not null")
+        least, most = steps.agg(F.min("d"), F.max("d")).first()
+    else:
+        steps = [b - a for a, b in pairwise(values)]
+        least, most = min(steps, default=None), max(steps, default=None)
     if least is None or most - least > tolerance * max(1.0, abs(most)):
         raise ValueError(f"{dim} is not evenly spaced")
     return float(most)
@@ -36,20 +44,26 @@ def _centred(v: Column, w, h: Column | float, order: int, accuracy: int) -> Colu
     return sum(parts[1:], parts[0]) / h**order
 
 
-def deriv_even(f: Field, dim: str, order: int = 1, accuracy: int = 2, cyclic: bool = False, keepedges: bool = False, h: float | None = None) -> Field:
+def wrapped(df: DataFrame, dim: str, axis: list, half: int, h: float) -> DataFrame:
+    """``df`` with the ``half`` rows next to either end of a circle repeated beyond the other."""
+    turn = type(axis[0])(axis[-1] - axis[0] + h)
+    return copied(df, dim, [(x, x - turn) for x in axis[-half:]] + [(x, x + turn) for x in axis[:half]])
+
+
+def deriv_even(f: Field, dim: str, order: int = 1, accuracy: int = 2, cyclic: bool = False, keepedges: bool = False, h: float | None = None, also: bool = False) -> Field:
     """Centred difference on even steps; at edges fewer points, or no row.
 
     A missing neighbour leaves NULL, so that the widest stencil that fits wins.
+    ``also`` keeps the value and puts the derivative beside it, as ``_d``.
     """
-    h = h if h is not None else check_even(f.df, dim)
     df, half = f.df, max(stencil(order, accuracy))
     if cyclic:
-        ends = F.broadcast(df.agg(F.min(dim).alias("_a"), F.max(dim).alias("_b")))
-        turn = F.col("_b") - F.col("_a") + h
-        df = df.join(ends)
-        low = df.where(F.col(dim) > F.col("_b") - (half - 0.5) * h).withColumn(dim, F.col(dim) - turn)
-        high = df.where(F.col(dim) < F.col("_a") + (half - 0.5) * h).withColumn(dim, F.col(dim) + turn)
-        df = df.unionByName(low).unionByName(high)
+        axis = (axes(df, dim) or {}).get(dim)
+        if axis is None:
+            raise ValueError(f"{dim} is too long to be cyclic")
+        h = check_even(df, dim, values=axis) if h is None else h
+        df = wrapped(df, dim, axis, half, h)
+    h = h if h is not None else check_even(f.df, dim)
     by = f.window(dim)
     tries = [_centred(f.v, by, h, order, a) for a in range(accuracy, 0, -2)] if keepedges else [_centred(f.v, by, h, order, accuracy)]
     if keepedges:
@@ -64,9 +78,11 @@ def deriv_even(f: Field, dim: str, order: int = 1, accuracy: int = 2, cyclic: bo
             tries += [inner(0), inner(-1), inner(-2), inner(-3)]
     df = df.withColumn("_d", F.coalesce(*tries))
     if cyclic:
-        df = df.where((F.col(dim) >= F.col("_a")) & (F.col(dim) <= F.col("_b")))
+        df = df.where((F.col(dim) >= axis[0]) & (F.col(dim) <= axis[-1]))
     elif not keepedges:
         df = df.withColumns({"_l": F.lag(F.lit(1), half).over(by), "_r": F.lead(F.lit(1), half).over(by)}).where("_l = 1 and _r = 1")
+    if also:
+        return f.with_df(df.select(*f.dims, f.value, "_d"))
     return f.with_df(df.select(*f.dims, F.col("_d").alias(f.value)), units=_units(f, dim, order))
 
 
@@ -139,21 +155,31 @@ def convergence(f: Field, dim: str = "lat", cos_power: int = 1) -> Field:
 def geolaplacian(f: Field, accuracy: int = 4) -> Field:
     """d2/dlon2 / (a cos)^2 - tan / a^2 d/dlat + d2/dlat2 / a^2, cyclic in lon; rows too
     near to the ends of lat for the stencil are left out.  Distances in km."""
-    rad = Field(f.df.select(*f.dims, f.value), f.dims, f.value)
-    step = {d: check_even(f.df, d) for d in ("lon", "lat")}
-    unit = 3.141592653589793 / 180
-    xx = deriv_even(rad, "lon", 2, accuracy, cyclic=True, h=step["lon"])
-    y = deriv_even(rad, "lat", 1, accuracy, h=step["lat"])
-    yy = deriv_even(rad, "lat", 2, accuracy, h=step["lat"])
-    df = xx.df.withColumnRenamed(f.value, "_xx").join(y.df.withColumnRenamed(f.value, "_y"), list(f.dims)).join(yy.df.withColumnRenamed(f.value, "_yy"), list(f.dims))
-    lat = F.radians("lat")
-    value = F.col("_xx") / unit**2 / F.pow(F.cos(lat) * KM, 2) - F.tan(lat) / KM**2 * F.col("_y") / unit + F.col("_yy") / unit**2 / KM**2
+    known = axes(f.df, "lon", "lat")
+    if known is None:
+        raise ValueError("an axis is too long for a grid")
+    dx, dy = (check_even(f.df, d, values=known[d]) * _RADIAN for d in ("lon", "lat"))
+    half, by, lat = max(stencil(2, accuracy)), f.window("lat"), F.radians("lat")
+    df = f.df.withColumns({"_y": _centred(f.v, by, dy, 1, accuracy), "_yy": _centred(f.v, by, dy, 2, accuracy), "_l": F.lag(F.lit(1), half).over(by), "_r": F.lead(F.lit(1), half).over(by)})
+    df = wrapped(df, "lon", known["lon"], half, known["lon"][1] - known["lon"][0])
+    df = df.withColumn("_xx", _centred(f.v, f.window("lon"), dx, 2, accuracy))
+    df = df.where((F.col("lon") >= known["lon"][0]) & (F.col("lon") <= known["lon"][-1]) & (F.col("_l") == 1) & (F.col("_r") == 1))
+    value = F.col("_xx") / F.pow(F.cos(lat) * KM, 2) - F.tan(lat) / KM**2 * F.col("_y") + F.col("_yy") / KM**2
     return f.with_df(df.select(*f.dims, value.alias(f.value)), units=(u.parse(f.units) / u.parse("km") ** 2).text)
 
 
+_RADIAN = 3.141592653589793 / 180
+
+
 def geogradient(f: Field, accuracy: int = 2) -> DataFrame:
-    """(dims, gx, gy): gradient in units a km, cyclic in lon."""
-    unit = 3.141592653589793 / 180
-    gx, gy = deriv_even(f, "lon", 1, accuracy, cyclic=True), deriv_even(f, "lat", 1, accuracy, keepedges=True)
-    gx = gx.df.select(*f.dims, (gx.v / (F.cos(F.radians("lat")) * KM * unit)).alias("gx"))
-    return gx.join(gy.df.select(*f.dims, (gy.v / (KM * unit)).alias("gy")), list(f.dims))
+    """(dims, gx, gy): gradient in units a km, cyclic in lon; two windows, no join."""
+    known = axes(f.df, "lon", "lat")
+    if known is None:
+        raise ValueError("an axis is too long for a grid")
+    lon = known["lon"]
+    steps = {d: check_even(f.df, d, values=known[d]) for d in ("lon", "lat")}
+    gy = deriv_even(f, "lat", 1, accuracy, keepedges=True, h=steps["lat"], also=True)
+    half = max(stencil(1, accuracy))
+    df = wrapped(gy.df, "lon", lon, half, steps["lon"]).withColumn("_dx", _centred(f.v, f.window("lon"), steps["lon"], 1, accuracy))
+    df = df.where((F.col("lon") >= lon[0]) & (F.col("lon") <= lon[-1]))
+    return df.select(*f.dims, (F.col("_dx") / (F.cos(F.radians("lat")) * KM * _RADIAN)).alias("gx"), (F.col("_d") / (KM * _RADIAN)).alias("gy"))

@@ -1,7 +1,8 @@
 """Coordinate tables, bounds, cell measures and padding of grids.
 
 A coordinate table has a row for each value of one dimension; it grows with the
-grid's edge, not with the data.
+grid's edge, not with the data.  The values are fetched by one pass over the
+coordinate columns when a plan is built; the plan itself then reads its input once.
 """
 
 from __future__ import annotations
@@ -14,14 +15,48 @@ from ..functions import constants as const
 KM = const.a / 1000
 
 
-def coordinate(df: DataFrame, dim: str, sharp: bool = True) -> DataFrame:
+#: Values of an axis that the driver takes; a longer axis stays a table.
+AXIS_MOST = 1 << 20
+
+
+def axes(df: DataFrame, *dims: str) -> dict[str, list] | None:
+    """Sorted values of axes, by one pass over the coordinate columns alone.
+
+    An axis is as long as the grid's edge.  None if one has over ``AXIS_MOST``
+    values, of which no more than that are ever fetched.
+    """
+    one = lambda i: F.struct(F.lit(i).alias("i"), *((F.col(d) if i == j else F.lit(None).cast(df.schema[d].dataType)).alias(f"x{j}") for j, d in enumerate(dims)))
+    rows = df.select(F.explode(F.array(*map(one, range(len(dims))))).alias("e")).select("e.*").distinct().limit(AXIS_MOST * len(dims) + 1).collect()
+    found = {d: sorted(r[j + 1] for r in rows if r[0] == j and r[j + 1] is not None) for j, d in enumerate(dims)}
+    return found if all(len(v) <= AXIS_MOST for v in found.values()) else None
+
+
+def cells(values: list, dim: str, sharp: bool = True) -> list[tuple]:
+    """(value, idx, lo, hi, delta) of each value of an axis; see ``coordinate``."""
+    out, n = [], len(values)
+    for i, x in enumerate(values):
+        before, after = values[i - 1] if i else None, values[i + 1] if i + 1 < n else None
+        x = float(x)
+        lo = (before + x) / 2 if before is not None else x if sharp or after is None else x - (after - x) / 2
+        hi = (x + after) / 2 if after is not None else x if sharp or before is None else x + (x - before) / 2
+        if dim == "lat":
+            lo, hi = max(lo, -90.0), min(hi, 90.0)
+        out.append((values[i], i, float(lo), float(hi), float(hi - lo)))
+    return out
+
+
+def coordinate(df: DataFrame, dim: str, sharp: bool = True, values: list | None = None) -> DataFrame:
     """(dim, idx, lo, hi, delta): cells centred on values, edges halfway between.
 
     End cells stop at their value (``sharp``) or reach half a step beyond it;
-    edges of ``lat`` stay within the poles.  Values are distinct, so that the one
-    window partition here is as long as the axis.
+    edges of ``lat`` stay within the poles.  ``values`` are those of the axis, if
+    known; otherwise they are fetched.
     """
-    w = Window.orderBy(dim)
+    if values is None:
+        values = (axes(df, dim) or {}).get(dim)
+    if values is not None:
+        return df.sparkSession.createDataFrame(cells(values, dim, sharp), f"`{dim}` {df.schema[dim].dataType.simpleString()}, idx int, lo double, hi double, delta double")
+    w = Window.orderBy(dim)  # one task, as long as the axis
     before, after = F.lag(dim).over(w), F.lead(dim).over(w)
     x = F.col(dim)
     lo = F.coalesce((before + x) / 2, x if sharp else x - (after - x) / 2, x)
@@ -42,13 +77,13 @@ def time_bounds(df: DataFrame, dim: str = "time") -> DataFrame:
     return steps.select(dim, (F.col("_t") - days).alias("lo"), F.col("_t").alias("hi"), days.alias("days"))
 
 
-def measure(df: DataFrame, dim: str, sharp: bool = True) -> DataFrame:
+def measure(df: DataFrame, dim: str, sharp: bool = True, values: list | None = None) -> DataFrame:
     """(dim, w_dim): the size of each cell along one dimension.
 
     lon: radians; lat: km times the cosine, which with lon's radians and the
     radius makes an area; lev (hPa): kg m-2; another dimension: its own units.
     """
-    t = coordinate(df, dim, sharp)
+    t = coordinate(df, dim, sharp, values)
     size: dict[str, Column] = {
         "lon": F.radians("delta") * KM,
         "lat": F.radians("delta") * KM * F.cos(F.radians("lat")),
@@ -59,7 +94,8 @@ def measure(df: DataFrame, dim: str, sharp: bool = True) -> DataFrame:
 
 def cell_measures(df: DataFrame, sharp: bool = True) -> DataFrame:
     """(lat, lon, width, depth, area): zonal and meridional sizes in km."""
-    lat, lon = coordinate(df, "lat", sharp), coordinate(df, "lon", sharp)
+    known = axes(df, "lat", "lon") or {}
+    lat, lon = (coordinate(df, d, sharp, known.get(d)) for d in ("lat", "lon"))
     depth = F.radians(lat["delta"]) * KM
     both = lat.select("lat", depth.alias("depth"), F.cos(F.radians("lat")).alias("cosine")).crossJoin(F.broadcast(lon.select("lon", (F.radians("delta") * KM).alias("arc"))))
     return both.select("lat", "lon", (F.col("arc") * F.col("cosine")).alias("width"), "depth", (F.col("arc") * F.col("cosine") * F.col("depth")).alias("area"))
@@ -84,42 +120,63 @@ def enforce_global(f: Field, longitude: bool = True, latitude: bool = True, vert
     nearest row is copied to a pole if it lies beyond 80 degrees; ``vertical``
     copies the end levels to 0 and 1013.25 hPa; ``zero`` empties the poles.
     """
-    df = f.df
-    if longitude and "lon" in f.dims:
-        ends = df.agg(F.min("lon").alias("_a"), F.max("lon").alias("_b"))
-        edge = df.join(F.broadcast(ends), F.col("lon") == F.col("_b")).where("_b - _a < 360")
-        df = df.unionByName(edge.withColumn("lon", F.col("lon") - 360).select(*df.columns))
-    for on, dim, least, most in ((latitude, "lat", -90.0, 90.0), (vertical, "lev", 0.0, 1013.25)):
-        if on and dim in f.dims:
-            ends = F.broadcast(df.agg(F.min(dim).alias("_a"), F.max(dim).alias("_b")))
-            near = (F.col("_a") <= -80, F.col("_b") >= 80) if dim == "lat" else (F.lit(True), F.lit(True))
-            low = df.join(ends, F.col(dim) == F.col("_a")).where(near[0] & (F.col("_a") > least)).withColumn(dim, F.lit(least))
-            high = df.join(ends, F.col(dim) == F.col("_b")).where(near[1] & (F.col("_b") < most)).withColumn(dim, F.lit(most))
-            df = df.unionByName(low.select(*df.columns)).unionByName(high.select(*df.columns))
+    asked = [d for on, d in ((longitude, "lon"), (latitude, "lat"), (vertical, "lev")) if on and d in f.dims]
+    found, df = axes(f.df, *asked) if asked else {}, f.df
+    if found is None:
+        raise ValueError("an axis is too long for a grid")
+    for dim in asked:
+        if not found[dim]:
+            continue
+        a, b = found[dim][0], found[dim][-1]
+        if dim == "lon":
+            extra = [(b, b - 360)] if b - a < 360 else []
+        elif dim == "lat":
+            extra = [(a, -90.0)] * (-90 < a <= -80) + [(b, 90.0)] * (80 <= b < 90)
+        else:
+            extra = [(a, 0.0)] * (a > 0) + [(b, 1013.25)] * (b < 1013.25)
+        df = copied(df, dim, extra)
     if zero:
         df = df.withColumn(f.value, F.when(F.abs("lat") == 90, F.lit(0.0)).otherwise(F.col(f.value)))
     return f.with_df(df)
 
 
+def copied(df: DataFrame, dim: str, extra: list[tuple[float, float]]) -> DataFrame:
+    """``df`` with further rows: those at the first value of a pair, moved to the second.
+    Rows are copied where they stand, in one pass."""
+    if not extra:
+        return df
+    kind = df.schema[dim].dataType
+    several: dict[float, list[float]] = {}
+    for at, to in extra:
+        several.setdefault(at, []).append(to)
+    places = F.array(F.col(dim))
+    for at, to in several.items():
+        places = F.when(F.col(dim) == F.lit(at), F.array(F.col(dim), *(F.lit(x).cast(kind) for x in to))).otherwise(places)
+    return df.withColumn(dim, F.explode(places)).select(*df.columns)
+
+
 def geopad(f: Field, nlon: int = 1, nlat: int = 0) -> Field:
     """Copies of ``nlon`` columns beyond either end of the circle, and of ``nlat`` rows
-    beyond either pole, taken from the other side of it."""
-    df = f.df
-    lon = F.broadcast(coordinate(df, "lon").select("lon", "idx").withColumn("_n", F.count("*").over(Window.partitionBy())))
-    out = df.join(lon, "lon")
-    left = out.where(F.col("idx") >= F.col("_n") - nlon).withColumn("lon", F.col("lon") - 360)
-    right = out.where(F.col("idx") < nlon).withColumn("lon", F.col("lon") + 360)
-    wide = out.unionByName(left).unionByName(right).select(*df.columns)
+    beyond either pole, taken from the other side of it; one pass."""
+    df, found = f.df, axes(f.df, "lon", "lat") if nlat else axes(f.df, "lon")
+    if found is None:
+        raise ValueError("an axis is too long for a grid")
+    lon = found["lon"]
+    df = copied(df, "lon", [(x, x - 360) for x in (lon[-nlon:] if nlon else [])] + [(x, x + 360) for x in lon[:nlon]])
     if not nlat:
-        return f.with_df(wide)
-    lat = F.broadcast(coordinate(df, "lat").select("lat", "idx").withColumn("_n", F.count("*").over(Window.partitionBy())))
-    rows = wide.join(lat, "lat")
-    across = F.when(F.col("lon") < 180, F.col("lon") + 180).otherwise(F.col("lon") - 180)
-    low = rows.where(F.col("idx") < nlat).withColumns({"lat": -180 - F.col("lat"), "lon": across})
-    high = rows.where(F.col("idx") >= F.col("_n") - nlat).withColumns({"lat": 180 - F.col("lat"), "lon": across})
-    return f.with_df(rows.unionByName(low).unionByName(high).select(*df.columns))
-
-
+        return f.with_df(df)
+    if len(lon) % 2:
+        raise ValueError("rows across a pole need an even number of longitudes")
+    place = lambda y, x: F.struct(y.cast("double").alias("y"), x.cast("double").alias("x"))
+    lat, across = F.col("lat"), F.when(F.col("lon") < 180, F.col("lon") + 180).otherwise(F.col("lon") - 180)
+    places = F.array(place(lat, F.col("lon")))
+    places = F.concat(places, F.when(lat <= found["lat"][:nlat][-1], F.array(place(-180 - lat, across))).otherwise(F.array().cast(_PLACES)))
+    places = F.concat(places, F.when(lat >= found["lat"][-nlat:][0], F.array(place(180 - lat, across))).otherwise(F.array().cast(_PLACES)))
+    df = df.withColumn("_at", F.explode(places)).withColumns({"lat": F.col("_at.y"), "lon": F.col("_at.x")})
+    return f.with_df(df.select(*f.df.columns))
+
+
+_PLACES = "array<struct<y:double,x:double>>"
 _ALIASES = {"lon": ("longitude", "long", "x"), "lat": ("latitude", "y"), "lev": ("level", "plev", "pres", "pressure", "height", "z", "theta"), "time": ("date", "datetime", "t")}
 _SIGNS = {"lon": "degree_E", "lat": "degree_N"}
 

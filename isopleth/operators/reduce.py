@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..field import Field
 from ..functions import units as u
-from .grid import measure
+from .grid import axes, measure
 
 _MEASURED = {"area": ("lon", "lat"), "volume": ("lon", "lat", "lev")}
 
@@ -39,8 +39,9 @@ def weighted(f: Field, dims, weight: Field | None = None) -> tuple[DataFrame, li
     size is the length of an axis.
     """
     gone, df, product = _dims(f, dims), f.df, F.lit(1.0)
+    known = (axes(f.df, *gone) if gone else {}) or {}
     for d in gone:
-        df = df.join(F.broadcast(measure(f.df, d)), d)
+        df = df.join(F.broadcast(measure(f.df, d, values=known.get(d))), d)
         product = product * F.col(f"w_{d}")
     df = df.withColumn("_w", product)
     if weight is None:
@@ -137,8 +138,9 @@ def geomean(f: Field, box: tuple[float, float, float, float] | None = None, weig
         from .grid import coordinate
 
         west, south, east, north = box
+        known = axes(df, "lon", "lat") or {}
         for dim, lo, hi in (("lon", west, east), ("lat", south, north)):
-            inside = coordinate(df, dim, sharp=False).where((F.col("lo") >= lo) & (F.col("hi") <= hi)).select(dim)
+            inside = coordinate(f.df, dim, sharp=False, values=known.get(dim)).where((F.col("lo") >= lo) & (F.col("hi") <= hi)).select(dim)
             df = df.join(F.broadcast(inside), dim)
     w = F.cos(F.radians("lat"))
     if weight is not None:

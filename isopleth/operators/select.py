@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..field import Field
 from ..functions.sphere import calendar, season
-from .grid import coordinate
+from .grid import axes, cells, coordinate
 
 
 def sel(f: Field, method: str | None = None, tolerance: float | None = None, **labels) -> Field:
@@ -35,24 +35,35 @@ def sel(f: Field, method: str | None = None, tolerance: float | None = None, **l
 
 
 def _stand_in(f: Field, dim: str, wanted: Sequence[float], method: str, tolerance: float | None) -> DataFrame:
-    """One pass over the distinct coordinates picks the label of each target."""
-    targets = f.df.sparkSession.createDataFrame([(float(w),) for w in wanted], "_t double")
-    gap = F.col(dim) - F.col("_t")
-    side = {"nearest": F.lit(True), "pad": gap <= 0, "ffill": gap <= 0, "backfill": gap >= 0, "bfill": gap >= 0}[method]
-    close = side & (F.abs(gap) <= tolerance) if tolerance is not None else side
-    pairs = f.df.select(dim).distinct().crossJoin(F.broadcast(targets)).where(close)
-    best = pairs.groupBy("_t").agg(F.min_by(dim, F.struct(F.abs(gap), F.col(dim))).alias(dim))
-    return f.df.join(F.broadcast(best), dim).drop("_t").select(*f.df.columns)
-
-
-def isel(f: Field, **places: int | Sequence[int]) -> Field:
+    """The axis picks the label of each target; a label that stands for several
+    targets gives its rows once."""
+    known = axes(f.df, dim)
+    if known is None:
+        raise ValueError(f"{dim} is too long to pick labels from")
+    ahead, back = method in ("backfill", "bfill"), method in ("pad", "ffill")
+    if not (ahead or back or method == "nearest"):
+        raise ValueError(f"unknown method {method!r}")
+    labels = []
+    for w in map(float, wanted):
+        near = [x for x in known[dim] if (tolerance is None or abs(x - w) <= tolerance) and not (ahead and x < w) and not (back and x > w)]
+        if near:
+            labels.append(min(near, key=lambda x: (abs(x - w), x)))
+    return f.df.where(F.col(dim).isin(*labels)) if labels else f.df.where(F.lit(False))
+
+
+def isel(f: Field, **places: int | Sequence[int] | slice) -> Field:
     """Cells by position along an axis; negative ones count from its end."""
-    df = f.df
+    df, known = f.df, axes(f.df, *places)
     for dim, want in places.items():
-        several = [want] if isinstance(want, int) else list(want)
-        idx = coordinate(f.df, dim).select(dim, "idx").withColumn("_n", F.count("*").over(Window.partitionBy()))
-        chosen = idx.where((F.col("idx").isin(*several)) | ((F.col("idx") - F.col("_n")).isin(*several))).select(dim)
-        df = df.join(F.broadcast(chosen), dim)
+        if known is None:
+            table = coordinate(f.df, dim).select(dim, "idx").withColumn("_n", F.count("*").over(Window.partitionBy()))
+            several = [want] if isinstance(want, int) else list(want)
+            chosen = table.where((F.col("idx").isin(*several)) | ((F.col("idx") - F.col("_n")).isin(*several))).select(dim)
+            df = df.join(F.broadcast(chosen), dim)
+            continue
+        axis = known[dim]
+        picked = axis[want] if isinstance(want, slice) else [axis[i] for i in ([want] if isinstance(want, int) else want) if -len(axis) <= i < len(axis)]
+        df = df.where(F.col(dim).isin(*picked)) if picked else df.where(F.lit(False))
     return f.with_df(df.select(*f.df.columns))
 
 
@@ -94,23 +105,33 @@ def truncate(f: Field, dim: str, lo: float | None = None, hi: float | None = Non
     cells meet halfway between rows, and no width is made or lost: widths add up
     to the part of the old cells within the bounds.
     """
-    axis = coordinate(f.df, dim)
-    ends = f.df.agg(F.min(dim), F.max(dim)).first()  # two numbers of an axis
-    lo, hi = (ends[0] if lo is None else float(lo)), (ends[1] if hi is None else float(hi))
-    seg = interp(f, dim, [lo, hi] if lo != hi else [lo], extrapolate=False)
-    inner = f.df.where((F.col(dim) > lo) & (F.col(dim) < hi))
-    df = inner.select(*f.dims, f.value).unionByName(seg.df.select(*f.dims, f.value))
-    beyond = [(b, e) for b, e in ((lo, ends[0]), (hi, ends[1])) if (b < e if e == ends[0] else b > e)]
-    for b, e in beyond:
-        df = df.unionByName(f.df.where(F.col(dim) == e).withColumn(dim, F.lit(b)).select(*f.dims, f.value))
-    rows = axis.where((F.col(dim) > lo) & (F.col(dim) < hi)).select(dim)
-    rows = rows.unionByName(f.df.sparkSession.createDataFrame([(b,) for b in dict.fromkeys((lo, hi))], f"{dim} double"))
-    new = coordinate(rows, dim).select(dim, F.col("lo").alias("_l"), F.col("hi").alias("_h"))
-    old = axis.select(F.greatest("lo", F.lit(lo)).alias("_ol"), F.least("hi", F.lit(hi)).alias("_oh"))
-    both = new.join(F.broadcast(old), (F.col("_ol") < F.col("_h")) & (F.col("_oh") > F.col("_l")), "left")
-    overlap = F.greatest(F.lit(0.0), F.least("_oh", "_h") - F.greatest("_ol", "_l"))
-    weights = both.groupBy(dim).agg(F.coalesce(F.sum(overlap), F.lit(0.0)).alias("weight"))
-    return f.with_df(df), weights
+    known = axes(f.df, dim)
+    if known is None:
+        raise ValueError(f"{dim} is too long to be cut")
+    old = cells(known[dim], dim)
+    first, last = (float(known[dim][0]), float(known[dim][-1])) if old else (0.0, 0.0)
+    lo, hi = (first if lo is None else float(lo)), (last if hi is None else float(hi))
+    # a row stands for itself, and the one before a bound for the row there too
+    by, here = f"PARTITION BY {', '.join(f'`{d}`' for d in f.rest(dim)) or '1'} ORDER BY `{dim}`", F.struct(F.col(dim).cast("double").alias("x"), f.v.alias("v"))
+    df = f.df.select(*f.dims, f.value).withColumn("_p", F.when(f.v.isNotNull(), here))
+    df = df.withColumns({"_n": F.expr(f"lead(_p) IGNORE NULLS OVER ({by})"), "_nn": F.expr(f"lead(_p, 2) IGNORE NULLS OVER ({by})")})
+    x, none = F.col(dim).cast("double"), F.array().cast("array<struct<x:double,v:double>>")
+    rows = F.when((x > lo) & (x < hi), F.array(F.struct(x.alias("x"), f.v.alias("v")))).otherwise(none)
+    for bound in dict.fromkeys((lo, hi)):
+        at = F.lit(bound)
+        inside = (F.col("_p.x") <= at) & ((at < F.col("_n.x")) | (F.col("_nn").isNull() & (at == F.col("_n.x"))))
+        value = F.col("_p.v") + (at - F.col("_p.x")) * (F.col("_n.v") - F.col("_p.v")) / (F.col("_n.x") - F.col("_p.x"))
+        point = F.when(F.coalesce(inside, F.lit(False)), F.array(F.struct(at.alias("x"), value.alias("v"))))
+        end = first if bound < first else last if bound > last else None
+        if end is not None:  # beyond the data: the end row, moved
+            point = F.when(x == end, F.array(F.struct(at.alias("x"), f.v.alias("v"))))
+        rows = F.concat(rows, point.otherwise(none))
+    cut = df.withColumn("_r", F.explode(rows)).select(*(F.col("_r.x").alias(d) if d == dim else F.col(d) for d in f.dims), F.col("_r.v").alias(f.value))
+    new = cells(sorted({float(c) for c in known[dim] if lo < c < hi} | {lo, hi}), dim)
+    weights = []
+    for at, _, a, b, _ in new:
+        weights.append((float(at), float(sum(max(0.0, min(oh, hi, b) - max(ol, lo, a)) for _, _, ol, oh, _ in old))))
+    return f.with_df(cut), f.df.sparkSession.createDataFrame(weights, f"`{dim}` double, weight double")
 
 
 def truncated_average(f: Field, dim: str, lo: float | None = None, hi: float | None = None) -> Field:
@@ -146,14 +167,17 @@ def sel_hemisphere(f: Field, which: str = "nh", invert: str | None = None) -> Fi
     or the mean of both."""
     if invert:
         f = invert_hemisphere(f, invert)
-    if which == "avg":
-        n, s = sel_hemisphere(f, "nh"), sel_hemisphere(f, "sh")
-        df = n.df.withColumnRenamed(f.value, "_n").join(s.df.withColumnRenamed(f.value, "_s"), list(f.dims))
-        return f.with_df(df.select(*f.dims, ((F.col("_n") + F.col("_s")) / 2).alias(f.value)))
+    lats = (axes(f.df, "lat") or {}).get("lat") or []
+    lat = F.col("lat")
+    # each hemisphere from the row at or just across the equator on
+    north, south = (max((y for y in side if y <= 0), default=-1e9) for side in (lats, [-y for y in lats]))
+    if which == "nh":
+        return f.with_df(f.df.where(lat >= north).select(*f.df.columns))
     if which == "sh":
-        f = reverse_hemisphere(f)
-    edge = F.broadcast(f.df.where("lat <= 0").agg(F.max("lat").alias("_e")))
-    return f.with_df(f.df.crossJoin(edge).where(F.col("lat") >= F.coalesce("_e", F.lit(-1e9))).select(*f.df.columns))
+        return f.with_df(f.df.where(-lat >= south).withColumn("lat", -lat).select(*f.df.columns))
+    places = F.filter(F.array(F.when(lat >= north, lat), F.when(-lat >= south, -lat)), lambda y: y.isNotNull())
+    both = f.df.withColumn("lat", F.explode(places)).groupBy(*f.dims).agg(F.count("*").alias("_rows"), F.when(F.count(f.v) == 2, F.sum(f.v) / 2).alias(f.value))
+    return f.with_df(both.where("_rows = 2").select(*f.dims, f.value))
 
 
 def sel_pair(f: Field, dim: str, which: str, values: tuple[float, float]) -> Field:

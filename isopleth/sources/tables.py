@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-HOURS = 720
-
 
 def read(spark: SparkSession, path: str, kind: str = "parquet", **options) -> DataFrame:
     return spark.read.format(kind).options(**options).load(path)
@@ -28,17 +26,16 @@ def user_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hourly(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """(keys, t, v): sums of the events of each hour, zero where there are none.
 
-    The spine is as long as the span of hours, a dimension, not the data.
+    The spine runs from the first to the last hour of the data: a dimension, as
+    long as their span, not as the data.
     """
-    events = table(spark, sf_dir, "events")
-    hour = F.date_trunc("hour", "ts")
-    first = events.agg(F.min(hour).alias("h0"))
-    t = F.floor((F.unix_micros(hour.cast("timestamp")) - F.unix_micros(F.col("h0").cast("timestamp"))) / 3_600_000_000).cast("int")
-    sums = events.crossJoin(F.broadcast(first)).groupBy(*keys, t.alias("t")).agg(F.sum("value").alias("s"))
-    spine = spark.range(HOURS).select(F.col("id").cast("int").alias("t"))
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
+    sums = table(spark, sf_dir, "events").groupBy(*keys, hour.alias("h")).agg(F.sum("value").alias("s"))
+    ends = sums.agg(F.min("h").alias("h0"), F.max("h").alias("h1"))
+    spine = ends.select("h0", F.explode(F.sequence("h0", "h1")).alias("h"))
     if keys:
-        spine = spine.crossJoin(F.broadcast(events.select(*keys).distinct()))
-    return spine.join(sums, [*keys, "t"], "left").select(*keys, "t", F.coalesce("s", F.lit(0.0)).alias("v"))
+        spine = spine.crossJoin(F.broadcast(sums.select(*keys).distinct()))
+    return spine.join(sums, [*keys, "h"], "left").select(*keys, (F.col("h") - F.col("h0")).cast("int").alias("t"), F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
 def day_hour(spark: SparkSession, sf_dir: str) -> DataFrame:

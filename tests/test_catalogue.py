@@ -69,6 +69,16 @@ def test_no_query_multiplies_scans_or_misses_pruning(spark):
     assert "l_comment" not in plan and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_linenumber:int,l_quantity:double>" in plan
 
 
+@pytest.mark.parametrize(
+    "name, most",
+    [("average_area", 1), ("average_volume", 1), ("integral_area", 1), ("enforce_global", 1), ("geopad", 1), ("laplacian", 1), ("gradient", 1), ("truncate_lat", 1), ("truncate_rows", 1), ("deriv_cyclic", 3), ("sel_hemisphere_avg", 1), ("anomaly", 2), ("get_reduce_chain", 1)],
+)
+def test_inputs_are_read_once(spark, name, most):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.partition("== Initial Plan ==")[0] if "== Initial Plan ==" in plan else plan
+    assert 1 <= plan.count("FileScan") <= most, plan
+
+
 def test_linetrack_takes_every_crossing_of_every_user(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     rows, crossings = QUERIES["linetrack"](spark, sf).collect(), defaultdict(lambda: defaultdict(list))
