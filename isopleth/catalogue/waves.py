@@ -29,20 +29,59 @@ def eqlat(spark, sf_dir):
     return rounded(wave.eqlat(_quantised(spark, sf_dir)))
 
 
-@query()
-def eqlat_mass(spark, sf_dir):
+# a mass that varies from cell to cell
+_MASS = """m AS (SELECT lat, lon, 1 + (lat + 90) / 180 + (lon % 30) / 30 AS sigma FROM flat),
+massed AS (SELECT lat, lon, v, sigma * band * radians(10) * pow(6.3710088e6, 2) AS mass FROM q JOIN bands USING (lat) JOIN m USING (lat, lon)),
+rankedm AS (SELECT v, row_number() OVER (ORDER BY v, lat, lon) - 1 AS i, count(*) OVER () AS n, sum(mass) OVER (ORDER BY v) AS below FROM massed),
+rows AS (SELECT greatest(lat - 5, -90) AS lo, least(lat + 5, 90) AS hi, sum(mass) AS m, sum(sum(mass)) OVER (ORDER BY lat) AS up FROM massed GROUP BY lat),
+cm AS (SELECT v AS q, i AS k, min(lo + (hi - lo) * (below - up + m) / m) AS eqlat FROM rankedm JOIN rows ON below > up - m AND below <= up * (1 + 1e-12) WHERE i >= (n % 10) // 2 AND (i - (n % 10) // 2) % 10 = 0 GROUP BY v, i)"""
+
+
+def _sigma(spark, sf_dir) -> Field:
     ones = flat(spark, sf_dir)
-    return rounded(wave.eqlat(_quantised(spark, sf_dir), mass=ones.with_value(F.lit(2.0))))
+    return ones.with_value(1 + (F.col("lat") + 90) / 180 + (F.col("lon") % 30) / 30)
 
 
-@query()
+@query(f"WITH q AS (SELECT lat, lon, floor(v * 20 + 0.5) / 20 AS v FROM flat), {_AREA.split(',' + chr(10) + 'cells')[0]}, {_MASS} SELECT {sql_r('q', 'q')}, CAST(k AS INTEGER) AS k, {sql_r('eqlat', 'eqlat')} FROM cm", "flat")
+def eqlat_mass(spark, sf_dir):
+    return rounded(wave.eqlat(_quantised(spark, sf_dir), mass=_sigma(spark, sf_dir)))
+
+
+def _activity(flip: bool, local: bool, massed: bool = False, omega: bool = False) -> str:
+    """Every contour with every cell, said plainly."""
+    sign = -1 if flip else 1
+    base = f"WITH q AS (SELECT {sign} * lat AS lat, lon, {sign} * floor(v * 20 + 0.5) / 20 AS v, {sign} * v AS omega FROM flat), " + _AREA.replace("cells AS (SELECT lat, lon, v", "sized AS (SELECT lat, lon, v, omega").replace("FROM cells", "FROM sized")
+    mass = ", " + _MASS.replace("m AS (SELECT lat, lon", f"m AS (SELECT {sign} * lat AS lat, lon") if massed else ""
+    lines = "cm" if massed else "(SELECT v AS q, degrees(asin(least(greatest(2 * below / total - 1, -1), 1))) AS eqlat FROM ranked WHERE i >= (n % 10) // 2 AND (i - (n % 10) // 2) % 10 = 0)"
+    key, what = ("lon, " if local else ""), ("omega" if omega else "v")
+    size = "radians(least(lat + 5, 90) - greatest(lat - 5, -90)) * 6.3710088e6 * cos(radians(lat))" if local else "area"
+    circle = "" if local else " * 2 * pi() * 6.3710088e6"
+    return f"""{base}{mass}, lines AS (SELECT eqlat, min(q) AS q FROM {lines} GROUP BY eqlat),
+    parts AS (SELECT *, least(greatest((sin(radians(eqlat)) - sin(radians(greatest(lat - 5, -90)))) / (sin(radians(least(lat + 5, 90))) - sin(radians(greatest(lat - 5, -90)))), 0), 1) AS south FROM sized CROSS JOIN lines),
+    act AS (SELECT {key}eqlat, sum(CASE WHEN v >= q THEN south ELSE south - 1 END * {what} * {size}) / (cos(radians(eqlat)){circle}) AS a FROM parts WHERE abs(eqlat) < 90 - 1e-9 GROUP BY {key}eqlat),
+    seg AS (SELECT {key}eqlat AS x0, a AS a0, lead(eqlat) OVER w AS x1, lead(a) OVER w AS a1, lag(eqlat) OVER w IS NULL AS first FROM act WINDOW w AS ({'PARTITION BY lon ' if local else ''}ORDER BY eqlat))
+    SELECT {key}{sign} * lat AS lat, {sql_r('CASE WHEN lat <= x0 OR x1 IS NULL THEN a0 ELSE a0 + (lat - x0) * (a1 - a0) / (x1 - x0) END / 1e6', 'v', 5)}
+    FROM seg JOIN (SELECT DISTINCT lat FROM q) ON (first OR lat >= x0) AND (x1 IS NULL OR lat < x1)"""
+
+
+def _mega(f: Field):
+    return rounded(f.with_value(f.v / 1e6), 5)
+
+
+@query(_activity(True, False), "flat")
 def waq(spark, sf_dir):
-    return rounded(wave.waq(_quantised(spark, sf_dir)))
+    return _mega(wave.waq(_quantised(spark, sf_dir)))
 
 
-@query()
+@query(_activity(False, False, massed=True, omega=True), "flat")
+def waq_mass_omega(spark, sf_dir):
+    """Contours by mass, another field as the integrand, not flipped."""
+    return _mega(wave.waq(_quantised(spark, sf_dir), sigma=_sigma(spark, sf_dir), omega=flat(spark, sf_dir), flip=False))
+
+
+@query(_activity(True, True), "flat")
 def waqlocal(spark, sf_dir):
-    return rounded(wave.waqlocal(_quantised(spark, sf_dir)))
+    return _mega(wave.waqlocal(_quantised(spark, sf_dir)))
 
 
 def _dataset(spark, sf_dir) -> Dataset:
