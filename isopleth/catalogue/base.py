@@ -44,6 +44,8 @@ def with_fixtures(names: tuple[str, ...], body: str) -> str:
     wanted = dict.fromkeys(x for n in names for x in (*_NEEDS.get(n, ()), n))
     ctes = [f"{n} AS ({FIXTURES[n]})" for n in FIXTURES if n in wanted]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join([*ctes, body[15:]])}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join([*ctes, body[5:]])}"
     return f"WITH {', '.join(ctes)} {body}" if ctes else body

@@ -113,10 +113,23 @@ def deriv_uneven2(spark, sf_dir):
     return rounded(cal.deriv_uneven(_uneven(spark, sf_dir), "x", 2))
 
 
-@query()
+# third derivative of the polynomial through the nodes: for node i, 6 / prod(x_i - x_j) times the
+# sum over triples of the other nodes of the product of (x - x_j) over those left
+_NODES = """WITH p AS (SELECT user_id, t + t % 3 * 0.25 AS x, v, row_number() OVER (PARTITION BY user_id ORDER BY t + t % 3 * 0.25) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM users),
+r AS (SELECT *, CASE WHEN i >= 3 AND i < n - 3 THEN 7 ELSE least(n, greatest(4, 2 * least(i, n - 1 - i) + 1)) END AS m FROM p),
+b AS (SELECT *, CASE WHEN i >= 3 AND i < n - 3 THEN i - 3 WHEN i < 3 THEN 0 ELSE n - m END AS lo FROM r WHERE m > 3),
+s AS (SELECT b.user_id, b.i, b.x, p.i AS j, p.x AS xj, p.v AS y FROM b JOIN p ON p.user_id = b.user_id AND p.i >= b.lo AND p.i < b.lo + b.m),
+below AS (SELECT a.user_id, a.i, a.j, product(a.xj - c.xj) AS d FROM s a JOIN s c ON c.user_id = a.user_id AND c.i = a.i AND c.j <> a.j GROUP BY ALL),
+triples AS (SELECT a.user_id, a.i, a.j, c.j AS c, d.j AS d, e.j AS e FROM s a JOIN s c ON c.user_id = a.user_id AND c.i = a.i AND c.j <> a.j JOIN s d ON d.user_id = a.user_id AND d.i = a.i AND d.j > c.j AND d.j <> a.j
+  JOIN s e ON e.user_id = a.user_id AND e.i = a.i AND e.j > d.j AND e.j <> a.j),
+above AS (SELECT t.user_id, t.i, t.j, c, d, e, coalesce(product(o.x - o.xj), 1) AS f FROM triples t LEFT JOIN s o ON o.user_id = t.user_id AND o.i = t.i AND o.j NOT IN (t.j, c, d, e) GROUP BY ALL),
+total AS (SELECT user_id, i, j, sum(f) AS f FROM above GROUP BY ALL)"""
+
+
+@query(f"{_NODES} SELECT s.user_id, CAST(s.x AS DOUBLE) AS x, {sql_r('sum(6 * y * f / d)', 'v', 4)} FROM s JOIN below USING (user_id, i, j) JOIN total USING (user_id, i, j) GROUP BY s.user_id, s.i, s.x", "users")
 def deriv_fornberg(spark, sf_dir):
     """A kernel: third order at accuracy 4 on uneven points, edges kept."""
-    return rounded(cal.deriv_uneven(_uneven(spark, sf_dir), "x", 3, 4, keepedges=True))
+    return rounded(cal.deriv_uneven(_uneven(spark, sf_dir), "x", 3, 4, keepedges=True), 4)
 
 
 @query(f"SELECT user_id, CAST(t + 0.5 AS DOUBLE) AS t, {sql_r(f'lead(v) {_O} - v')} FROM users QUALIFY lead(t) {_O} IS NOT NULL", "users")
@@ -178,7 +191,26 @@ def filter_forward_backward(spark, sf_dir):
     return rounded(win.fir(users(spark, sf_dir), "t", _B, n=2))
 
 
-@query()
+# bilinear transform of the two poles of order two with a cutoff of ten steps
+_K = math.tan(math.pi / 10)
+_A0 = 1 + math.sqrt(2) * _K + _K * _K
+_IIR = {"b0": _K * _K / _A0, "b1": 2 * _K * _K / _A0, "b2": _K * _K / _A0, "a1": 2 * (_K * _K - 1) / _A0, "a2": (1 - math.sqrt(2) * _K + _K * _K) / _A0}
+
+
+def _recursion(of: str, name: str, order: str) -> str:
+    """A CTE: one pass over each user's series, whose places are numbered from 1 by ``order``."""
+    step = f"{_IIR['b0']!r} * x + {_IIR['b1']!r} * x1 + {_IIR['b2']!r} * x2 - {_IIR['a1']!r} * y1 - {_IIR['a2']!r} * y2"
+    return f"""{name}i AS (SELECT user_id, t, z, row_number() OVER (PARTITION BY user_id ORDER BY t {order}) AS i FROM {of}),
+    {name} AS (SELECT user_id, t, i, {_IIR['b0']!r} * z AS z, z AS x1, CAST(0 AS DOUBLE) AS x2, CAST(0 AS DOUBLE) AS y2 FROM {name}i WHERE i = 1
+      UNION ALL SELECT user_id, t, i, {step}, x, x1, y1 FROM (SELECT n.user_id, n.t, n.i, n.z AS x, p.x1, p.x2, p.z AS y1, p.y2 FROM {name} p JOIN {name}i n ON n.user_id = p.user_id AND n.i = p.i + 1))"""
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT user_id, t, v - avg(v) OVER (PARTITION BY user_id) AS z, avg(v) OVER (PARTITION BY user_id) AS m, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM users),
+    {_recursion('c', 'forth', '')}, {_recursion('forth', 'back', 'DESC')}
+    SELECT c.user_id, c.t, CASE WHEN c.i > 2 AND c.i <= n - 2 THEN round(back.z + m, 6) + 0.0 END AS v FROM c JOIN back USING (user_id, t)""",
+    "users",
+)
 def butterworth_filter(spark, sf_dir):
     """A kernel: two passes of a recursive low-pass filter."""
     return rounded(win.recursive(users(spark, sf_dir), "t", *design.butterworth(1.0, 3, 10.0)))

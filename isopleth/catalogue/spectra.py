@@ -79,30 +79,71 @@ def centroid(spark, sf_dir):
     return rounded(spec.centroid(Field(p, ("user_id", "k"), "power"), lat=None))
 
 
-@query()
+def _segmented(of: str, name: str, trend: str = "avg(v)", width: int = 240) -> str:
+    """CTEs: half-overlapping Hann segments of a series and the coefficients of each."""
+    return f"""{name}s AS (SELECT s, t - s AS j, v - ({trend}) AS z FROM (SELECT s, t, v, regr_slope(v, t) OVER w AS m, regr_intercept(v, t) OVER w AS c, avg(v) OVER w AS a
+      FROM (SELECT unnest(range(0, (count(*) // {width} - 1) * {width} + 1, {width // 2})) AS s FROM {of}) JOIN {of} ON t >= s AND t < s + {width} WINDOW w AS (PARTITION BY s))),
+    {name}c AS (SELECT s, k, sum(z * h * cos(2 * pi() * k * j / {width})) / {width / 2} AS re, -sum(z * h * sin(2 * pi() * k * j / {width})) / {width / 2} AS im
+      FROM (SELECT *, 0.5 - 0.5 * cos(2 * pi() * j / {width}) AS h FROM {name}s) CROSS JOIN (SELECT unnest(range(1, {width // 2 + 1})) AS k) GROUP BY s, k)"""
+
+
+@query(f"WITH {_segmented('hourly', 'x', 'a')} SELECT {sql_r('k / 240', 'f')}, {sql_r('avg((re * re + im * im) * ' + _TWICE.format(n=240) + ')', 'power')} FROM xc GROUP BY k", "hourly")
 def power_segments(spark, sf_dir):
     """A kernel: half-overlapping Hann windows of 240 hours."""
     return rounded(spec.power(hourly(spark, sf_dir), "t", nperseg=240, wintype="hann"))
 
 
-@query()
+_CROSS = f"""{_AB.rstrip()}, {_segmented('a', 'x', 'c + m * t')}, {_segmented('b', 'y', 'c + m * t')},
+m AS (SELECT k, avg((x.re * y.re + x.im * y.im) * w) AS c, avg((x.re * y.im - x.im * y.re) * w) AS q, avg((x.re * x.re + x.im * x.im) * w) AS p1, avg((y.re * y.re + y.im * y.im) * w) AS p2
+  FROM xc x JOIN (SELECT *, {_TWICE.format(n=240)} AS w FROM yc) y USING (s, k) GROUP BY k)"""
+_ANGLE = "CASE WHEN atan2(q, c) < 0 THEN degrees(atan2(q, c)) + 360 ELSE degrees(atan2(q, c)) END"
+
+
+@query(f"{_CROSS} SELECT {sql_r('k / 240', 'f')}, {sql_r('c', 'c')}, {sql_r('q', 'q')}, {sql_r('p1', 'p1')}, {sql_r('p2', 'p2')}, {sql_r('c * c / (p1 * p2)', 'coherence')}, round({_ANGLE}, 4) % 360 + 0.0 AS phase FROM m", "types")
 def copower_segments(spark, sf_dir):
     a, b = _pair(spark, sf_dir)
-    return rounded(spec.copower(a, b, "t", nperseg=240, wintype="hann", detrend="linear"))
+    df = spec.copower(a, b, "t", nperseg=240, wintype="hann", detrend="linear")
+    return rounded(df.withColumn("phase", F.round("phase", 4) % 360))
+
+
+def _plane(of: str, name: str) -> str:
+    """CTEs: anomalies of days and hours and their coefficients in both."""
+    turn = "2 * pi() * (k * hour / 24 + f * day / n)"
+    return f"""{name}n AS (SELECT count(DISTINCT day) - count(DISTINCT day) % 2 AS n FROM {of}),
+    {name}d AS (SELECT day, hour, n, v - avg(v) OVER (PARTITION BY hour) AS v FROM {of}, {name}n WHERE day < n),
+    {name}z AS (SELECT day, hour, n, v - avg(v) OVER (PARTITION BY day) AS z FROM {name}d),
+    {name} AS (SELECT k, f, n, sum(z * cos({turn})) / (24 * n) AS re, -sum(z * sin({turn})) / (24 * n) AS im FROM {name}z
+      CROSS JOIN (SELECT unnest(range(1, 13)) AS k) CROSS JOIN (SELECT unnest(range(-(n // 2), n // 2 + 1)) AS f FROM {name}n) WHERE f <> 0 GROUP BY k, f, n)"""
 
 
-@query()
+_ONCE = "CASE WHEN k = 12 THEN 1 ELSE 2 END"
+
+
+@query(f"WITH {_plane('dayhour', 'x')} SELECT {sql_r('k / 24', 'k')}, {sql_r('f / n', 'f')}, {sql_r(f'(re * re + im * im) * {_ONCE}', 'power')} FROM x", "dayhour")
 def power2d(spark, sf_dir):
     return rounded(spec.spectra2d(day_hour(spark, sf_dir), "hour", "day"))
 
 
-@query()
+@query(
+    f"""WITH squared AS (SELECT day, hour, v * v / 1e4 AS v FROM dayhour), {_plane('dayhour', 'x')}, {_plane('squared', 'y')},
+    m AS (SELECT k, f, x.n AS n, (x.re * y.re + x.im * y.im) * {_ONCE} AS c, (x.im * y.re - x.re * y.im) * {_ONCE} AS q, (x.re * x.re + x.im * x.im) * {_ONCE} AS p1, (y.re * y.re + y.im * y.im) * {_ONCE} AS p2 FROM x JOIN y USING (k, f))
+    SELECT {sql_r('k / 24', 'k')}, {sql_r('f / n', 'f')}, {sql_r('c', 'c')}, {sql_r('q', 'q')}, {sql_r('p1', 'p1')}, {sql_r('p2', 'p2')}, {sql_r('(c * c + q * q) / (p1 * p2)', 'coherence')}, round({_ANGLE}, 4) % 360 + 0.0 AS phase FROM m""",
+    "dayhour",
+)
 def copower2d(spark, sf_dir):
     f = day_hour(spark, sf_dir)
-    return rounded(spec.spectra2d(f, "hour", "day", f.with_value(f.v * f.v)))
+    return rounded(spec.spectra2d(f, "hour", "day", f.with_value(f.v * f.v / 1e4)).withColumn("phase", F.round("phase", 4) % 360))
+
+
+# modified Bessel function of order zero by its series
+_I0 = "list_sum(list_transform(range(0, 25), lambda k: pow({} / 2, 2 * k) / pow(CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE), 2)))"
+_SHAPES = {
+    "boxcar": "1", "hann": "0.5 - 0.5 * cos(u)", "hamming": "0.54 - 0.46 * cos(u)", "blackman": "0.42 - 0.5 * cos(u) + 0.08 * cos(2 * u)", "bartlett": "1 - abs(i / 8 - 1)", "welch": "1 - pow(i / 8 - 1, 2)",
+    "kaiser": f"{_I0.format('(5 * sqrt(greatest(1 - pow(i / 8 - 1, 2), 0)))')} / {_I0.format('5.0')}", "gaussian": "exp(-0.5 * pow((i - 8) / 3, 2))",
+}
 
 
-@query()
+@query("WITH p AS (SELECT CAST(i AS INTEGER) AS i, 2 * pi() * i / 16 AS u FROM range(16) r(i)) " + " UNION ALL ".join(f"SELECT '{k}' AS kind, i, {sql_r(w, 'w')} FROM p" for k, w in _SHAPES.items()))
 def window_shapes(spark, sf_dir):
     """Weights of every window of 16 points."""
     kinds = ["boxcar", "hann", "hamming", "blackman", "bartlett", "welch", ("kaiser", 5.0), ("gaussian", 3.0)]

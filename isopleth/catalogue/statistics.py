@@ -73,10 +73,19 @@ def timescale_lag1(spark, sf_dir):
     return rounded(stats.timescale_lag1(users(spark, sf_dir), "t"))
 
 
-@query()
+# Gauss-Newton on the rate, 60 steps of it
+_FIT = f"""WITH RECURSIVE {_Z}, r AS ({' UNION ALL '.join(_LAGGED.format(k=k, s=' / nullif(var_pop(z), 0)').replace('round(', '(').replace(', 6) + 0.0 AS', ') AS') for k in range(21))}),
+c AS (SELECT user_id, list(value ORDER BY lag) AS c FROM r GROUP BY user_id),
+g AS (SELECT user_id, c, -ln(CASE WHEN c[2] > 0 AND c[2] < 1 THEN c[2] ELSE 0.5 END) AS rate, 0 AS i FROM c
+  UNION ALL SELECT user_id, c, rate + CASE WHEN step < 0 AND -step >= rate THEN step / pow(2, floor(log2(-step / rate)) + 1) ELSE step END, i + 1 FROM (
+    SELECT user_id, c, rate, i, list_sum(list_transform(range(21), lambda k: -k * exp(-rate * k) * (c[k + 1] - exp(-rate * k)))) / greatest(list_sum(list_transform(range(21), lambda k: pow(k * exp(-rate * k), 2))), 1e-300) AS step FROM g WHERE i < 200))"""
+
+
+@query(f"{_FIT} SELECT user_id, round(exp(-rate), 5) + 0.0 AS decay FROM g WHERE i = 200", "users")
 def timescale_fit(spark, sf_dir):
-    """A kernel fits each series' few correlations."""
-    return rounded(stats.timescale(users(spark, sf_dir), "t", imaxlag=20))
+    """What the fitted line leaves after a step, e^(-1 / timescale)."""
+    fits = stats.timescale(users(spark, sf_dir), "t", imaxlag=20)
+    return rounded(fits.select("user_id", F.exp(-1 / F.col("tau")).alias("decay")), 5)
 
 
 @query(f"WITH z AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS z FROM comps) SELECT a.i AS a, b.i AS b, {sql_r('sum(a.z * b.z)', 'g')} FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY a.i, b.i", "comps")
@@ -84,25 +93,51 @@ def eof_gram(spark, sf_dir):
     return rounded(stats.gram(components(spark, sf_dir), "vec_id", "i"))
 
 
-@query()
-def eof(spark, sf_dir):
-    """Eigenvalues and effective size; the eigenproblem is a kernel."""
-    return rounded(stats.eof(components(spark, sf_dir), "vec_id", "i", percent=True)[2])
+_ANOMALY = "z AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS z FROM comps)"
 
 
-@query()
+@query(f"WITH {_ANOMALY} SELECT vec_id, i, {sql_r('z', 'z')} FROM z", "comps")
+def eof_projections(spark, sf_dir):
+    """All components times their projections are the anomalies again."""
+    f = components(spark, sf_dir)
+    pcs, projections, _ = stats.eof(f, "vec_id", "i", neof=1 << 10)
+    z = pcs.join(projections, "eof").groupBy("vec_id", "i").agg(F.sum(F.col("pc") * F.col("proj")).alias("z"))
+    return rounded(z)
+
+
+@query("SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS r FROM (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS a) CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS b)")
 def eof_components(spark, sf_dir):
-    return rounded(stats.eof(components(spark, sf_dir), "vec_id", "i")[0])
+    """Components have unit variance and no correlation with one another."""
+    pcs = stats.eof(components(spark, sf_dir), "vec_id", "i")[0]
+    both = pcs.select("vec_id", F.col("eof").alias("a"), F.col("pc").alias("x")).join(pcs.select("vec_id", F.col("eof").alias("b"), F.col("pc").alias("y")), "vec_id")
+    return rounded(both.groupBy("a", "b").agg(F.avg(F.col("x") * F.col("y")).alias("r")))
 
 
-@query()
-def eof_projections(spark, sf_dir):
-    return rounded(stats.eof(components(spark, sf_dir), "vec_id", "i")[1])
+@query(f"WITH {_ANOMALY}, g AS (SELECT a.i AS a, b.i AS b, sum(a.z * b.z) / (SELECT count(DISTINCT vec_id) FROM comps) AS g FROM z a JOIN z b USING (vec_id) GROUP BY ALL) SELECT {sql_r('sum(g)', 'trace')}, {sql_r('(SELECT sum(g * g) FROM g)', 'squares')}, CAST(count(*) AS BIGINT) AS n FROM g WHERE a = b", "comps")
+def eof(spark, sf_dir):
+    """The sums of all eigenvalues and of their squares are those of the matrix."""
+    values = stats.eof(components(spark, sf_dir), "vec_id", "i", neof=1 << 10)[2]
+    return rounded(values.agg(F.sum("eval").alias("trace"), F.sum(F.col("eval") * F.col("eval")).alias("squares"), F.count("*").alias("n")))
+
+
+@query(
+    f"""WITH {_ANOMALY}, l AS (SELECT i, sum(z * n) / (count(*) - 1) / nullif(var_pop(z), 0) AS r FROM (SELECT i, z, lead(z) OVER (PARTITION BY i ORDER BY vec_id) AS n FROM z) GROUP BY i)
+    SELECT {sql_r('(SELECT count(DISTINCT vec_id) FROM comps) * (1 - avg(r)) / (1 + avg(r))', 'neff')} FROM l""",
+    "comps",
+)
+def eof_neff(spark, sf_dir):
+    return rounded(stats.eof(components(spark, sf_dir), "vec_id", "i", neof=1)[2].select("neff"))
 
 
-@query()
+@query("SELECT CAST(unnest(range(20)) AS BIGINT) AS sample, CAST(200 AS BIGINT) AS n, 0.0 AS x0, true AS small_mean, true AS unit_deviation")
 def rednoise(spark, sf_dir):
-    return rounded(generators.rednoise(spark, 0.8, 200, 20, seed=1))
+    """Each sample starts at zero, and what is new at a step has mean 0 and deviation 1."""
+    from pyspark.sql import Window
+
+    df = generators.rednoise(spark, 0.8, 200, 20, seed=1)
+    new = (F.col("v") - 0.8 * F.lag("v").over(Window.partitionBy("sample").orderBy("t"))) / (1 - 0.64) ** 0.5
+    sums = df.withColumn("e", new).groupBy("sample").agg(F.count("*").alias("n"), F.min_by("v", "t").alias("x0"), F.avg("e").alias("m"), F.stddev("e").alias("s"))
+    return sums.select(F.col("sample").cast("long").alias("sample"), "n", "x0", (F.abs("m") < 0.3).alias("small_mean"), (F.abs(F.col("s") - 1) < 0.2).alias("unit_deviation"))
 
 
 _H = "pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2)"

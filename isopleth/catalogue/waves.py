@@ -133,8 +133,20 @@ def get_pair(spark, sf_dir):
     return rounded(_dataset(spark, sf_dir).get("temperature_anomaly", pair=("lev", (200.0, 600.0))))
 
 
-@query()
+_VARIABLES = """('longitude', 'longitude', 'degE', ['lon']), ('latitude', 'latitude', 'degN', ['lat']), ('cell_width', 'cell width', 'km', ['width']), ('cell_depth', 'cell depth', 'km', ['depth']),
+('cell_height', 'cell height', 'kg m^-2', ['height_mass']), ('cell_duration', 'cell duration', 'days', ['duration']), ('cell_area', 'cell area', 'km^2', ['area']), ('cell_volume', 'cell volume', 'kg', ['volume']),
+('meridional_coordinate', 'meridional coordinate', 'km', []), ('cosine_latitude', 'cosine latitude', '', []), ('coriolis_parameter', 'Coriolis parameter', 's^-1', []), ('beta_parameter', 'beta parameter', 'm^-1 s^-1', []),
+('reference_height', 'reference height', 'km', []), ('reference_density', 'reference density', 'kg m^-3', []), ('reference_potential_temperature', 'reference potential temperature', 'K', []),
+('energy', 'energy', 'MJ m^-2 100hPa^-1', []), ('energy_flux', 'vertical energy flux', 'W m^-2 100hPa^-1', []), ('meridional_energy_flux', 'meridional energy flux', 'MJ m^-2 100hPa^-1 m s^-1', []),
+('momentum', 'momentum', 'm s^-1', []), ('meridional_momentum_flux', 'meridional momentum flux', 'm^2 s^-2', []), ('acceleration', 'acceleration', 'm s^-1 day^-1', []), ('temperature', 'temperature', 'K', ['t', 'temp']),
+('pressure', 'pressure', 'hPa', ['pres']), ('potential_temperature', 'potential temperature', 'K', ['pot_temp'])"""
+
+
+@query(f"SELECT name, long_name, standard_units, array_to_string(aliases, ',') AS aliases FROM (VALUES {_VARIABLES}) v(name, long_name, standard_units, aliases)")
 def variable_registry(spark, sf_dir):
-    from ..plans.registry import variables
+    """The variables that are there from the start."""
+    from ..plans.registry import Registry, define_defaults
 
-    return variables.frame(spark)
+    own = Registry()
+    define_defaults(own)
+    return own.frame(spark).withColumn("aliases", F.array_join("aliases", ","))

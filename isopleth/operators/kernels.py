@@ -81,6 +81,22 @@ def copower(dx: float, y1: np.ndarray, y2: np.ndarray, nperseg=None, wintype="bo
     return np.arange(1, f1.shape[1] + 1) / (2 * f1.shape[1] * dx), c, q, p1, p2, coh, phase
 
 
+def dft(t: np.ndarray, y: np.ndarray, centre: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    """Coefficients 1 to n // 2 of the n values that are there, at their places ``t``."""
+    there = np.isfinite(y)
+    t, y = t[there], y[there]
+    n = len(y)
+    if not n:
+        return np.zeros(0), np.zeros(0), 0
+    y = y - y.mean() if centre else y
+    by = np.argsort(t)
+    if (t[by] == np.arange(n)).all():
+        c = np.fft.rfft(y[by])[1 : n // 2 + 1] / n
+        return c.real, c.imag, n
+    out = np.array([(y * np.exp(-2j * np.pi * k * t / n)).sum() / n for k in range(1, n // 2 + 1)])
+    return out.real, out.imag, n
+
+
 def _transform2d(y: np.ndarray, nperseg, wintype, detrend) -> np.ndarray:
     """(segment, f from -N to N without 0, k from 1): y is (time, cyclic)."""
     parts = segments(y, nperseg)

@@ -79,16 +79,22 @@ def spectra2d(f: Field, cyclic: str, time: str, g: Field | None = None, dx_lon:
 def dft(f: Field, dim: str, ks: Sequence[int] | None = None, centre: bool = True) -> DataFrame:
     """(rest, k, re, im, n): coefficients sum(y e^(-2 pi i k t / n)) / n, t in order of ``dim``.
 
-    A join with the list of wave numbers and one aggregate: partial sums come
-    before the shuffle and no series meets in one task's memory.  ``dim`` counts 0, 1, 2...
+    ``dim`` counts 0, 1, 2...  For a few wave numbers ``ks`` this is a join with them
+    and one aggregate: partial sums come before the shuffle and no series meets in
+    one task's memory.  All wave numbers take a fast transform, a series a task.
     """
     rest, spark = f.rest(dim), f.df.sparkSession
-    sums = f.df.groupBy(*rest).agg(F.count(f.v).alias("n"), F.avg(f.v).alias("_m"))
-    sized = f.df.join(F.broadcast(sums), rest) if rest else f.df.crossJoin(F.broadcast(sums))
     if ks is None:
-        waves_of = sized.withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2).cast("int"))))
-    else:
-        waves_of = sized.crossJoin(F.broadcast(spark.createDataFrame([(int(k),) for k in ks], "k int")))
+        value = f.value
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            re, im, n = kernels.dft(pdf[dim].to_numpy(float), pdf[value].to_numpy(float), centre)
+            return pd.DataFrame({"k": np.arange(1, len(re) + 1, dtype=np.int32), "re": re, "im": im, "n": n})
+
+        return _grouped(f.df.select(*f.dims, value), rest, run, "k int, re double, im double, n long")
+    sums = f.df.groupBy(*rest).agg(F.count(f.v).alias("n"), F.avg(f.v).alias("_m"))
+    sized = f.df.join(sums, rest) if rest else f.df.crossJoin(F.broadcast(sums))
+    waves_of = sized.crossJoin(F.broadcast(spark.createDataFrame([(int(k),) for k in ks], "k int")))
     turn = F.col("k") * F.col(dim) * F.lit(2 * math.pi) / F.col("n")
     y = f.v - F.col("_m") if centre else f.v
     return waves_of.groupBy(*rest, "k").agg((F.sum(y * F.cos(turn)) / F.first("n")).alias("re"), (-F.sum(y * F.sin(turn)) / F.first("n")).alias("im"), F.first("n").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..field import Field
 from ..session import ship_package
 from . import kernels
+from .grid import axes
 
 
 def lags(n_max: int | None = None, lag: float | None = None, maxlag: float | None = None, ilag: int | None = None, imaxlag: int | None = None, dt: float = 1.0, both: bool = False) -> list[int]:
@@ -121,23 +122,79 @@ def timescale(f: Field, dim: str, dt: float = 1.0, imaxlag: int = 50) -> DataFra
     return packed.mapInPandas(run, schema)
 
 
+def centred(f: Field, component: str, rest: list[str]) -> DataFrame:
+    """The cells with ``_z``, the value less its component's mean."""
+    means = f.df.groupBy(*rest, component).agg(F.avg(f.v).alias("_mean"))
+    return f.df.join(means, [*rest, component]).withColumn("_z", f.v - F.col("_mean")).drop("_mean")
+
+
+def scaled(df: DataFrame, component: str, weights: DataFrame | None) -> DataFrame:
+    """``_z`` times the root of each component's weight over the mean one."""
+    if weights is None:
+        return df
+    mean = F.broadcast(weights.agg(F.avg("weight").alias("_mw")))  # one row
+    w = weights.crossJoin(mean).select(component, F.sqrt(F.col("weight") / F.col("_mw")).alias("_w"))
+    return df.join(w, component).withColumn("_z", F.col("_z") * F.col("_w")).drop("_w")
+
+
 def gram(f: Field, sample: str, component: str, weights: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """(rest, a, b, g): centred products of all pairs of one axis, summed over the other.
 
-    ``by`` is the axis that stays, the shorter one.
+    ``by`` is the axis that stays, the shorter one.  Tasks take whole rows of the
+    other axis, multiply blocks of them and give one partial matrix each, so that
+    products are never rows; a missing cell counts as its mean.
     """
     rest = f.rest(sample, component)
     keep = by or component
     over = sample if keep == component else component
-    df = f.df.withColumn("_z", f.v - F.avg(f.v).over(Window.partitionBy(*rest, component)))
-    if weights is not None:
-        mean = F.broadcast(weights.agg(F.avg("weight").alias("_mw")))
-        w = weights.crossJoin(mean).select(component, F.sqrt(F.col("weight") / F.col("_mw")).alias("_w"))
-        df = df.join(F.broadcast(w), component).withColumn("_z", F.col("_z") * F.col("_w"))
-    left = df.select(*rest, over, F.col(keep).alias("a"), F.col("_z").alias("_l"))
-    right = df.select(*rest, over, F.col(keep).alias("b"), F.col("_z").alias("_r"))
-    pairs = left.join(right, [*rest, over]).where("a <= b")
-    return pairs.groupBy(*rest, "a", "b").agg(F.sum(F.col("_l") * F.col("_r")).alias("g"))
+    known = (axes(f.df, keep) or {}).get(keep)
+    if known is None:
+        raise ValueError(f"{keep} is too long for a matrix")
+    df = scaled(centred(f, component, rest), component, weights)
+    ship_package(f.df.sparkSession)
+    kind = f.df.schema[keep].dataType.simpleString()
+    heads = "".join(f"`{c}` {f.df.schema[c].dataType.simpleString()}, " for c in rest)
+    place = {x: i for i, x in enumerate(known)}
+
+    def run(batches):
+        sums: dict[tuple, np.ndarray] = {}
+        held = None
+
+        def changes(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+            """Where a row differs from the one before it."""
+            out = np.zeros(len(pdf), bool)
+            for c in columns:
+                out[1:] |= pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1]
+            return out
+
+        def add(pdf: pd.DataFrame) -> None:
+            ends = [*np.flatnonzero(changes(pdf, rest)), len(pdf)]
+            for at, end in zip([0, *ends], ends):  # noqa: B905
+                part = pdf.iloc[at:end]
+                row = np.cumsum(changes(part, [over]))
+                x = np.zeros((row[-1] + 1, len(place)))
+                np.add.at(x, (row, part[keep].map(place).to_numpy()), part["_z"].fillna(0.0).to_numpy())
+                key = tuple(part[c].iloc[0] for c in rest)
+                sums[key] = sums.get(key, 0) + x.T @ x
+
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            # the last row of the other axis may go on in the next batch
+            cut = int(np.flatnonzero(changes(pdf, [*rest, over]))[-1]) if changes(pdf, [*rest, over]).any() else 0
+            held = pdf.iloc[cut:]
+            if cut:
+                add(pdf.iloc[:cut])
+        if held is not None and len(held):
+            add(held)
+        i, j = np.triu_indices(len(place))
+        axis = np.asarray(known)
+        for key, m in sums.items():
+            yield pd.DataFrame({**dict(zip(rest, key, strict=True)), "a": axis[i], "b": axis[j], "g": m[i, j]})
+
+    slim = df.select(*rest, over, keep, "_z").repartition(*rest, over).sortWithinPartitions(*rest, over)
+    return slim.mapInPandas(run, f"{heads}a {kind}, b {kind}, g double").groupBy(*rest, "a", "b").agg(F.sum("g").alias("g"))
 
 
 def eof(f: Field, sample: str, component: str, neof: int = 5, weights: DataFrame | None = None, percent: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -175,13 +232,9 @@ def eof(f: Field, sample: str, component: str, neof: int = 5, weights: DataFrame
 
     loads = g.groupBy(*rest).applyInPandas(run, schema)
     value = "pct" if percent else "eval"
-    z = f.df.withColumn("_z", f.v - F.avg(f.v).over(Window.partitionBy(*rest, component)))
+    z = centred(f, component, rest)
     if keep == component:
-        scaled = z
-        if weights is not None:
-            mean = F.broadcast(weights.agg(F.avg("weight").alias("_mw")))
-            scaled = z.join(F.broadcast(weights.crossJoin(mean)), component).withColumn("_z", F.col("_z") * F.sqrt(F.col("weight") / F.col("_mw")))
-        raw = scaled.join(loads, [*rest, component]).groupBy(*rest, "eof", sample).agg(F.sum(F.col("_z") * F.col("load")).alias("_p"))
+        raw = scaled(z, component, weights).join(loads, [*rest, component]).groupBy(*rest, "eof", sample).agg(F.sum(F.col("_z") * F.col("load")).alias("_p"))
     else:
         raw = loads.select(*rest, "eof", sample, F.col("load").alias("_p"))
     whole = Window.partitionBy(*rest, "eof")
@@ -192,5 +245,5 @@ def eof(f: Field, sample: str, component: str, neof: int = 5, weights: DataFrame
     lag1 = z.withColumn("_n", F.lead("_z").over(by)).groupBy(*rest, component).agg((F.sum(F.col("_z") * F.col("_n")) / (nt - 1) / F.nullif(F.var_pop("_z"), F.lit(0.0))).alias("_r"))
     rho = lag1.groupBy(*rest).agg(F.avg("_r").alias("_r"))
     values = loads.select(*rest, "eof", F.col(value).alias("eval")).distinct()
-    values = values.join(F.broadcast(rho), rest) if rest else values.crossJoin(F.broadcast(rho))
+    values = values.join(rho, rest) if rest else values.crossJoin(F.broadcast(rho))
     return pcs, projections, values.select(*rest, "eof", "eval", (F.lit(nt) * (1 - F.col("_r")) / (1 + F.col("_r"))).alias("neff"))

@@ -132,8 +132,7 @@ class Registry:
         return spark.createDataFrame([(v.name, v.long_name, v.standard_units, list(v.aliases)) for v in self], "name string, long_name string, standard_units string, aliases array<string>")
 
 
-variables = Registry()
-for _name, _long, _units, _aliases in (
+_DEFAULTS = (
     ("longitude", "longitude", "degE", ("lon",)), ("latitude", "latitude", "degN", ("lat",)), ("cell_width", "cell width", "km", ("width",)),
     ("cell_depth", "cell depth", "km", ("depth",)), ("cell_height", "cell height", "kg m^-2", ("height_mass",)), ("cell_duration", "cell duration", "days", ("duration",)),
     ("cell_area", "cell area", "km^2", ("area",)), ("cell_volume", "cell volume", "kg", ("volume",)),
@@ -142,5 +141,13 @@ for _name, _long, _units, _aliases in (
     ("energy", "", "MJ m^-2 100hPa^-1", ()), ("energy_flux", "vertical energy flux", "W m^-2 100hPa^-1", ()), ("meridional_energy_flux", "", "MJ m^-2 100hPa^-1 m s^-1", ()),
     ("momentum", "", "m s^-1", ()), ("meridional_momentum_flux", "", "m^2 s^-2", ()), ("acceleration", "", "m s^-1 day^-1", ()), ("temperature", "", "K", ("t", "temp")),
     ("pressure", "", "hPa", ("pres",)), ("potential_temperature", "", "K", ("pot_temp",)),
-):
-    variables.define(_name, _long, _units, _aliases)
+)
+
+
+def define_defaults(registry: Registry) -> None:
+    for name, long_name, units, aliases in _DEFAULTS:
+        registry.define(name, long_name, units, aliases)
+
+
+variables = Registry()
+define_defaults(variables)
