@@ -198,3 +198,15 @@ def compact(source: str, magnitude: float) -> str:
     prefixes = {p: s for p, s in _PREFIXES.items() if p in ("", "n", "u", "m", "k", "M", "G", "T", "P") and p + bare in _KNOWN}
     fits = [p for p, s in prefixes.items() if 1 <= abs(magnitude) * now / s < 1000]
     return (fits[0] + bare if fits else m[1]) + m[2]
+
+
+@dataclass(frozen=True)
+class Quantity:
+    """A number with units: a limit, a label, a width or a value to be assigned."""
+
+    value: float
+    units: str = ""
+
+    def to(self, units: str, context: bool = False) -> Quantity:
+        scale, offset = factors(self.units, units, context)
+        return Quantity(self.value * scale + offset, units)

@@ -10,7 +10,44 @@ from ..session import ship_package
 from . import kernels
 
 
-def find(f: Field, dim: str, diff: int = 0, which: str = "both", level: float = 0.0) -> DataFrame:
+def find(
+    f: Field, dim: str, diff: int = 0, which: str = "both", level: float = 0.0, centered: bool = False, track: str | None = None,
+    nmax: int | None = None, seed: list[float] | None = None, sep: float | None = None,
+) -> DataFrame:
+    """(rest, x0, y0, kind) of all crossings or, with ``track``, (rest, track, x0, y0, number):
+    crossings joined to lines along another dimension, see ``linetrack``.
+
+    Differences lie between points or, ``centered``, on them: less exact places,
+    more exact values.
+    """
+    found = _centred_extrema(f, dim, diff, which) if diff and centered else _crossings(f, dim, diff, which, level)
+    if track is None:
+        return found
+    rest = f.rest(dim, track)
+    lines = linetrack(found, rest, track, nmax, seed, sep).withColumnRenamed("track", "_line")
+    # two crossings of a row at one place are one
+    values = found.groupBy(*rest, track, "x0").agg(F.min("y0").alias("y0"))
+    return lines.join(values, [*rest, track, "x0"]).select(*rest, track, "x0", "y0", F.col("_line").alias("number"))
+
+
+def _centred_extrema(f: Field, dim: str, diff: int, which: str) -> DataFrame:
+    """Where the derivative on the points crosses zero, and the value there."""
+    from .calculus import deriv_uneven
+
+    d = deriv_uneven(f, dim, diff, keepedges=True)
+    both = d.df.withColumnRenamed(d.value, "_d").join(f.df, list(f.dims))
+    by, x, s = f.window(dim), F.col(dim).cast("double"), F.col("_d")
+    df = both.select(*f.rest(dim), dim, x.alias("_x"), f.v.alias("_v"), "_d").where("_d is not null and _v is not null")
+    df = df.withColumns({"_t": F.lead("_d").over(by), "_r": F.lag("_d").over(by), "_xn": F.lead("_x").over(by), "_vn": F.lead("_v").over(by)})
+    crosses, exact, part = s * F.col("_t") < 0, (s == 0) & (F.col("_r") * F.col("_t") < 0), -s / (F.col("_t") - s)
+    x0 = F.when(exact, F.col("_x")).otherwise(F.col("_x") + part * (F.col("_xn") - F.col("_x")))
+    y0 = F.when(exact, F.col("_v")).otherwise(F.col("_v") + part * (F.col("_vn") - F.col("_v")))
+    kind = F.when(F.when(exact, F.col("_r")).otherwise(s) < 0, "negpos").otherwise("posneg")
+    out = df.where(F.coalesce(crosses | exact, F.lit(False))).select(*f.rest(dim), x0.alias("x0"), y0.alias("y0"), kind.alias("kind"))
+    return out if which == "both" else out.where(F.col("kind") == which)
+
+
+def _crossings(f: Field, dim: str, diff: int = 0, which: str = "both", level: float = 0.0) -> DataFrame:
     """(rest, x0, y0, kind) where the value (``diff`` 0) or its first difference (1)
     crosses ``level``; y0 is the value there.
 

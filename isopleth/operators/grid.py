@@ -101,6 +101,29 @@ def cell_measures(df: DataFrame, sharp: bool = True) -> DataFrame:
     return both.select("lat", "lon", (F.col("arc") * F.col("cosine")).alias("width"), "depth", (F.col("arc") * F.col("cosine") * F.col("depth")).alias("area"))
 
 
+def default_measures(f: Field, names: list[str]) -> dict[str, Field]:
+    """Cell sizes as fields: width, depth, area (km), height (kg m-2), duration (days), volume."""
+    known = axes(f.df, *f.dims) or {}
+    one = {d: measure(f.df, d, values=known.get(d)) for d in ("lon", "lat", "lev") if d in f.dims}
+    out = {}
+    for name in names:
+        if name == "duration":
+            out[name] = Field(time_bounds(f.df).select("time", F.col("days").alias("v")), ("time",), "v", "days", name)
+            continue
+        if name in ("width", "depth"):  # both vary with latitude on the sphere
+            both = cell_measures(f.df) if "lat" in f.dims and "lon" in f.dims else None
+            dims = ("lat", "lon") if name == "width" else ("lat",)
+            df = both.select(*dims, F.col(name).alias("v")).distinct() if both is not None else one["lon" if name == "width" else "lat"].toDF("lon" if name == "width" else "lat", "v")
+            out[name] = Field(df, tuple(df.columns[:-1]), "v", "km", name)
+            continue
+        dims = {"height": ("lev",), "area": ("lat", "lon"), "volume": ("lat", "lon", "lev")}[name]
+        df, value = one[dims[0]], F.col(f"w_{dims[0]}")
+        for d in dims[1:]:  # axes, whose product is the grid itself
+            df, value = df.crossJoin(F.broadcast(one[d])), value * F.col(f"w_{d}")
+        out[name] = Field(df.select(*dims, value.alias("v")), dims, "v", {"height": "kg m^-2", "area": "km^2", "volume": "km^2 kg m^-2"}[name], name)
+    return out
+
+
 def cell_height(bottom: Column, top: Column, kind: str = "pressure", surface: Column | None = None, tropopause: Column | None = None, density: Column | None = None) -> Column:
     """Mass or thickness of a layer: dp / g of pressures in hPa clipped to the surface
     and tropopause, dz, or pseudo-density times dtheta; never negative, zero if unknown."""

@@ -7,8 +7,8 @@ import numpy as np
 from ..functions.design import fornberg, window
 
 
-def filter_series(y: np.ndarray, b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
-    """``n`` alternating passes about the mean; ends the passes cannot know are NaN."""
+def filter_passes(y: np.ndarray, b: np.ndarray, a: np.ndarray, n: int) -> np.ndarray:
+    """``n`` passes about the mean in alternating directions, from rest."""
     if not np.isfinite(y).all() or len(y) < max(len(a), len(b)):
         return np.full(len(y), np.nan)
     mean, x = y.mean(), y - y.mean()
@@ -23,14 +23,7 @@ def filter_series(y: np.ndarray, b: np.ndarray, a: np.ndarray, n: int) -> np.nda
             state[1:] = state[:-1].copy()
             state[0] = w
         x = out[:: -1 if k % 2 else 1]
-    half, full = (size - 1) // 2, x + mean
-    if n % 2:
-        full = np.concatenate([full[2 * half :] if half else full, np.full(2 * half, np.nan)])
-        full = np.roll(full, half) if half else full
-    trim = (n // 2) * 2 * half
-    if trim:
-        full[:trim] = full[len(full) - trim :] = np.nan
-    return full
+    return x + mean
 
 
 def segments(y: np.ndarray, nperseg: int | None) -> np.ndarray:

@@ -39,8 +39,14 @@ def weighted(f: Field, dims, weight: Field | None = None) -> tuple[DataFrame, li
     size is the length of an axis.
     """
     gone, df, product = _dims(f, dims), f.df, F.lit(1.0)
-    known = (axes(f.df, *gone) if gone else {}) or {}
-    for d in gone:
+    left = list(gone)
+    for name, over in (("volume", {"lon", "lat", "lev"}), ("area", {"lon", "lat"}), ("width", {"lon"}), ("depth", {"lat"}), ("height", {"lev"}), ("duration", {"time"})):
+        if name in f.measures and over <= set(left):  # weights of the field's own
+            own = f.measures[name]
+            df = df.join(own.df.withColumnRenamed(own.value, f"w_{name}"), list(own.dims))
+            product, left = product * F.col(f"w_{name}"), [d for d in left if d not in over]
+    known = (axes(f.df, *left) if left else {}) or {}
+    for d in left:
         df = df.join(F.broadcast(measure(f.df, d, values=known.get(d))), d)
         product = product * F.col(f"w_{d}")
     df = df.withColumn("_w", product)

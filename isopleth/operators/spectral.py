@@ -137,8 +137,9 @@ def highpower(f: Field, dim: str, n: int) -> Field:
     return _inverse(f, dim, best)
 
 
-def response(spark: SparkSession, dx: float, b: Sequence[float], a: Sequence[float] = (1.0,), n: int = 1000) -> DataFrame:
-    """(x, h): magnitude of a filter's response at ``n`` frequencies up to one cycle a step."""
+def response(spark: SparkSession, dx: float, b: Sequence[float], a: Sequence[float] = (1.0,), n: int = 1000, manual: bool = False) -> DataFrame:
+    """(x, h): magnitude of a filter's response at ``n`` frequencies up to one cycle a step;
+    ``manual`` gives the signed one of a symmetric filter, from its own weights."""
 
     def squared(c: Sequence[float], w: Column) -> Column:
         re = sum((F.cos(w * k) * float(x) for k, x in enumerate(c)), F.lit(0.0))
@@ -146,6 +147,12 @@ def response(spark: SparkSession, dx: float, b: Sequence[float], a: Sequence[flo
         return re * re + im * im
 
     w = F.col("id") * F.lit(2 * math.pi / n)
+    if manual:
+        if len(a) > 1 or len(b) % 2 == 0:
+            raise ValueError("a signed response needs an odd number of weights and no recursion")
+        half = len(b) // 2
+        h = sum((F.cos(w * k) * 2.0 * float(b[half + k]) for k in range(1, half + 1)), F.lit(float(b[half])))
+        return spark.range(n).select((F.col("id") / (n * dx)).alias("x"), h.alias("h"))
     return spark.range(n).select((F.col("id") / (n * dx)).alias("x"), F.sqrt(squared(b, w) / squared(a, w)).alias("h"))
 
 

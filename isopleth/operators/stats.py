@@ -122,6 +122,14 @@ def timescale(f: Field, dim: str, dt: float = 1.0, imaxlag: int = 50) -> DataFra
     return packed.mapInPandas(run, schema)
 
 
+def timescale_curve(f: Field, dim: str, dt: float = 1.0, imaxlag: int = 50, imaxlag_fit: int | None = None) -> DataFrame:
+    """(rest, lag, fit): the fitted exponential at lags up to ``imaxlag_fit``."""
+    taus = timescale(f, dim, dt, imaxlag)
+    lag = F.explode(F.sequence(F.lit(0), F.lit(imaxlag if imaxlag_fit is None else imaxlag_fit)))
+    out = taus.withColumn("_k", lag)
+    return out.select(*f.rest(dim), (F.col("_k") * dt).alias("lag"), F.exp(-F.col("_k") * dt / F.col("tau")).alias("fit"))
+
+
 def centred(f: Field, component: str, rest: list[str]) -> DataFrame:
     """The cells with ``_z``, the value less its component's mean."""
     means = f.df.groupBy(*rest, component).agg(F.avg(f.v).alias("_mean"))

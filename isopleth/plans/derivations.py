@@ -26,21 +26,38 @@ class Derivation:
 _DERIVATIONS: dict[str, list[Derivation]] = {}
 
 
-def register_derivation(inputs, output: str, units_in: tuple[str, ...] = (), units_out: str | None = None):
+def register_derivation(inputs, output: str | tuple[str, ...], units_in: tuple[str, ...] = (), units_out: str | tuple[str, ...] | None = None):
     """Decorator: the function derives ``output`` from ``inputs`` (names, alternatives
-    split by a vertical bar); units default to the registry's standard ones."""
+    split by a vertical bar); units default to the registry's standard ones.
+
+    A tuple of outputs is derived by a function that gives a tuple of columns.
+    """
     names = (inputs,) if isinstance(inputs, str) else tuple(inputs)
 
     def decorate(build):
         std = lambda n: variables.get(n).standard_units if n in variables else ""
         ins = tuple(units_in) or tuple(std(n.split("|")[0]) for n in names)
-        for out in output.split("|"):
-            _DERIVATIONS.setdefault(out, []).append(Derivation(names, out, build, ins, std(out) if units_out is None else units_out))
+        several = output if isinstance(output, tuple) else (output,)
+        units = units_out if isinstance(units_out, tuple) else (units_out,) * len(several)
+        for i, (outs, said) in enumerate(zip(several, units, strict=True)):
+            one = (lambda *columns, i=i: build(*columns)[i]) if isinstance(output, tuple) else build
+            for out in outs.split("|"):
+                _DERIVATIONS.setdefault(out, []).append(Derivation(names, out, one, ins, std(out) if said is None else said))
         return build
 
     return decorate
 
 
+def one_to_one(dim: str, cf: str | None, key: str):
+    """(dim, build, (units in, units out)) of a derivation of ``key`` from one coordinate."""
+    mine = {dim, *(_names(dim)), *((cf, *_names(cf)) if cf else ())}
+    for name in _names(key):
+        for d in _DERIVATIONS.get(name, []):
+            if len(d.inputs) == 1 and mine & {x for option in d.inputs[0].split("|") for x in _names(option)}:
+                return dim, d.build, (d.input_units[0] if d.input_units else "", d.output_units)
+    return None
+
+
 def register_transformation(source: str, dest: str, **units):
     """A derivation of one variable from one other."""
     return register_derivation((source,), dest, **units)
