@@ -105,7 +105,7 @@ def eof_projections(spark, sf_dir):
     return rounded(z)
 
 
-@query("SELECT a, b, CASE WHEN a = b THEN 1.0 ELSE 0.0 END AS r FROM (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS a) CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS b)")
+@query("SELECT a, b, CAST(a = b AS DOUBLE) AS r FROM (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS a) CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS b)")
 def eof_components(spark, sf_dir):
     """Components have unit variance and no correlation with one another."""
     pcs = stats.eof(components(spark, sf_dir), "vec_id", "i")[0]
@@ -129,7 +129,7 @@ def eof_neff(spark, sf_dir):
     return rounded(stats.eof(components(spark, sf_dir), "vec_id", "i", neof=1)[2].select("neff"))
 
 
-@query("SELECT CAST(unnest(range(20)) AS BIGINT) AS sample, CAST(200 AS BIGINT) AS n, 0.0 AS x0, true AS small_mean, true AS unit_deviation")
+@query("SELECT CAST(unnest(range(20)) AS BIGINT) AS sample, CAST(200 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS x0, true AS small_mean, true AS unit_deviation")
 def rednoise(spark, sf_dir):
     """Each sample starts at zero, and what is new at a step has mean 0 and deviation 1."""
     from pyspark.sql import Window

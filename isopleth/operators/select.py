@@ -134,6 +134,54 @@ def truncate(f: Field, dim: str, lo: float | None = None, hi: float | None = Non
     return f.with_df(cut), f.df.sparkSession.createDataFrame(weights, f"`{dim}` double, weight double")
 
 
+def truncate_by(f: Field, dim: str, bounds: DataFrame) -> DataFrame:
+    """(dims, track, value, weight) of the field cut at limits that vary: ``bounds`` has
+    ``lo`` and ``hi`` (null: the end of the data), some of the other dimensions and,
+    where several limits are wanted at once, ``track``.
+
+    Rows and weights are those of ``truncate``; one window finds the rows between
+    which a limit lies.
+    """
+    known = axes(f.df, dim)
+    if known is None:
+        raise ValueError(f"{dim} is too long to be cut")
+    first, last = (float(known[dim][0]), float(known[dim][-1])) if known[dim] else (0.0, 0.0)
+    shared = [c for c in bounds.columns if c in f.dims]
+    heads = [*f.rest(dim), *(c for c in ("track",) if c in bounds.columns)]
+    by, here = f"PARTITION BY {', '.join(f'`{d}`' for d in f.rest(dim)) or '1'} ORDER BY `{dim}`", F.struct(F.col(dim).cast("double").alias("x"), f.v.alias("v"))
+    df = f.df.select(*f.dims, f.value).withColumn("_p", F.when(f.v.isNotNull(), here))
+    df = df.withColumns({"_n": F.expr(f"lead(_p) IGNORE NULLS OVER ({by})"), "_nn": F.expr(f"lead(_p, 2) IGNORE NULLS OVER ({by})")})
+    limits = bounds.withColumns({"_lo": F.coalesce(F.col("lo").cast("double"), F.lit(first)), "_hi": F.coalesce(F.col("hi").cast("double"), F.lit(last))}).drop("lo", "hi")
+    axis = F.array(*(F.lit(float(y)) for y in known[dim]))
+    within = F.filter(axis, lambda y: (y > F.col("_lo")) & (y < F.col("_hi")))
+    limits = limits.withColumns({"_after": F.coalesce(F.array_min(within), F.col("_hi")), "_before": F.coalesce(F.array_max(within), F.col("_lo"))})
+    places = [(v, *(float(known[dim][k]) if 0 <= k < len(known[dim]) else None for k in (i - 1, i + 1))) for i, v in enumerate(known[dim])]
+    near = f.df.sparkSession.createDataFrame(places, f"`{dim}` {f.df.schema[dim].dataType.simpleString()}, _prev double, _next double")
+    df = df.join(F.broadcast(near), dim)
+    df = df.join(limits, shared) if shared else df.crossJoin(F.broadcast(limits))  # a row a wanted pair of limits
+    lo, hi, x, none = F.col("_lo"), F.col("_hi"), F.col(dim).cast("double"), F.array().cast("array<struct<x:double,v:double,w:double>>")
+    # a new cell meets its neighbours halfway; no width is made beyond the data
+    size = lambda left, at, right: F.greatest(F.lit(0.0), F.least((at + right) / 2, F.lit(last)) - F.greatest((left + at) / 2, F.lit(first)))
+    row = lambda at, value, w: F.array(F.struct(at.alias("x"), value.alias("v"), w.alias("w")))
+    rows = F.when((x > lo) & (x < hi), row(x, f.v, size(F.greatest(F.col("_prev"), lo), x, F.least(F.col("_next"), hi)))).otherwise(none)
+    for at, once, w in ((lo, F.lit(True), size(lo, lo, F.col("_after"))), (hi, hi != lo, size(F.col("_before"), hi, hi))):
+        inside = (F.col("_p.x") <= at) & ((at < F.col("_n.x")) | (F.col("_nn").isNull() & (at == F.col("_n.x"))))
+        value = F.col("_p.v") + (at - F.col("_p.x")) * (F.col("_n.v") - F.col("_p.v")) / (F.col("_n.x") - F.col("_p.x"))
+        beyond = ((at < first) & (x == first)) | ((at > last) & (x == last))
+        point = F.when(beyond, row(at, f.v, w)).when(F.coalesce(inside, F.lit(False)), row(at, value, w))
+        rows = F.concat(rows, F.when(once, point.otherwise(none)).otherwise(none))
+    out = df.withColumn("_r", F.explode(rows))
+    return out.select(*(F.col("_r.x").alias(d) if d == dim else F.col(d) for d in f.dims), *heads[len(f.dims) - 1 :], F.col("_r.v").alias(f.value), F.col("_r.w").alias("weight"))
+
+
+def truncated_averages(f: Field, dim: str, bounds: DataFrame) -> Field:
+    """Averages along ``dim`` between limits that vary, see ``truncate_by``."""
+    df = truncate_by(f, dim, bounds)
+    heads = [*f.rest(dim), *(c for c in ("track",) if c in bounds.columns)]
+    value = F.sum(f.v * F.col("weight")) / F.nullif(F.sum(F.when(f.v.isNotNull(), F.col("weight"))), F.lit(0.0))
+    return f.reduced(df.groupBy(*heads).agg(value.alias(f.value)), (dim,), "average").with_df(df.groupBy(*heads).agg(value.alias(f.value)), dims=tuple(heads))
+
+
 def truncated_average(f: Field, dim: str, lo: float | None = None, hi: float | None = None) -> Field:
     cut, weights = truncate(f, dim, lo, hi)
     df = cut.df.join(F.broadcast(weights), dim)

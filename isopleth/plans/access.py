@@ -46,7 +46,7 @@ def decode(f: Field, key: str) -> str:
     """The dimension that a name, CF axis or coordinate, or alias of a variable means."""
     if key in f.dims:
         return key
-    cf = _AXES.get(key, key)
+    cf = _AXES.get(key) or next((c for c, names in _NAMES.items() if key == c or key in names), key)
     for dim, name in names_of(f).items():
         if name == cf:
             return dim
@@ -203,6 +203,13 @@ def parameters(f: Field) -> tuple[str, ...]:
     return tuple(d for d in f.dims if d in variables and variables.get(d).reference is not None)
 
 
+def replace_reference(v, reference: float | None):
+    """The variable with a reference value."""
+    from dataclasses import replace
+
+    return replace(v, reference=reference)
+
+
 def variable(f: Field):
     """The variable of a field as its reductions make it; one that is not registered is
     added from the field's own name and units."""

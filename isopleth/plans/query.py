@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..field import Dataset, Field
 from ..operators import features, reduce as red, select, stats, windows
-from . import registry
+from . import access, registry
 
 _KEY = re.compile(r"^(abs_)?(.*?)(?:_(latitude|strength))?(?:_(1|2|anomaly|ratio))?$")
 _BOUND = re.compile(r"^(\w+?)_(min|max|lim)$")
@@ -64,9 +64,57 @@ METHODS: dict[str, Callable[[Field, str], Field]] = {
 }
 
 
-def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight: Field | None = None, **methods) -> Field:
-    """Dimensions by name, in the order given: a method, a number (interpolate), a
-    (min, max) pair or ``dim_min`` / ``dim_max`` / ``dim_lim`` (limits), or for time a date.
+def _limits(f: Field, dim: str, lo, hi, source: Dataset | None) -> tuple | DataFrame:
+    """Two numbers, or a table of limits: several values make tracks, each one of the
+    lower with each one of the upper; names and fields give limits that vary with
+    their dimensions."""
+    units = f.coord_units.get(dim, "")
+
+    def said(bound):
+        if isinstance(bound, str) or (isinstance(bound, tuple) and bound and isinstance(bound[0], str)):
+            if source is None:
+                raise ValueError(f"a dataset is needed to look up the limit {bound!r}")
+            (name, options), = expand_specs(bound)
+            bound = get(source, name, **options)
+        if isinstance(bound, Field):
+            return bound.to_units(units) if bound.units and units else bound
+        if isinstance(bound, (list, tuple)):
+            return [access.plain(f, dim, x) for x in bound]
+        return access.plain(f, dim, bound)
+
+    lo, hi = said(lo), said(hi)
+    if not isinstance(lo, (list, Field)) and not isinstance(hi, (list, Field)):
+        return lo, hi
+    spark, table, tracks = f.df.sparkSession, None, []
+    for name, bound in (("lo", lo), ("hi", hi)):
+        if isinstance(bound, Field):
+            keys = [d for d in bound.dims if d in f.dims]
+            part = bound.df.select(*keys, *(["track"] if "track" in bound.dims else []), bound.v.alias(name))
+            if "track" in bound.dims:
+                part = part.withColumnRenamed("track", f"_{name}")
+                tracks.append((f"_{name}", None))
+        else:
+            several = bound if isinstance(bound, list) else [bound]
+            part = spark.createDataFrame([(i, None if x is None else float(x)) for i, x in enumerate(several)], f"_{name} int, {name} double")
+            if isinstance(bound, list):
+                tracks.append((f"_{name}", len(several)))
+            else:
+                part = part.drop(f"_{name}")
+        shared = [] if table is None else [c for c in table.columns if c in part.columns]
+        table = part if table is None else table.join(part, shared) if shared else table.crossJoin(F.broadcast(part))
+    if len(tracks) == 2 and tracks[1][1] is None:
+        raise ValueError("two limits with tracks of their own")
+    number = F.col(tracks[0][0]) * tracks[1][1] + F.col(tracks[1][0]) if len(tracks) == 2 else F.col(tracks[0][0]) if tracks else None
+    return (table.withColumn("track", number.cast("int")) if tracks else table).drop("_lo", "_hi")
+
+
+def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight: Field | None = None, source: Dataset | None = None, **methods) -> Field:
+    """Dimensions by name, in the order given: a method, a number or quantity
+    (interpolate), a (min, max) pair or ``dim_min`` / ``dim_max`` / ``dim_lim``
+    (limits), or for time a date.
+
+    Limits are numbers, quantities, lists of them (all pairs, along ``track``) or
+    variables of ``source`` by name, with options, which may vary along other dims.
 
     ``invert`` takes reciprocals before and after.  Bounds and numbers become
     filters and joins below every aggregate.
@@ -83,6 +131,14 @@ def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight:
     if invert:
         f = f.reciprocal()
     for dim, (lo, hi) in limits.items():
+        found = _limits(f, dim, lo, hi, source)
+        if isinstance(found, DataFrame):
+            if asked.get(dim) not in ("avg", "average"):
+                raise ValueError(f"several or varying limits of {dim} need its average")
+            f = select.truncated_averages(f, dim, found)
+            asked.pop(dim)
+            continue
+        lo, hi = found
         if asked.get(dim) in ("avg", "average"):
             f = select.truncated_average(f, dim, lo, hi)
             asked.pop(dim)
@@ -93,6 +149,7 @@ def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight:
         if not names:
             raise TypeError(f"unknown option {dim!r}")
         dim = names[0]
+        method = access.plain(f, dim, method)
         if isinstance(method, (int, float)) and not isinstance(method, bool):
             out = select.interp(f, dim, [float(method)])
             f = f.reduced(out.df.drop(dim), (dim,), "point")
@@ -106,7 +163,7 @@ def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight:
 
 
 def get(
-    ds: Dataset, key: str, *, standardize: bool = False, units: str | None = None, normalize: bool = False, runmean: int | None = None, add=None,
+    ds: Dataset, key: str, *, standardize: bool = False, units: str | None = None, normalize: bool = False, runmean=None, add=None,
     subtract=None, multiply=None, divide=None, pair: tuple[str, tuple[float, float]] | None = None, **reductions,
 ) -> Field:
     """Fetch or derive, reduce, normalise, smooth, take magnitudes, pair, do arithmetic,
@@ -124,7 +181,7 @@ def get(
     if preset:
         chain = {d: m for d, m in (("lev", "int"), ("lon", "avg"), ("lat", "absargmax" if preset == "latitude" else "absmax")) if d in f.dims}
         reductions = {**chain, **reductions}
-    f = reduce(f, **reductions)
+    f = reduce(f, source=ds, **reductions)
     time = next((d for d in ("time", "month", "t") if d in f.dims), None)
     if normalize and time:
         f = red.normalize(f, time)

@@ -27,14 +27,14 @@ def hourly(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     """(keys, t, v): sums of the events of each hour, zero where there are none.
 
     The spine runs from the first to the last hour of the data: a dimension, as
-    long as their span, not as the data.
+    long as their span, not as the data; it meets each key once, as the result does.
     """
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000)
     sums = table(spark, sf_dir, "events").groupBy(*keys, hour.alias("h")).agg(F.sum("value").alias("s"))
     ends = sums.agg(F.min("h").alias("h0"), F.max("h").alias("h1"))
     spine = ends.select("h0", F.explode(F.sequence("h0", "h1")).alias("h"))
     if keys:
-        spine = spine.crossJoin(F.broadcast(sums.select(*keys).distinct()))
+        spine = sums.select(*keys).distinct().crossJoin(F.broadcast(spine))
     return spine.join(sums, [*keys, "h"], "left").select(*keys, (F.col("h") - F.col("h0")).cast("int").alias("t"), F.coalesce("s", F.lit(0.0)).alias("v"))
 
 
