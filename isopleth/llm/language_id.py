@@ -204,9 +204,10 @@ def train(docs: DataFrame, train: int = TRAIN, calibration: int = CALIBRATE, siz
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), lang.alias("lang")).where("lang is not null and doc_id is not null")
     fit_rows = rows.where(~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}")).withColumn("outside", ~F.octet_length("text").between(*sizes))
     least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("outside", "hash", "doc_id"))
-    # first within 64 parts of each language, so that no task sees all rows of one
-    parts = fit_rows.select("doc_id", "lang", "outside", F.xxhash64("doc_id").alias("hash")).withColumn("part", F.pmod(F.hash("doc_id"), F.lit(64)))
-    few = parts.withColumn("rank", least("lang", "part")).where(F.col("rank") <= train + calibration)
+    few = fit_rows.select("doc_id", "lang", "outside", F.xxhash64("doc_id").alias("hash"))
+    # first within 64 and then 4 parts of each language, so that no task sees many rows of one
+    for parts in (64, 4):
+        few = few.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(parts))).withColumn("rank", least("lang", "part")).where(F.col("rank") <= train + calibration)
     chosen = few.withColumn("rank", least("lang")).where(F.col("rank") <= train + calibration).select("doc_id", "lang", "outside", "rank")
     # at most train + calibration rows a language
     chosen = F.broadcast(chosen.groupBy("doc_id", "lang").agg(F.min_by("outside", "rank").alias("outside"), F.min("rank").alias("rank")))
