@@ -7,7 +7,7 @@ never read.  ``read_token_files`` decodes the boundaries and returns one row a
 document.
 
 Cases: a null or empty text is a document of the end id alone; repeated doc_ids
-are kept, ordered by text; null doc_ids come first; no documents give no files;
+are kept, in an order that follows from their texts; null doc_ids come first; no documents give no files;
 other columns are ignored.
 """
 
@@ -61,6 +61,41 @@ def unpack_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None] * nulls + names.view(np.int64).tolist(), bounds, ids
 
 
+class TokenFile:
+    """Single documents of a file: ``select`` on the coded boundaries says where one
+    lies, and only its ids are read."""
+
+    def __init__(self, path: str):
+        system, inner = _open(path)
+        self.file = system.open_input_file(inner)
+        magic, self.width, self.nulls, self.base, a, b, _, self.tokens = _HEAD.unpack(self.file.read_at(_HEAD.size, 0))
+        if magic != _MAGIC:
+            raise ValueError("not a token file, or damaged")
+        self.bounds = elias_fano.EliasFano(self.file.read_at(a, _HEAD.size))
+        self.names = elias_fano.EliasFano(self.file.read_at(b, _HEAD.size + a))
+        self.at = _HEAD.size + a + b
+
+    def __len__(self) -> int:
+        return self.bounds.n - 1
+
+    def doc_id(self, i: int) -> int | None:
+        if i < self.nulls:
+            return None
+        value = (self.names.select(i - self.nulls) + self.base) % 2**64
+        return value - 2**64 if value >= 2**63 else value
+
+    def span(self, i: int) -> tuple[int, int]:
+        """First id of document ``i`` and the first one after it."""
+        return self.bounds.select(i), self.bounds.select(i + 1)
+
+    def ids(self, i: int) -> np.ndarray:
+        a, b = self.span(i)
+        return np.frombuffer(self.file.read_at((b - a) * self.width, self.at + a * self.width), f"<u{self.width}").astype("<u4")
+
+    def close(self) -> None:
+        self.file.close()
+
+
 #: Hadoop's names of file systems that Arrow knows by another one.
 _SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
 
@@ -93,7 +128,8 @@ def ordered(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in partitions of ascending ranges of doc_id, each sorted."""
     slim = docs.select(*columns(docs, "doc_id", "text"))
     n = partitions_for(slim)
-    return slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    by = ("doc_id", F.xxhash64("text"))  # rows of one doc_id, or without one, are cut too
+    return slim.repartitionByRange(n, *by).sortWithinPartitions(*by, "text")
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 1, file_tokens: int = 1 << 24, folder: str | None = None) -> DataFrame:

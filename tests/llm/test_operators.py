@@ -46,6 +46,33 @@ def test_token_file_damage_is_seen():
         token_files.unpack_file(data[:-1] + b"x")
 
 
+def test_single_documents_are_read_by_select(tmp_path):
+    rng = np.random.default_rng(2)
+    for top in (60_000, 70_000):
+        lengths = rng.integers(1, 40, 700)
+        ids = rng.integers(0, top, lengths.sum()).astype("<u4")
+        names = [None, None, *np.cumsum(rng.integers(0, 9, 698)).tolist()]
+        names[2] = -5
+        path = f"{tmp_path}/{top}.tok"
+        token_files.put_file(path, token_files.pack_file(names, lengths, ids.tobytes()))
+        file, ends = token_files.TokenFile(path), np.cumsum(lengths)
+        assert len(file) == 700
+        for i in (0, 1, 2, 3, 255, 256, 257, 511, 698, 699):
+            assert file.doc_id(i) == names[i] and file.span(i) == (ends[i] - lengths[i], ends[i])
+            assert file.ids(i).tolist() == ids[ends[i] - lengths[i] : ends[i]].tolist()
+        with pytest.raises(IndexError):
+            file.ids(700)
+        file.close()
+
+
+def test_repeated_and_missing_ids_are_cut_into_many_parts(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    sizes = token_files.ordered(docs).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(sizes) > 8 and max(r["count"] for r in sizes) < 1000
+    rows = [r for b in token_files.ordered(docs).toLocalIterator() for r in [b]]
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in rows] == sorted((r.doc_id is not None, r.doc_id or 0) for r in rows)
+
+
 ODD = st.text(st.sampled_from("abzAZéÀß'sreTt 019.,!?\n\t …“”日İ½²<|>🙂"), max_size=60)
 
 
