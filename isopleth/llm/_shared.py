@@ -65,7 +65,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch space and read it back (cuts lineage)."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_scratch", None):
+            remove(df.sparkSession, path)
+            _CREATED[:] = [x for x in _CREATED if x[1] != path]
 
 
 def input_bytes(df: DataFrame) -> int:

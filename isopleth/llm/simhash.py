@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import gray_index
-from ._shared import columns, fresh, lookup_skewed, materialize, partitions_for, spread
+from ._shared import columns, discard, fresh, lookup_skewed, materialize, partitions_for, spread
 
 #: Unrelated prints that a key holds, as keys are long.
 ROWS = 128
@@ -264,14 +264,18 @@ def connect(edges: DataFrame) -> DataFrame:
     sums reaches the driver.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    before: tuple[DataFrame, ...] = ()
     while True:
         now = materialize(now, "edges")
+        discard(*before)
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"), F.count("*").alias("_n")), "lows")
         inner = seen.where("low != a")
         if not inner.where("_n > 1").take(1) and not now.join(inner.select(F.col("a").alias("b")), "b", "left_semi").take(1):
             # every edge leads from a node with one neighbour to a root
+            discard(now)
             return seen.select(F.col("a").alias("node"), F.col("low").alias("root"))
+        before = (now, seen)
         told = lookup_skewed(both, seen, "a", "_n")
         ends = told.select(F.explode(F.array("a", "b")).alias("x"), "low").where("x != low")
         now = ends.select(F.greatest("x", "low").alias("a"), F.least("x", "low").alias("b")).distinct()
