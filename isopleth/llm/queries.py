@@ -105,6 +105,28 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def _nibble(n: int) -> int:
+    """CRC-32 of four bits: the table of sixteen follows from the polynomial."""
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+_TABLE = f"[{', '.join(str(_nibble(n)) for n in range(16))}]"
+_BYTE = "xor(c, b)"
+for _half in range(2):
+    _BYTE = f"xor(({_BYTE}) >> 4, {_TABLE}[(({_BYTE}) & 15) + 1])"
+OP2_SQL = f"""
+WITH sized AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 1 AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: {_BYTE}, CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM documents),
+placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS upto, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS row, sum(size) OVER () AS total FROM sized),
+dealt AS (SELECT *, CAST(least(15, ((upto * 2 - size) * 16) // (total * 2)) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row - min(row) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM dealt
+"""
+
 OP5_SQL = r"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -134,4 +156,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_temporal_url_filter, op8_kneser_ney_language, op9_rp_forest, op10_warc_salvage,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op5_wu_manber_decontamination": OP5_SQL, "op7_temporal_url_filter": OP7_SQL, "op10_warc_salvage": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_shard_by_bytes": OP2_SQL, "op5_wu_manber_decontamination": OP5_SQL, "op7_temporal_url_filter": OP7_SQL, "op10_warc_salvage": OP10_SQL}
