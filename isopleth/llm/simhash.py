@@ -12,10 +12,12 @@ key holds about ``ROWS`` unrelated ones at every size of the corpus.
 bits are cut into blocks, and there is a key for every choice of blocks so small
 that two linked prints must agree on one of them.
 
-``deduplicate`` links by similarity: prints of ``WIDE`` words of 64 bits estimate
+``deduplicate`` goes by similarity: prints of ``WIDE`` words of 64 bits estimate
 the Jaccard similarity of the sets of shingles, and keys are sampled bits, in so
 many tables that a pair at the threshold meets in none with a probability of
-``MISS`` at most.
+``MISS`` at most.  Within a component of such links the row with the smallest
+doc_id stays, all whose sets of shingles are as similar to its own go, and the rest
+begins again: each row that goes has a row that stays and is similar, exactly.
 
 Cases: a null, empty or wordless text has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; repeated rows are kept; a
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -91,9 +94,10 @@ def differing_share(similarity: float) -> float:
 
 def reach(similarity: float, words: int = WIDE) -> int:
     """Most differing bits of a linked pair: the expected number at ``similarity`` and
-    one standard deviation, so that few pairs above the threshold are lost to chance."""
+    two standard deviations, so that few pairs above the threshold are lost to chance;
+    pairs below it that are linked are told by their shingles."""
     p = differing_share(similarity)
-    return int(64 * words * p + math.sqrt(64 * words * p * (1 - p)))
+    return int(64 * words * p + 2 * math.sqrt(64 * words * p * (1 - p)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, row: str | None = None, wide: bool = False) -> DataFrame:
@@ -281,39 +285,89 @@ def connect(edges: DataFrame) -> DataFrame:
         now = ends.select(F.greatest("x", "low").alias("a"), F.least("x", "low").alias("b")).distinct()
 
 
-def _with_best(by_doc: DataFrame, find: Callable[[DataFrame], DataFrame], best: Column) -> DataFrame:
-    """``by_doc`` and component_id: the minimum ``best`` over the component of a row's
-    print, or null where that print has this row alone and is its own best."""
+def _linked_prints(by_doc: DataFrame, find: Callable[[DataFrame], DataFrame], best: Column) -> DataFrame:
+    """(print, root, first, _copies): each print with the least node of its component,
+    its minimum ``best`` and its rows, materialised."""
     grouped = by_doc.groupBy("print").agg(best.alias("first"), F.count("*").alias("_copies"))
     node = F.col("print") if dict(by_doc.dtypes)["print"] == "bigint" else F.monotonically_increasing_id()
     groups = materialize(grouped.withColumn("node", node), "groups")
     roots = connect(find(groups.select("node", "print")))
     member = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    member = materialize(member.select("print", "root", "first", "_copies"), "members")
-    found = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_prints")).where("_prints > 1")
-    known = lookup_skewed(member, materialize(found, "components"), "root", "_prints")
+    return materialize(member.select("print", "root", "first", "_copies"), "members")
+
+
+def _with_best(by_doc: DataFrame, member: DataFrame, best_of: DataFrame, key: str) -> DataFrame:
+    """``by_doc`` and component_id, which ``best_of`` says for values of ``key`` in
+    ``member`` with their number; null where a print has one row alone, its own best."""
+    known = lookup_skewed(member, best_of, key, "_n")
     known = known.select("print", F.coalesce("component_id", "first").alias("component_id"), "first", "_copies").where("_copies > 1 or not (component_id <=> first)").drop("first")
     return lookup_skewed(by_doc, materialize(known, "known"), "print", "_copies")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    out = _with_best(fingerprints(docs, shingle), lambda p: links(p, most), F.min("doc_id"))
+    prints = fingerprints(docs, shingle)
+    member = _linked_prints(prints, lambda p: links(p, most), F.min("doc_id"))
+    found = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")).where("_n > 1")
+    out = _with_best(prints, member, materialize(found, "components"), "root")
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """``rows`` with the sorted distinct hashes of the shingles of ``text`` in its place."""
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "shingles array<long>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in others), pa.array(sets, pa.list_(pa.int64()))], [*(f.name for f in others), "shingles"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _leaders(numbered: DataFrame, row: str, member: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(print, component_id, _n) for the prints of components of several: what stays for
+    them, materialised.
+
+    In each round the best print that is left of every component leads it, and those
+    similar to it leave with it; there are as many rounds as leaders in a component.
+    """
+    sizes = materialize(member.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_several", F.lit(True)), "several")
+    several = lookup_skewed(member, sizes, "root", "_n").where("_several").select("print", "root", "first", F.col("first.row").alias(row))
+    texts = several.join(numbered.select(row, F.col("text").alias("text")), row).drop(row)
+    left = materialize(shingle_sets(texts, shingle), "left")
+    done = []
+    while left.take(1):
+        leads = left.groupBy("root").agg(F.min_by(F.struct("first", "shingles"), "first").alias("lead"), F.count("*").alias("_n"))
+        # a leader carries a set of shingles: few at once are broadcast
+        judged = lookup_skewed(left, materialize(leads, "leads"), "root", "_n", hot=64)
+        common = F.size(F.array_intersect("shingles", "lead.shingles"))
+        union = F.size("shingles") + F.size("lead.shingles") - common
+        near = (F.col("first") == F.col("lead.first")) | (common >= F.lit(similarity) * union)
+        judged = materialize(judged.withColumn("_near", near), "judged")
+        discard(left)
+        done.append(judged.where("_near").select("print", F.col("lead.first").alias("component_id")))
+        left = materialize(judged.where("not _near").drop("lead", "_near"), "left")
+    found = reduce(DataFrame.unionByName, done) if done else left.select("print", F.col("first").alias("component_id"))
+    return materialize(found.withColumn("_n", F.lit(1).cast("long")), "components")
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each component of similar texts, with all its columns: one with the
-    smallest doc_id.
+    """The rows that no other one stands for, with all their columns: of similar texts
+    one with the smallest doc_id.
 
     Rows are told apart by a number that is written with them, so that a doc_id
     may be null or stand in several components; a row without one stays only if
-    its component has none.
+    there is none with one.
     """
     row = fresh(docs, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     prints = fingerprints(numbered, shingle, row, wide=True)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    found = _with_best(prints, lambda p: links(p, reach(similarity), deal_samples(similarity)), best)
+    member = _linked_prints(prints, lambda p: links(p, reach(similarity), deal_samples(similarity)), best)
+    found = _with_best(prints, member, _leaders(numbered, row, member, shingle, similarity), "print")
     gone = found.where("component_id.row != row").select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").drop(row)

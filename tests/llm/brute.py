@@ -74,6 +74,21 @@ def wide_components(ids: list[int], prints: list[int], most: int) -> list[int]:
     return label
 
 
+def survivors(docs: list[tuple[int, str | None]], most: int, similarity: float = 0.8) -> list[tuple[int, str | None]]:
+    """Documents that stay: in ascending order, each one that is not similar to one of
+    its component that stays."""
+    docs = sorted(docs)
+    prints = [wide_fingerprint(t) for _, t in docs]
+    roots = wide_components([d for d, _ in docs], prints, most)
+    kept: list[tuple[int, str | None, int, int, set[str]]] = []
+    for (d, t), p, c in zip(docs, prints, roots, strict=True):
+        s = shingles(t)
+        like = lambda k: k[2] == c and (k[3] == p or len(s & k[4]) >= similarity * len(s | k[4]))  # noqa: B023, E731
+        if not any(map(like, kept)):
+            kept.append((d, t, c, p, s))
+    return [(d, t) for d, t, *_ in kept]
+
+
 def components(ids: list[int], prints: list[int], most: int = 4) -> list[int]:
     """Smallest id reachable from each one."""
     if not ids:

@@ -197,10 +197,26 @@ def test_similar_texts_are_linked_and_others_not(spark):
     kept = {r.doc_id for r in simhash.deduplicate(docs).collect()}
     assert all(a in kept for a, _ in pairs)
     above = [b not in kept for (_, b), j in zip(pairs, likeness, strict=True) if j >= 0.8]
-    below = [b not in kept for (_, b), j in zip(pairs, likeness, strict=True) if j < 0.65]
+    below = [b not in kept for (_, b), j in zip(pairs, likeness, strict=True) if j < 0.8]
     assert len(above) > 20 and np.mean(above) > 0.9 and len(below) > 20 and not any(below)
 
 
+def test_chains_do_not_carry_documents_away(spark):
+    """Each text is like its neighbours, the first not like the last."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    words, texts = [word() for _ in range(300)], []
+    for k in range(12):
+        texts.append(" ".join(words))
+        words[k * 20 : k * 20 + 12] = [word() for _ in range(12)]
+    docs = list(enumerate(texts))
+    kept = sorted(tuple(r) for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == brute.survivors(docs, simhash.reach(0.8)) and 1 < len(kept) < 12
+    sets = [brute.shingles(t) for t in texts]
+    for i in range(12):
+        assert (i, texts[i]) in kept or any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j, _ in kept)
+
+
 def test_keys_grow_with_the_corpus():
     for n in (10**3, 10**6, 10**9):
         widths = simhash.block_plan(n, 4)

@@ -201,8 +201,7 @@ def test_pipeline(spark, tables):
     kept = [(d, t) for d, t in docs if scorer and not scorer.predict([t])[0][3]]
     if "sf0" in tables:
         assert len(kept) >= 0.97 * sum(any(c.isalpha() for c in t or "") for _, t in docs)
-    roots = brute.wide_components([d for d, _ in kept], [brute.wide_fingerprint(t) for _, t in kept], simhash.reach(0.8))
-    kept = [(d, t) for (d, t), c in zip(kept, roots, strict=True) if d == c]
+    kept = brute.survivors(kept, simhash.reach(0.8))
     items = pq.read_table(f"{tables}/benchmark.parquet")
     found = brute.contamination(kept, list(zip(items["item_id"].to_pylist(), items["text"].to_pylist(), strict=True)))
     kept = [(d, t) for d, t in kept if not found[d][2]]
