@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import decontaminate, language_id, packing, rp_forest, sharding, simhash, token_counts, token_files, url_filter, warc
+from . import decontaminate, language_id, packing, rp_forest, sharding, simhash, sql, token_counts, token_files, url_filter, warc
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -156,4 +156,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_temporal_url_filter, op8_kneser_ney_language, op9_rp_forest, op10_warc_salvage,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op2_shard_by_bytes": OP2_SQL, "op5_wu_manber_decontamination": OP5_SQL, "op7_temporal_url_filter": OP7_SQL, "op10_warc_salvage": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_shard_by_bytes": OP2_SQL, "op4_gray_simhash": sql.simhash_components(), "op5_wu_manber_decontamination": OP5_SQL, "op7_temporal_url_filter": OP7_SQL, "op10_warc_salvage": OP10_SQL}
