@@ -296,3 +296,50 @@ def sel_backfill(spark, sf_dir):
 def timescale_curve(spark, sf_dir):
     """The fitted exponential at lags beyond those it was fitted to, too."""
     return rounded(stats.timescale_curve(users(spark, sf_dir), "t", imaxlag=20, imaxlag_fit=6), 5)
+
+
+@query("SELECT * FROM (VALUES ('m s^-2', 'm'), ('m s^-1', 'm'), ('s', 'error')) t(units, sum_units)")
+def unit_relations(spark, sf_dir):
+    """Units of results from those of inputs, with options, and inputs that must agree."""
+    from pyspark.sql import functions as fn
+
+    one = lambda units: Field(spark.range(1).select(fn.lit(0.0).alias("x"), fn.lit(3.0).alias("v")), ("x",), "v", units)
+    rate = derivations.with_units("=y", "=t", out="=y / t ^ {order}")(lambda y, t, order=1: y)
+    both = derivations.with_units("=y", "=y", out="=y")(lambda a, b: a + b)
+    try:
+        both(one("m"), one("s"))
+        wrong = "added"
+    except ValueError:
+        wrong = "error"
+    rows = [(rate(one("m"), one("s"), order=2).units, both(one("m"), one("km")).units), (rate(one("m"), one("s")).units, both(one("m"), one("cm")).units), (one("s").units, wrong)]
+    return spark.createDataFrame(rows, "units string, sum_units string")
+
+
+@query(
+    f"""WITH q AS (SELECT lat, lon, (v - 15.037) / 9.713 AS q FROM flat)
+    SELECT lat, lev, {sql_r('avg(v)')} FROM (SELECT g.lat, g.lon, lev, CASE WHEN abs(q) BETWEEN 0.1 AND 2 THEN v END AS v FROM grid g JOIN q USING (lat, lon)) GROUP BY ALL""",
+    "grid", "flat",
+)
+def reduce_masked(spark, sf_dir):
+    """A preset mask before a mean, with potential vorticity in other units."""
+    q = flat(spark, sf_dir)
+    pv = Field(q.df, q.dims, q.value).with_value((q.v - 15.037) / 9.713 * 1e-6, units="K m^2 s^-1 kg^-1")
+    return rounded(Dataset({"temperature": grid(spark, sf_dir), "pv": pv}).get("temperature", lon="mean", mask="trop"))
+
+
+_LEVELS = "seg AS (SELECT lat, lon, lev AS x0, v AS y0, lead(lev) OVER o AS x1, lead(v) OVER o AS y1, lag(lev) OVER o IS NULL AS first, lead(lev, 2) OVER o IS NULL AS last FROM grid WINDOW o AS (PARTITION BY lat, lon ORDER BY lev))"
+
+
+@query(f"WITH {_LEVELS} SELECT lat, lon, {sql_r('y0 + (x - x0) * (y1 - y0) / (x1 - x0)')} FROM (SELECT *, 400 + 2 * lat AS x FROM seg) WHERE x1 IS NOT NULL AND (x >= x0 OR first) AND (x < x1 OR last)", "grid")
+def reduce_at_variable(spark, sf_dir):
+    """The values at the level that another variable says, which is in other units."""
+    f = grid(spark, sf_dir)
+    lat = f.coords["lat"]
+    ds = Dataset({"temperature": f, "tropopause": lat.with_value((400 + 2 * lat.v) * 100, units="Pa")})
+    return rounded(ds.get("temperature", lev="tropopause"))
+
+
+@query(f"WITH {_LEVELS} SELECT lat, lon, CAST(x AS DOUBLE) AS lev, {sql_r('y0 + (x - x0) * (y1 - y0) / (x1 - x0)')} FROM seg CROSS JOIN (VALUES (150), (525)) t(x) WHERE x1 IS NOT NULL AND (x >= x0 OR first) AND (x < x1 OR last)", "grid")
+def reduce_at_points(spark, sf_dir):
+    ds = Dataset({"temperature": grid(spark, sf_dir)})
+    return rounded(ds.get("temperature", lev=[150, Quantity(52500, "Pa")]))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -144,15 +147,44 @@ def potential_temperature(temperature: Column, pressure: Column) -> Column:
     return temperature * F.pow(F.lit(const.p0 / 100) / pressure, F.lit(2 / 7))
 
 
-def with_units(*units_in: str, out: str | None = None):
+def _relation(text: str, units: dict[str, str]) -> str:
+    """Units of a relation such as ``y / x ^ 2`` between named inputs."""
+    above, _, below = text.replace("**", "^").partition("/")
+    out = u.Unit()
+    for part, sign in ((above, 1), (below.replace("/", " "), -1)):
+        for token in re.sub(r"\s*\^\s*", "^", part).replace("*", " ").split():
+            name, _, power = token.partition("^")
+            out = out * u.parse(units.get(name, name)) ** (int(power or 1) * sign)
+    return out.text
+
+
+def with_units(*units_in: str | None, out: str | None = None):
     """Decorator for functions on fields: inputs come in the given units, the result
-    is labelled ``out``; relations such as ``y / x`` follow from the units themselves."""
+    is labelled ``out``.
+
+    ``=name`` names an input's units, whatever they are; another input of that name
+    is converted to them, and ``out`` may be a relation of names, ``=y / x``, in
+    which braces stand for options: ``=y / x ^ {order}``.
+    """
 
     def decorate(function):
+        @functools.wraps(function)
         def wrapped(*fields: Field, **options):
-            ready = [f.to_units(x) if x is not None and u.parse(f.units).alike(u.parse(x)) else f for f, x in zip(fields, units_in, strict=True)]
+            named: dict[str, str] = {}
+            ready = []
+            for f, said in zip(fields, units_in, strict=True):
+                if said is not None and said.startswith("="):
+                    name = said[1:].strip()
+                    f = f.to_units(named[name]) if name in named else f
+                    named.setdefault(name, f.units)
+                elif said is not None:
+                    f = f.to_units(said)
+                ready.append(f)
             result = function(*ready, **options)
-            return replace(result, units=out) if out is not None else result
+            if out is None:
+                return result
+            defaults = {k: p.default for k, p in inspect.signature(function).parameters.items() if p.default is not inspect.Parameter.empty}
+            return replace(result, units=_relation(out[1:].format(**{**defaults, **options}), named) if out.startswith("=") else out)
 
         return wrapped
 

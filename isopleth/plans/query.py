@@ -108,13 +108,15 @@ def _limits(f: Field, dim: str, lo, hi, source: Dataset | None) -> tuple | DataF
     return (table.withColumn("track", number.cast("int")) if tracks else table).drop("_lo", "_hi")
 
 
-def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight: Field | None = None, source: Dataset | None = None, **methods) -> Field:
+def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight: Field | None = None, source: Dataset | None = None, mask: str | None = None, **methods) -> Field:
     """Dimensions by name, in the order given: a method, a number or quantity
     (interpolate), a (min, max) pair or ``dim_min`` / ``dim_max`` / ``dim_lim``
     (limits), or for time a date.
 
     Limits are numbers, quantities, lists of them (all pairs, along ``track``) or
     variables of ``source`` by name, with options, which may vary along other dims.
+    A list as a method gives several points, the name of a variable the point that
+    it says.  ``mask`` is a preset that needs the variable ``pv`` of ``source``.
 
     ``invert`` takes reciprocals before and after.  Bounds and numbers become
     filters and joins below every aggregate.
@@ -128,6 +130,11 @@ def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight:
             lo, hi = limits.get(m[1], (None, None))
             want = asked.pop(key)
             limits[m[1]] = want if m[2] == "lim" else (want, hi) if m[2] == "min" else (lo, want)
+    if mask:
+        if source is None:
+            raise ValueError(f"a dataset is needed to apply the mask {mask!r}")
+        pv = source["pv"]
+        f = select.mask(f, pv.to_units("PVU") if pv.units else pv, kind=mask)
     if invert:
         f = f.reciprocal()
     for dim, (lo, hi) in limits.items():
@@ -153,8 +160,15 @@ def reduce(f: Field, indexers: dict | None = None, invert: bool = False, weight:
         if isinstance(method, (int, float)) and not isinstance(method, bool):
             out = select.interp(f, dim, [float(method)])
             f = f.reduced(out.df.drop(dim), (dim,), "point")
+        elif isinstance(method, list):
+            f = select.interp(f, dim, method)
         elif method in METHODS:
             f = red.integral(f, dim, weight) if weight and method == "int" else red.average(f, dim, weight) if weight and method == "avg" else METHODS[method](f, dim)
+        elif isinstance(method, str) and source is not None and method in source:
+            at = source[method]
+            at = at.to_units(f.coord_units[dim]) if at.units and f.coord_units.get(dim) else at
+            out = select.interp(f, dim, at.df.select(*(d for d in at.dims if d in f.dims), at.v.alias("target")))
+            f = f.reduced(out.df.drop(dim), (dim,), "point")
         elif isinstance(method, str) and re.match(r"\d{4}-", method):
             f = select.sel_time(f, dim, date=method)
         else:
