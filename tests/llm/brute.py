@@ -146,3 +146,89 @@ def neighbours(vectors: dict[int, list[float]], queries: list[int], k: int = 10)
         d = np.sqrt(((x - np.asarray(vectors[q], float)) ** 2).sum(1))
         out[q] = sorted((s, i) for s, i in zip(d.tolist(), ids, strict=True) if i != q)[:k]
     return out
+
+
+class PlainKneserNey:
+    """Interpolated Kneser-Ney over the characters of words, by dictionaries."""
+
+    def __init__(self, texts: list[str], order: int, discount: float, letters: int):
+        self.order, self.discount, self.letters, self.costs = order, discount, letters, {}
+        words = defaultdict(int)
+        for t in texts:
+            for w in letter_words(t):
+                words[w] += 1
+        self.counts = {n: defaultdict(int) for n in range(1, order + 1)}
+        for n in range(1, order + 1):
+            if n == order:
+                for w, c in words.items():
+                    for g in self.grams(w, n):
+                        self.counts[n][g] += c
+            else:
+                for g, _ in {(g, f) for w in words for g, f in zip(self.grams(w, n), self.grams(w, n + 1), strict=True)}:
+                    self.counts[n][g] += 1
+        self.total = {n: defaultdict(int) for n in self.counts}
+        self.kinds = {n: defaultdict(int) for n in self.counts}
+        for n, table in self.counts.items():
+            for g, c in table.items():
+                self.total[n][g[:-1]] += c
+                self.kinds[n][g[:-1]] += 1
+
+    @staticmethod
+    def grams(word: str, n: int) -> list[str]:
+        marked = f"\x02{word}\x03"
+        return [marked[max(0, i - n + 1) : i + 1] for i in range(1, len(marked))]
+
+    def p(self, gram: str, n: int) -> float:
+        if not n:
+            return 1 / (self.letters + 2)
+        g = gram[-n:]
+        total = self.total[n][g[:-1]]
+        if not total:
+            return self.p(gram, n - 1)
+        return max(0, self.counts[n][g] - self.discount) / total + min(1, self.discount * self.kinds[n][g[:-1]] / total) * self.p(gram, n - 1)
+
+    def entropy(self, text: str) -> float:
+        words = letter_words(text)
+        for w in words:
+            if w not in self.costs:
+                self.costs[w] = -sum(np.log(self.p(g, self.order)) for g in self.grams(w, self.order))
+        return sum(self.costs[w] for w in words) / sum(len(w) + 1 for w in words)
+
+
+def letter_words(text: str | None) -> list[str]:
+    return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+
+
+def languages(docs: list[tuple[int, str | None, str | None]], order: int = 5, discount: float = 0.75, slack: float = 1.8) -> dict[int, tuple[str, float, bool]]:
+    """(language, score, rejected) of each document, for tables so small that every
+    usable one is a training text."""
+    by = defaultdict(list)
+    for d, t, lang in docs:
+        if lang is not None and letter_words(t) and zlib.crc32(str(d).encode()) % 4 != 2:
+            signed = int.from_bytes(xxh64_intdigest(d.to_bytes(8, "little", signed=True), 42).to_bytes(8, "little"), "little", signed=True)
+            by[lang].append((not 200 <= len(t.encode()) <= 20_000, signed, d, t[:20_000]))
+    fitted, held = defaultdict(list), []
+    for lang, rows in by.items():
+        assert len(rows) <= 500
+        for rank, (outside, _, _, t) in enumerate(sorted(rows), 1):
+            if rank % 5 == 0 and not (outside and not all(r[0] for r in rows)):
+                held.append((lang, t))
+            else:
+                fitted[lang].append(t)
+    letters = len({c for texts in fitted.values() for t in texts for w in letter_words(t) for c in w})
+    names = sorted(fitted)
+    models = [PlainKneserNey(fitted[n], order, discount, letters) for n in names]
+    costs = [(names.index(lang), np.array([m.entropy(t) for m in models])) for lang, t in held]
+    loss = lambda s: np.mean([np.log(np.exp(-s * (e - e.min())).sum()) + s * (e[i] - e.min()) for i, e in costs])
+    sharpness = min((2.0**k for k in range(-2, 4)), key=loss)
+    worst = max(e[i] for i, e in costs)
+    limits = [slack * max((e[i] for i, e in costs if i == k), default=worst) for k in range(len(names))]
+    out = {}
+    for d, t, _ in docs:
+        if not letter_words(t):
+            out[d] = ("und", 0.0, True)
+            continue
+        e = np.array([m.entropy(t) for m in models])
+        best = int(e.argmin())
+        out[d] = (names[best], 1 / np.exp(-sharpness * (e - e[best])).sum(), bool(e[best] > limits[best]))
+    return out

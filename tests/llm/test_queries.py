@@ -152,6 +152,15 @@ def test_language(spark, tables):
         assert np.mean([r.lang_pred == true[r.doc_id] for r in held]) > 0.95
 
 
+def test_language_row_by_row(spark):
+    folder = "/root/testdata/sf0.001"
+    t = pq.read_table(f"{folder}/documents.parquet")
+    want = brute.languages(list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), t["lang"].to_pylist(), strict=True)))
+    rows = queries.op8_kneser_ney_language(spark, folder).collect()
+    assert {r.doc_id: (r.lang_pred, r.rejected) for r in rows} == {d: (lang, no) for d, (lang, _, no) in want.items()}
+    assert all(abs(r.score - want[r.doc_id][1]) < 1e-4 for r in rows)
+
+
 def usable(folder: str) -> dict[int, list[float]]:
     t = pq.read_table(f"{folder}/embeddings.parquet")
     good = lambda v: v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
