@@ -83,56 +83,112 @@ class _Index:
         return out
 
 
-def components(values: np.ndarray, most: int, keys: np.ndarray | None = None, counts: Counter | None = None) -> np.ndarray:
-    """For uint64 ``values`` (one or several words a row), the index of one member of
-    each one's component, where values of equal ``keys`` are linked at ``most`` or
-    fewer differing bits.  ``counts`` gets the pairs compared by level, and the links."""
+def join_forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels after linking a with b, and which of the links a forest needs for it:
+    one for each label that gives way to a smaller one."""
+    chosen, left = [], np.arange(len(a))
+    while True:
+        x, y = labels[a[left]], labels[b[left]]
+        left, high, low = left[x != y], np.maximum(x, y)[x != y], np.minimum(x, y)[x != y]
+        if not len(left):
+            return labels, np.concatenate([np.zeros(0, int), *chosen])
+        _, first = np.unique(high, return_index=True)
+        chosen.append(left[first])
+        to = np.arange(len(labels))
+        to[high[first]] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        labels = to[labels]
+
+
+def nearest_of_each(nodes: np.ndarray, most: int) -> np.ndarray:
+    """Places of the first ``most`` rows of every node."""
+    by = np.argsort(nodes, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], nodes[by][1:] != nodes[by][:-1]])) if len(by) else by
+    rank = np.arange(len(by)) - np.repeat(starts, np.diff(np.append(starts, len(by))))
+    return by[rank < most]
+
+
+def forest(values: np.ndarray, levels: tuple[int, ...], keys: np.ndarray | None = None, counts: Counter | None = None, spare: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For uint64 ``values`` (one or several words a row), linked where their ``keys`` are
+    equal and no more bits differ than the last of ``levels``: the index of one member
+    of each one's component, and links (a, b) that connect the components, without
+    cycles.
+
+    Links of fewer bits come first, by ``levels`` in ascending order, as in a minimum
+    spanning tree.  With ``spare``, each value that is linked gives so many of its
+    nearest links besides, for a caller that may find some of them wanting.
+    ``counts`` gets the pairs compared by height, and the links.
+    """
     n = len(values)
     v = values.reshape(n, -1)
     keys = np.zeros(n, np.int64) if keys is None else keys
+    none = np.zeros(0, int)
     if n < 2:
-        return np.arange(n)
+        return np.arange(n), none, none
     order = np.lexsort((gray_rank(v[:, 0]), keys))
     v, keys = v[order], keys[order]
     labels, counts = np.arange(n), Counter() if counts is None else counts
+    index, found = _Index(v, keys), []
+
+    def link(a: np.ndarray, b: np.ndarray, diff: np.ndarray) -> None:
+        nonlocal labels
+        by = np.argsort(diff, kind="stable")
+        a, b = a[by], b[by]
+        apart = np.flatnonzero(labels[a] != labels[b])
+        labels, some = join_forest(labels, a, b)
+        if spare:
+            x, y = a[apart], b[apart]
+            some = np.unique(np.concatenate([some, *(apart[nearest_of_each(side, spare)] for side in (x, y))]))
+        counts["links"] += len(a)
+        found.append((a[some], b[some]))
+
     # neighbours in this order and in those of rotated bits connect dense groups
+    beside = []
     for turn in (0, 13, 26, 39, 52):
         t, back = np.uint64(turn), np.uint64((64 - turn) % 64)
         by = np.lexsort((gray_rank((v[:, 0] << t) | (v[:, 0] >> back)), keys)) if turn else np.arange(n)
         a, b = by[:-1], by[1:]
-        near = (keys[a] == keys[b]) & (np.bitwise_count(v[a] ^ v[b]).sum(1, dtype=np.int32) <= most)
-        labels = join_labels(n, b[near], a[near], labels)
-        counts["links"] += int(near.sum())
-    index = _Index(v, keys)
-    same, new = index.uniform(labels), []
-    stack = [(len(index.width) - 1, *np.triu_indices(len(index.first[-1])))]
-    while stack:
-        level, a, b = stack.pop()
-        if len(a) > _CHUNK:
-            half = len(a) // 2
-            stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
-            continue
-        keep = (index.last[level][a] >= index.first[level][b]) & ((same[level][a] != same[level][b]) | (same[level][a] < 0))
-        a, b = a[keep], b[keep]
-        counts[level] += len(a)
-        keep = index.near(level, a, b, most)
-        a, b = a[keep], b[keep]
-        if not len(a):
-            continue
-        if level == 0:
-            counts["links"] += len(a)
-            new.append((a, b))
-            if sum(len(x) for x, _ in new) > n >> 8:
-                labels = join_labels(n, *map(np.concatenate, zip(*new, strict=True)), labels)
-                same, new = index.uniform(labels), []
-            continue
-        below = len(index.first[level - 1])
-        i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
-        a, b = (a[:, None] * FAN + i).ravel(), (b[:, None] * FAN + j).ravel()
-        good = (a < below) & (b < below) & (a <= b)
-        stack.append((level - 1, a[good], b[good]))
-    if new:
-        labels = join_labels(n, *map(np.concatenate, zip(*new, strict=True)), labels)
+        a, b = a[keys[a] == keys[b]], b[keys[a] == keys[b]]
+        beside.append((a, b, np.bitwise_count(v[a] ^ v[b]).sum(1, dtype=np.int32)))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
+    for step, most in enumerate(levels):
+        # where several levels follow, no neighbour comes before a nearer value
+        for a, b, diff in beside if 2 * step < len(levels) else ():
+            link(a[diff <= most], b[diff <= most], diff[diff <= most])
+        same, new = index.uniform(labels), []
+        stack = [(len(index.width) - 1, *np.triu_indices(len(index.first[-1])))]
+        while stack:
+            level, a, b = stack.pop()
+            if len(a) > _CHUNK:
+                half = len(a) // 2
+                stack += [(level, a[half:], b[half:]), (level, a[:half], b[:half])]
+                continue
+            keep = (index.last[level][a] >= index.first[level][b]) & ((same[level][a] != same[level][b]) | (same[level][a] < 0))
+            a, b = a[keep], b[keep]
+            counts[level] += len(a)
+            keep = index.near(level, a, b, most)
+            a, b = a[keep], b[keep]
+            if not len(a):
+                continue
+            if level == 0:
+                new.append((a, b, np.bitwise_count(v[a] ^ v[b]).sum(1, dtype=np.int32)))
+                if sum(len(x) for x, *_ in new) > max(n >> 8, 4096):
+                    link(*map(np.concatenate, zip(*new, strict=True)))
+                    same, new = index.uniform(labels), []
+                continue
+            below = len(index.first[level - 1])
+            a, b = (a[:, None] * FAN + i).ravel(), (b[:, None] * FAN + j).ravel()
+            good = (a < below) & (b < below) & (a <= b)
+            stack.append((level - 1, a[good], b[good]))
+        if new:
+            link(*map(np.concatenate, zip(*new, strict=True)))
     out = np.empty(n, int)
     out[order] = order[labels]
-    return out
+    a, b = (order[np.concatenate(x)] for x in zip(*found, strict=True))
+    return out, a, b
+
+
+def components(values: np.ndarray, most: int, keys: np.ndarray | None = None) -> np.ndarray:
+    """The index of one member of each value's component, linked at ``most`` or fewer bits."""
+    return forest(values, (most,), keys)[0]

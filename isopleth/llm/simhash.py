@@ -3,8 +3,8 @@
 Fingerprints are made per document; equal ones are summed up first, so that a
 group of copies is one row from there on.  Each print is dealt to keys such that
 prints to be linked meet in one, and the prints of a key are searched with the
-index of ``gray_index``, whatever their number; they leave as one edge a print to
-its local component.  Components are then joined with rounds of joins and
+index of ``gray_index``, whatever their number; the links of a forest that connects
+them leave, fewer than prints.  Components are then joined with rounds of joins and
 aggregations over written tables.  Keys get longer as prints get more, so that a
 key holds about ``ROWS`` unrelated ones at every size of the corpus.
 
@@ -15,9 +15,10 @@ that two linked prints must agree on one of them.
 ``deduplicate`` goes by similarity: prints of ``WIDE`` words of 64 bits estimate
 the Jaccard similarity of the sets of shingles, and keys are sampled bits, in so
 many tables that a pair at the threshold meets in none with a probability of
-``MISS`` at most.  Within a component of such links the row with the smallest
-doc_id stays, all whose sets of shingles are as similar to its own go, and the rest
-begins again: each row that goes has a row that stays and is similar, exactly.
+``MISS`` at most.  In every key the links of a spanning forest of least differences
+and ``SPARE`` more of each print leave; those count whose sets of shingles are as
+similar as asked, exactly.  Two groups that only links below the threshold join are
+thus apart again.
 
 Cases: a null, empty or wordless text has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; repeated rows are kept; a
@@ -30,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -44,6 +44,8 @@ from ._shared import columns, discard, fresh, lookup_skewed, materialize, partit
 ROWS = 128
 #: Words of a wide print, and the share of pairs at the threshold that no key brings together.
 WIDE, MISS = 8, 0.01
+#: Links to be verified that each print gives besides those of a forest.
+SPARE = 4
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
@@ -93,13 +95,20 @@ def differing_share(similarity: float) -> float:
 
 
 def reach(similarity: float, words: int = WIDE) -> int:
-    """Most differing bits of a linked pair: the expected number at ``similarity`` and
-    two standard deviations, so that few pairs above the threshold are lost to chance;
-    pairs below it that are linked are told by their shingles."""
+    """Most differing bits of a pair that may be linked: the expected number at
+    ``similarity`` and two standard deviations, so that few pairs above the threshold
+    are lost to chance; pairs below it are told by their shingles."""
     p = differing_share(similarity)
     return int(64 * words * p + 2 * math.sqrt(64 * words * p * (1 - p)))
 
 
+def ladder(similarity: float, words: int = WIDE) -> tuple[int, ...]:
+    """Differing bits by which links are taken in turn, the last being ``reach``."""
+    steps = (similarity + (1 - similarity) * part for part in (0.75, 0.5, 0.25, 0.0))
+    most = [int(64 * words * differing_share(x)) for x in steps]
+    return (*most, (most[-1] + reach(similarity, words)) // 2, reach(similarity, words))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, row: str | None = None, wide: bool = False) -> DataFrame:
     """doc_id, the fingerprint (a signed long; binary if wide) and the long ``row``, if
     named, materialised."""
@@ -183,14 +192,14 @@ def _words(column: pa.Array) -> np.ndarray:
     return column.to_numpy().view(np.uint64).reshape(-1, 1)
 
 
-def edges_of(key: np.ndarray, node: np.ndarray, words: np.ndarray, most: int, counts=None) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of whole keys: (member, another of its component there)."""
-    labels = gray_index.components(words, most, key, counts)
-    linked = np.flatnonzero(labels != np.arange(len(key)))
-    return node[linked], node[labels[linked]]
+def edges_of(key: np.ndarray, node: np.ndarray, words: np.ndarray, levels: tuple[int, ...], counts=None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the components of whole keys; of links that are yet to be
+    verified (several levels) also the nearest of each node."""
+    _, a, b = gray_index.forest(words, levels, key, counts, spare=SPARE if len(levels) > 1 else 0)
+    return node[a], node[b]
 
 
-def _linked(dealt: DataFrame, most: int, n: int, hot: int, batch_rows: int = 1 << 17) -> DataFrame:
+def _linked(dealt: DataFrame, levels: tuple[int, ...], n: int, hot: int, batch_rows: int = 1 << 17) -> DataFrame:
     """Edges (a, b) within equal keys of (node, print, key); a key of more than ``hot``
     rows leaves its rows instead, as (node, null, key)."""
 
@@ -201,7 +210,7 @@ def _linked(dealt: DataFrame, most: int, n: int, hot: int, batch_rows: int = 1 <
         rows, over = 0, None
 
         def edges(key, node, words):
-            a, b = edges_of(key, node, words, most)
+            a, b = edges_of(key, node, words, levels)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "key"])
 
         def passed(key, node):
@@ -236,17 +245,17 @@ def _linked(dealt: DataFrame, most: int, n: int, hot: int, batch_rows: int = 1 <
     return dealt.select("node", "print", "key").repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
 
 
-def links(prints: DataFrame, most: int, deal: Callable[[DataFrame, int], DataFrame] | None = None, hot: int = 1 << 18) -> DataFrame:
+def links(prints: DataFrame, levels: tuple[int, ...], deal: Callable[[DataFrame, int], DataFrame] | None = None, hot: int = 1 << 18) -> DataFrame:
     """Edges (a, b) that connect the nodes of (node, print), whose prints are distinct,
-    as all links within ``most`` bits do; fewer than one a print and key.
+    as all links within ``levels[-1]`` bits do; fewer than one a print and key.
 
     A key of more than ``hot`` prints is cut into parts, and each pair of parts is
     searched by itself, so that no task holds more than twice ``hot`` of them.
     """
     spark = prints.sparkSession
-    dealt = (deal or deal_blocks(most))(prints, prints.count())
+    dealt = (deal or deal_blocks(levels[-1]))(prints, prints.count())
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), partitions_for(prints, 1))
-    found = materialize(_linked(dealt, most, n, hot), "links")
+    found = materialize(_linked(dealt, levels, n, hot), "links")
     edges, large = found.where("key is null").select("a", "b"), found.where("key is not null").select(F.col("a").alias("node"), "key")
     if large.take(1):
         parts = large.groupBy("key").agg(F.ceil(F.count("*") * 2 / hot).alias("_parts"))
@@ -256,8 +265,8 @@ def links(prints: DataFrame, most: int, deal: Callable[[DataFrame, int], DataFra
         pairs = cut.select("node", "key", "_own", other.alias("_other"))
         pair = F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))
         again = pairs.select("node", pair.alias("key")).join(prints.select("node", "print"), "node")
-        edges = edges.unionByName(_linked(again, most, n, 1 << 62).select("a", "b"))
-    return edges.distinct()
+        edges = edges.unionByName(_linked(again, levels, n, 1 << 62).select("a", "b"))
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -285,31 +294,26 @@ def connect(edges: DataFrame) -> DataFrame:
         now = ends.select(F.greatest("x", "low").alias("a"), F.least("x", "low").alias("b")).distinct()
 
 
-def _linked_prints(by_doc: DataFrame, find: Callable[[DataFrame], DataFrame], best: Column) -> DataFrame:
-    """(print, root, first, _copies): each print with the least node of its component,
-    its minimum ``best`` and its rows, materialised."""
+def _with_best(by_doc: DataFrame, find: Callable[[DataFrame], DataFrame], best: Column) -> DataFrame:
+    """``by_doc`` and component_id: the minimum ``best`` over the component of a row's
+    print, or null where that print has this row alone and is its own best.
+
+    ``find`` gives the edges between the nodes of (node, print, first, _copies).
+    """
     grouped = by_doc.groupBy("print").agg(best.alias("first"), F.count("*").alias("_copies"))
     node = F.col("print") if dict(by_doc.dtypes)["print"] == "bigint" else F.monotonically_increasing_id()
     groups = materialize(grouped.withColumn("node", node), "groups")
-    roots = connect(find(groups.select("node", "print")))
-    member = groups.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return materialize(member.select("print", "root", "first", "_copies"), "members")
-
-
-def _with_best(by_doc: DataFrame, member: DataFrame, best_of: DataFrame, key: str) -> DataFrame:
-    """``by_doc`` and component_id, which ``best_of`` says for values of ``key`` in
-    ``member`` with their number; null where a print has one row alone, its own best."""
-    known = lookup_skewed(member, best_of, key, "_n")
+    member = groups.join(connect(find(groups)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = materialize(member.select("print", "root", "first", "_copies"), "members")
+    found = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_prints")).where("_prints > 1")
+    known = lookup_skewed(member, materialize(found, "components"), "root", "_prints")
     known = known.select("print", F.coalesce("component_id", "first").alias("component_id"), "first", "_copies").where("_copies > 1 or not (component_id <=> first)").drop("first")
     return lookup_skewed(by_doc, materialize(known, "known"), "print", "_copies")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every document."""
-    prints = fingerprints(docs, shingle)
-    member = _linked_prints(prints, lambda p: links(p, most), F.min("doc_id"))
-    found = member.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("_n")).where("_n > 1")
-    out = _with_best(prints, member, materialize(found, "components"), "root")
+    out = _with_best(fingerprints(docs, shingle), lambda groups: links(groups, (most,)), F.min("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -328,46 +332,36 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _leaders(numbered: DataFrame, row: str, member: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(print, component_id, _n) for the prints of components of several: what stays for
-    them, materialised.
-
-    In each round the best print that is left of every component leads it, and those
-    similar to it leave with it; there are as many rounds as leaders in a component.
-    """
-    sizes = materialize(member.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_several", F.lit(True)), "several")
-    several = lookup_skewed(member, sizes, "root", "_n").where("_several").select("print", "root", "first", F.col("first.row").alias(row))
-    texts = several.join(numbered.select(row, F.col("text").alias("text")), row).drop(row)
-    left = materialize(shingle_sets(texts, shingle), "left")
-    done = []
-    while left.take(1):
-        leads = left.groupBy("root").agg(F.min_by(F.struct("first", "shingles"), "first").alias("lead"), F.count("*").alias("_n"))
-        # a leader carries a set of shingles: few at once are broadcast
-        judged = lookup_skewed(left, materialize(leads, "leads"), "root", "_n", hot=64)
-        common = F.size(F.array_intersect("shingles", "lead.shingles"))
-        union = F.size("shingles") + F.size("lead.shingles") - common
-        near = (F.col("first") == F.col("lead.first")) | (common >= F.lit(similarity) * union)
-        judged = materialize(judged.withColumn("_near", near), "judged")
-        discard(left)
-        done.append(judged.where("_near").select("print", F.col("lead.first").alias("component_id")))
-        left = materialize(judged.where("not _near").drop("lead", "_near"), "left")
-    found = reduce(DataFrame.unionByName, done) if done else left.select("print", F.col("first").alias("component_id"))
-    return materialize(found.withColumn("_n", F.lit(1).cast("long")), "components")
+def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose nodes, of (node, text), have sets of shingles as similar."""
+    edges = materialize(edges, "candidates")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(shingle_sets(texts.join(ends, "node", "left_semi"), shingle), "sets")
+    told = edges
+    for end in ("a", "b"):
+        degrees = edges.groupBy(end).agg(F.count("*").alias("_n"))
+        side = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}")).join(degrees, end)
+        told = lookup_skewed(told, materialize(side, f"sets-{end}"), end, "_n", hot=64)  # few sets at once are broadcast
+    common = F.size(F.array_intersect("_a", "_b"))
+    return told.where(common >= F.lit(similarity) * (F.size("_a") + F.size("_b") - common)).select("a", "b")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows that no other one stands for, with all their columns: of similar texts
-    one with the smallest doc_id.
+    """One row of each component of similar texts, with all its columns: one with the
+    smallest doc_id.
 
     Rows are told apart by a number that is written with them, so that a doc_id
     may be null or stand in several components; a row without one stays only if
-    there is none with one.
+    its component has none.
     """
     row = fresh(docs, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     prints = fingerprints(numbered, shingle, row, wide=True)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    member = _linked_prints(prints, lambda p: links(p, reach(similarity), deal_samples(similarity)), best)
-    found = _with_best(prints, member, _leaders(numbered, row, member, shingle, similarity), "print")
+
+    def find(groups: DataFrame) -> DataFrame:
+        texts = groups.select("node", F.col("first.row").alias(row)).join(numbered.select(row, F.col("text").alias("text")), row).drop(row)
+        return verified(links(groups, ladder(similarity), deal_samples(similarity)), texts, shingle, similarity)
+
+    found = _with_best(prints, find, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")))
     gone = found.where("component_id.row != row").select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").drop(row)

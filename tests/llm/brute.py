@@ -75,18 +75,17 @@ def wide_components(ids: list[int], prints: list[int], most: int) -> list[int]:
 
 
 def survivors(docs: list[tuple[int, str | None]], most: int, similarity: float = 0.8) -> list[tuple[int, str | None]]:
-    """Documents that stay: in ascending order, each one that is not similar to one of
-    its component that stays."""
+    """The document with the smallest id of each component of links: equal prints, or
+    ``most`` differing bits at most and sets of shingles that similar."""
     docs = sorted(docs)
-    prints = [wide_fingerprint(t) for _, t in docs]
-    roots = wide_components([d for d, _ in docs], prints, most)
-    kept: list[tuple[int, str | None, int, int, set[str]]] = []
-    for (d, t), p, c in zip(docs, prints, roots, strict=True):
-        s = shingles(t)
-        like = lambda k: k[2] == c and (k[3] == p or len(s & k[4]) >= similarity * len(s | k[4]))  # noqa: B023, E731
-        if not any(map(like, kept)):
-            kept.append((d, t, c, p, s))
-    return [(d, t) for d, t, *_ in kept]
+    prints, sets = [wide_fingerprint(t) for _, t in docs], [shingles(t) for _, t in docs]
+    label = list(range(len(docs)))
+    near = lambda i, j: (prints[i] ^ prints[j]).bit_count() <= most and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if prints[i] == prints[j] or near(i, j)]
+    while any(label[i] != label[j] for i, j in pairs):
+        for i, j in pairs:
+            label[i] = label[j] = min(label[i], label[j])
+    return [d for i, d in enumerate(docs) if label[i] == i]
 
 
 def components(ids: list[int], prints: list[int], most: int = 4) -> list[int]:

@@ -157,7 +157,7 @@ def test_gray_index_keeps_keys_apart(words):
     for _ in range(4):
         values[:, rng.integers(words)] ^= np.where(rng.random(900) < 0.5, np.uint64(1) << rng.integers(0, 64, 900, np.uint64), np.uint64(0))
     keys, counts = np.sort(rng.integers(0, 12, 900)), Counter()
-    got = gray_index.components(values, 3, keys, counts)
+    got, _, _ = gray_index.forest(values, (3,), keys, counts)
     for key in range(12):
         at = np.flatnonzero(keys == key)
         whole = [sum(int(w) << 64 * k for k, w in enumerate(row)) for row in values[at]]
@@ -174,7 +174,7 @@ def test_every_link_comes_from_the_gray_index(spark):
     values = np.array([r.node for r in prints.collect()])
     dealt = simhash.deal_blocks(4)(prints, len(values)).toPandas().sort_values("key")
     counts = Counter()
-    a, b = simhash.edges_of(dealt["key"].to_numpy(), dealt["node"].to_numpy(), dealt["print"].to_numpy().view(np.uint64).reshape(-1, 1), 4, counts)
+    a, b = simhash.edges_of(dealt["key"].to_numpy(), dealt["node"].to_numpy(), dealt["print"].to_numpy().view(np.uint64).reshape(-1, 1), (4,), counts)
     at = {int(v): i for i, v in enumerate(values)}
     labels = gray_index.join_labels(len(values), np.array([at[x] for x in a.tolist()]), np.array([at[x] for x in b.tolist()]))
     assert labels.tolist() == brute.components(list(range(len(values))), values.view(np.uint64).tolist())
@@ -201,20 +201,44 @@ def test_similar_texts_are_linked_and_others_not(spark):
     assert len(above) > 20 and np.mean(above) > 0.9 and len(below) > 20 and not any(below)
 
 
-def test_chains_do_not_carry_documents_away(spark):
-    """Each text is like its neighbours, the first not like the last."""
+def test_weak_links_do_not_join_groups(spark):
+    """A chain of similar texts is one group; a text that is only nearly similar to two
+    groups joins neither, though its print is close to both."""
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
-    words, texts = [word() for _ in range(300)], []
+    words, chain = [word() for _ in range(300)], []
     for k in range(12):
-        texts.append(" ".join(words))
+        chain.append(" ".join(words))
         words[k * 20 : k * 20 + 12] = [word() for _ in range(12)]
-    docs = list(enumerate(texts))
+    base = [word() for _ in range(400)]
+    change = lambda places: " ".join(word() if i in places else w for i, w in enumerate(base))
+    star = [change(set(rng.sample(range(400), 7))) for _ in range(25)] + [" ".join(base)]  # alike through the base alone
+    far = [change(set(rng.sample(range(400), 14))) for _ in range(6)]
+    docs = list(enumerate(chain + star + far))
+    sets = [brute.shingles(t) for _, t in docs]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert alike(0, 1) >= 0.8 > alike(0, 11) and all(alike(i, 37) >= 0.8 for i in range(12, 37)) and max(alike(i, 37) for i in range(38, 44)) < 0.8
     kept = sorted(tuple(r) for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect())
-    assert kept == brute.survivors(docs, simhash.reach(0.8)) and 1 < len(kept) < 12
-    sets = [brute.shingles(t) for t in texts]
-    for i in range(12):
-        assert (i, texts[i]) in kept or any(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j, _ in kept)
+    assert kept == brute.survivors(docs, simhash.reach(0.8)) and [d for d, _ in kept] == [0, 12, *range(38, 44)]
+
+
+def test_forests_connect_and_have_no_cycles():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, (30, 8), np.uint64)
+    values = base[rng.integers(0, 30, 1200)]
+    for _ in range(40):
+        values[:, rng.integers(8)] ^= np.where(rng.random(1200) < 0.5, np.uint64(1) << rng.integers(0, 64, 1200, np.uint64), np.uint64(0))
+    keys = rng.integers(0, 5, 1200)
+    labels, a, b = gray_index.forest(values, (10, 20, 30), keys)
+    diff = np.bitwise_count(values[a] ^ values[b]).sum(1)
+    assert len(a) == 1200 - len(set(labels.tolist())) and (diff <= 30).all() and (keys[a] == keys[b]).all()
+    again = gray_index.join_labels(1200, a, b)
+    assert len(set(zip(again.tolist(), labels.tolist(), strict=True))) == len(set(labels.tolist()))
+    # the forest is one of least differences, by levels: what 10 bits connect, its links of 10 bits connect
+    for most in (10, 20):
+        inner = gray_index.join_labels(1200, a[diff <= most], b[diff <= most])
+        want = gray_index.components(values, most, keys)
+        assert len(set(zip(inner.tolist(), want.tolist(), strict=True))) == len(set(want.tolist())) == len(set(inner.tolist()))
 
 
 def test_keys_grow_with_the_corpus():
@@ -235,7 +259,7 @@ def test_hot_keys_are_searched_in_parts(spark):
     prints = spark.createDataFrame([(int(v), int(v)) for v in values], "node long, print long")
     want = brute.components(list(range(len(values))), values.view(np.uint64).tolist())
     for hot in (1 << 18, 50):
-        found = simhash.links(prints, 4, hot=hot).collect()
+        found = simhash.links(prints, (4,), hot=hot).collect()
         at = {int(v): i for i, v in enumerate(values)}
         labels = gray_index.join_labels(len(values), np.array([at[r.a] for r in found]), np.array([at[r.b] for r in found]))
         assert labels.tolist() == want
