@@ -4,8 +4,9 @@ A text is scored word by word (a word is a maximal run of letters, between
 boundary marks), so the cost of a word is known once and kept in a bounded memo.
 Each order's n-grams of all languages lie in one sorted array of 64-bit hashes;
 beside it stand, a column a language, the discounted probability of the n-gram
-and the weight that its context gives to the next lower order.  A context that
-the word's beginning cuts short stands for itself at every order above.  The language
+and the weight that its context gives to the next lower order.  An n-gram counts by how many longer ones end in
+it, or by how often it occurs if it begins a word; a context that the word's
+beginning cuts short stands for itself at every order above.  The language
 with the lowest cross-entropy a character wins; a text whose cross-entropy is
 beyond what held-back training texts show is rejected.
 
@@ -118,7 +119,9 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, discount: float = DISC
     contexts = [(defaultdict(lambda: np.full(len(languages), 1.0))) for _ in range(order)]
     for column, lang in enumerate(languages):
         some = list(counts[lang])
-        times = np.repeat(np.asarray([counts[lang][w] for w in some], float), [len(w) + 1 for w in some])
+        sizes = [len(w) + 1 for w in some]
+        times = np.repeat(np.asarray([counts[lang][w] for w in some], float), sizes)
+        place = np.concatenate([np.arange(1, n + 1) for n in sizes])
         g, c = _grams(some, order), _contexts(some, order)
         for k in range(order, 0, -1):
             keys, first, inverse = np.unique(g[k], return_index=True, return_inverse=True)
@@ -127,6 +130,8 @@ def fit(texts: list[tuple[str, str]], order: int = ORDER, discount: float = DISC
             else:  # in how many longer n-grams each one ends
                 longer = np.unique(g[k + 1], return_index=True)[1]
                 n = np.bincount(inverse[longer], minlength=len(keys)).astype(float)
+                # nothing comes before the beginning of a word: there how often counts
+                n = np.where(place[first] < k, np.bincount(inverse, times), n)
             ctx, of = np.unique(c[k - 1][first], return_inverse=True)
             total, kinds = np.bincount(of, n), np.bincount(of)
             for key, value in zip(keys.tolist(), ((n - discount).clip(0) / total[of]).tolist(), strict=True):

@@ -164,7 +164,10 @@ class PlainKneserNey:
                         self.counts[n][g] += c
             else:
                 for g, _ in {(g, f) for w in words for g, f in zip(self.grams(w, n), self.grams(w, n + 1), strict=True)}:
-                    self.counts[n][g] += 1
+                    self.counts[n][g] += g[0] != "\x02"
+                for w, c in words.items():
+                    for g in self.grams(w, n):
+                        self.counts[n][g] += c * (g[0] == "\x02")
         self.total = {n: defaultdict(int) for n in self.counts}
         self.kinds = {n: defaultdict(int) for n in self.counts}
         for n, table in self.counts.items():
