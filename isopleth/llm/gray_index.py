@@ -116,8 +116,9 @@ def forest(values: np.ndarray, levels: tuple[int, ...], keys: np.ndarray | None
     cycles.
 
     Links of fewer bits come first, by ``levels`` in ascending order, as in a minimum
-    spanning tree.  With ``spare``, each value that is linked gives so many of its
-    nearest links besides, for a caller that may find some of them wanting.
+    spanning tree.  With ``spare``, each value that one of the wider ``levels`` links
+    gives so many of its nearest links besides, for a caller that may find some of
+    them wanting.
     ``counts`` gets the pairs compared by height, and the links.
     """
     n = len(values)
@@ -131,7 +132,7 @@ def forest(values: np.ndarray, levels: tuple[int, ...], keys: np.ndarray | None
     labels, counts = np.arange(n), Counter() if counts is None else counts
     index, found = _Index(v, keys), []
 
-    def link(a: np.ndarray, b: np.ndarray, diff: np.ndarray) -> None:
+    def link(a: np.ndarray, b: np.ndarray, diff: np.ndarray, spare: int) -> None:
         nonlocal labels
         by = np.argsort(diff, kind="stable")
         a, b = a[by], b[by]
@@ -154,8 +155,9 @@ def forest(values: np.ndarray, levels: tuple[int, ...], keys: np.ndarray | None
     i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
     for step, most in enumerate(levels):
         # where several levels follow, no neighbour comes before a nearer value
-        for a, b, diff in beside if 2 * step < len(levels) else ():
-            link(a[diff <= most], b[diff <= most], diff[diff <= most])
+        early = 2 * step < len(levels)
+        for a, b, diff in beside if early else ():
+            link(a[diff <= most], b[diff <= most], diff[diff <= most], 0)
         same, new = index.uniform(labels), []
         stack = [(len(index.width) - 1, *np.triu_indices(len(index.first[-1])))]
         while stack:
@@ -174,7 +176,7 @@ def forest(values: np.ndarray, levels: tuple[int, ...], keys: np.ndarray | None
             if level == 0:
                 new.append((a, b, np.bitwise_count(v[a] ^ v[b]).sum(1, dtype=np.int32)))
                 if sum(len(x) for x, *_ in new) > max(n >> 8, 4096):
-                    link(*map(np.concatenate, zip(*new, strict=True)))
+                    link(*map(np.concatenate, zip(*new, strict=True)), 0 if early else spare)
                     same, new = index.uniform(labels), []
                 continue
             below = len(index.first[level - 1])
@@ -182,7 +184,7 @@ def forest(values: np.ndarray, levels: tuple[int, ...], keys: np.ndarray | None
             good = (a < below) & (b < below) & (a <= b)
             stack.append((level - 1, a[good], b[good]))
         if new:
-            link(*map(np.concatenate, zip(*new, strict=True)))
+            link(*map(np.concatenate, zip(*new, strict=True)), 0 if early else spare)
     out = np.empty(n, int)
     out[order] = order[labels]
     a, b = (order[np.concatenate(x)] for x in zip(*found, strict=True))

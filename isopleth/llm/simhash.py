@@ -16,7 +16,7 @@ that two linked prints must agree on one of them.
 the Jaccard similarity of the sets of shingles, and keys are sampled bits, in so
 many tables that a pair at the threshold meets in none with a probability of
 ``MISS`` at most.  In every key the links of a spanning forest of least differences
-and ``SPARE`` more of each print leave; those count whose sets of shingles are as
+and, near the threshold, ``SPARE`` more of a print leave; those count whose sets of shingles are as
 similar as asked, exactly.  Two groups that only links below the threshold join are
 thus apart again.
 
@@ -44,8 +44,8 @@ from ._shared import columns, discard, fresh, lookup_skewed, materialize, partit
 ROWS = 128
 #: Words of a wide print, and the share of pairs at the threshold that no key brings together.
 WIDE, MISS = 8, 0.01
-#: Links to be verified that each print gives besides those of a forest.
-SPARE = 4
+#: Links near the threshold that a print gives besides those of a forest.
+SPARE = 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
