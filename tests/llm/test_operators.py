@@ -246,7 +246,7 @@ def test_keys_grow_with_the_corpus():
         widths = simhash.block_plan(n, 4)
         assert sum(widths) == 64 and n >> sum(sorted(widths)[: len(widths) - 4]) <= simhash.ROWS
         bits, tables = simhash.table_plan(n, 0.8)
-        assert n / 2**bits <= simhash.ROWS and (1 - (1 - simhash.differing_share(0.8)) ** bits) ** tables <= simhash.MISS
+        assert n / 2**bits <= simhash.TABLE_ROWS and (1 - (1 - simhash.differing_share(0.8)) ** bits) ** tables <= simhash.MISS
     # tables grow like the fourth root of the number of prints
     assert simhash.table_plan(10**9, 0.8)[1] < 6 * simhash.table_plan(10**6, 0.8)[1]
 
