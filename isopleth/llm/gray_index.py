@@ -17,7 +17,7 @@ from collections import Counter
 import numpy as np
 
 FAN = 8
-_CHUNK = 1 << 15
+_CHUNK = 1 << 13
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -152,14 +152,14 @@ def forest(values: np.ndarray, levels: tuple[int, ...], keys: np.ndarray | None
         a, b = by[:-1], by[1:]
         a, b = a[keys[a] == keys[b]], b[keys[a] == keys[b]]
         beside.append((a, b, np.bitwise_count(v[a] ^ v[b]).sum(1, dtype=np.int32)))
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
+    i, j = (x.ravel().astype(np.int32) for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
     for step, most in enumerate(levels):
         # where several levels follow, no neighbour comes before a nearer value
         early = 2 * step < len(levels)
         for a, b, diff in beside if early else ():
             link(a[diff <= most], b[diff <= most], diff[diff <= most], 0)
         same, new = index.uniform(labels), []
-        stack = [(len(index.width) - 1, *np.triu_indices(len(index.first[-1])))]
+        stack = [(len(index.width) - 1, *(x.astype(np.int32) for x in np.triu_indices(len(index.first[-1]))))]
         while stack:
             level, a, b = stack.pop()
             if len(a) > _CHUNK:

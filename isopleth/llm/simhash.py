@@ -40,8 +40,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import gray_index
 from ._shared import columns, discard, fresh, lookup_skewed, materialize, partitions_for, spread
 
-#: Unrelated prints that a key of blocks and one of sampled bits hold, as keys are long.
-ROWS, TABLE_ROWS = 128, 256
+#: Unrelated prints that a key holds, as keys are long.
+ROWS = 128
 #: Words of a wide print, and the share of pairs at the threshold that no key brings together.
 WIDE, MISS = 8, 0.01
 #: Links near the threshold that a print gives besides those of a forest.
@@ -156,8 +156,8 @@ def deal_blocks(most: int) -> Callable[[DataFrame, int], DataFrame]:
 
 
 def table_plan(n: int, similarity: float) -> tuple[int, int]:
-    """Sampled bits a key, for about ``TABLE_ROWS`` of ``n`` prints in one, and tables."""
-    bits = max(0, math.ceil(math.log2(max(1, n) / TABLE_ROWS)))
+    """Sampled bits a key, for about ``ROWS`` of ``n`` prints in one, and tables."""
+    bits = max(0, math.ceil(math.log2(max(1, n) / ROWS)))
     together = (1 - differing_share(similarity)) ** bits
     return bits, 1 if not bits else math.ceil(math.log(MISS) / math.log1p(-together))
 
@@ -199,7 +199,7 @@ def edges_of(key: np.ndarray, node: np.ndarray, words: np.ndarray, levels: tuple
     return node[a], node[b]
 
 
-def _linked(dealt: DataFrame, levels: tuple[int, ...], n: int, hot: int, batch_rows: int = 1 << 17) -> DataFrame:
+def _linked(dealt: DataFrame, levels: tuple[int, ...], n: int, hot: int, batch_rows: int = 1 << 16) -> DataFrame:
     """Edges (a, b) within equal keys of (node, print, key); a key of more than ``hot``
     rows leaves its rows instead, as (node, null, key)."""
 
