@@ -18,7 +18,8 @@ many tables that a pair at the threshold meets in none with a probability of
 ``MISS`` at most.  In every key the links of a spanning forest of least differences
 and, near the threshold, ``SPARE`` more of a print leave; those count whose sets of shingles are as
 similar as asked, exactly.  Two groups that only links below the threshold join are
-thus apart again.
+thus apart again.  What tables, ``reach`` and forests leave out, ``set_join`` finds:
+all pairs of different components that are as similar, so that no link is lost.
 
 Cases: a null, empty or wordless text has fingerprint zero and is linked like any
 other; fewer words than a shingle make one shingle; repeated rows are kept; a
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import gray_index
+from . import gray_index, set_join
 from ._shared import columns, discard, fresh, lookup_skewed, materialize, partitions_for, spread
 
 #: Unrelated prints that a key holds, as keys are long.
@@ -46,6 +47,8 @@ ROWS = 128
 WIDE, MISS = 8, 0.01
 #: Links near the threshold that a print gives besides those of a forest.
 SPARE = 2
+#: Documents of the sample that tells common shingles, and the most of those that are told.
+SAMPLE, COMMON = 2048, 1 << 17
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
 
@@ -77,7 +80,10 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def wide_fingerprint(text: str | None, shingle: int = 5, words: int = WIDE) -> np.ndarray:
     """SimHash of the set of shingles in several words: further hashes of a shingle
     come from its first one by a mixing step each."""
-    h = np.unique(shingle_hashes(text, shingle))
+    return _wide(np.unique(shingle_hashes(text, shingle)), words)
+
+
+def _wide(h: np.ndarray, words: int = WIDE) -> np.ndarray:
     out = []
     for k in range(words):
         z = h + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)
@@ -109,22 +115,42 @@ def ladder(similarity: float, words: int = WIDE) -> tuple[int, ...]:
     return (*most, (most[-1] + reach(similarity, words)) // 2, reach(similarity, words))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, row: str | None = None, wide: bool = False) -> DataFrame:
-    """doc_id, the fingerprint (a signed long; binary if wide) and the long ``row``, if
-    named, materialised."""
+def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
+    """doc_id and the fingerprint (a signed long), materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (t for at in range(0, batch.num_rows, 500) for t in batch.column(1).slice(at, 500).to_pylist())
-            if wide:
-                made = pa.array([wide_fingerprint(t, shingle).tobytes() for t in texts], pa.binary())
-            else:
-                made = pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), made, *batch.columns[2:]], ["doc_id", "print", *batch.schema.names[2:]])
+            made = pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["doc_id", "print"])
 
-    doc_id, text, *more = columns(docs, "doc_id", "text", *([row] if row else []))
-    slim = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"), *(c.alias("row") for c in more))
-    return materialize(spread(slim).mapInArrow(run, f"doc_id long, print {'binary' if wide else 'long'}" + ", row long" * len(more)), "prints")
+    doc_id, text = columns(docs, "doc_id", "text")
+    slim = docs.select(doc_id.cast("long").alias("doc_id"), text.alias("text"))
+    return materialize(spread(slim).mapInArrow(run, "doc_id long, print long"), "prints")
+
+
+def wide_fingerprints(docs: DataFrame, row: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """doc_id, the long ``row``, the wide fingerprint with a digest of the set of shingles
+    behind it, and the set's prefix, size and bitmap (see ``set_join``), materialised."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            prints, prefixes, sizes, bits = [], [], [], []
+            for at in range(0, batch.num_rows, 500):
+                for t in batch.column(2).slice(at, 500).to_pylist():
+                    h = np.unique(shingle_hashes(t, shingle))
+                    prints.append(_wide(h).tobytes() + xxh3_128_digest(h.tobytes()))
+                    prefixes.append(set_join.packed(set_join.prefix(h, similarity, common)))
+                    sizes.append(len(h))
+                    bits.append(set_join.bitmap(h).tobytes())
+            made = [pa.array(prints, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc_id", "row", "print", "prefix", "size", "bits"])
+
+    doc_id, number, text = columns(docs, "doc_id", row, "text")
+    slim = docs.select(doc_id.cast("long").alias("doc_id"), number.alias("row"), text.alias("text"))
+    return materialize(spread(slim).mapInArrow(run, "doc_id long, row long, print binary, prefix binary, size long, bits binary"), "prints")
 
 
 def block_plan(n: int, most: int) -> tuple[int, ...]:
@@ -298,10 +324,11 @@ def _with_best(by_doc: DataFrame, find: Callable[[DataFrame], DataFrame], best:
     """``by_doc`` and component_id: the minimum ``best`` over the component of a row's
     print, or null where that print has this row alone and is its own best.
 
-    ``find`` gives the edges between the nodes of (node, print, first, _copies).
+    ``find`` gives the edges between the nodes of (node, print, first, _copies); a node
+    is a print of one word, or the row of a wide one's best.
     """
     grouped = by_doc.groupBy("print").agg(best.alias("first"), F.count("*").alias("_copies"))
-    node = F.col("print") if dict(by_doc.dtypes)["print"] == "bigint" else F.monotonically_increasing_id()
+    node = F.col("print") if dict(by_doc.dtypes)["print"] == "bigint" else F.col("first.row")
     groups = materialize(grouped.withColumn("node", node), "groups")
     member = groups.join(connect(find(groups)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     member = materialize(member.select("print", "root", "first", "_copies"), "members")
@@ -332,18 +359,35 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def common_shingles(docs: DataFrame, row: str, shingle: int) -> np.ndarray:
+    """Shingles that many documents have, ascending in number, by a sample of
+    ``SAMPLE`` documents or every 64th: a good order for ``set_join.prefix``, which is
+    exact in any."""
+    share = min(1.0, max(SAMPLE / max(1, docs.count()), 1 / 64))
+    text, number = columns(docs, "text", row)
+    some = docs.where(F.pmod(F.xxhash64(number), F.lit(1 << 20)) < int(share * (1 << 20))).select(text.alias("text"))
+    counts = shingle_sets(spread(some), shingle).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    found = counts.where("count > 3").orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()["shingle"]
+    return found.to_numpy().view(np.uint64)[::-1].copy()
+
+
 def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (a, b) whose nodes, of (node, text), have sets of shingles as similar."""
+    """The edges (a, b) whose nodes, of (node, text), have sets of shingles as similar,
+    materialised."""
     edges = materialize(edges, "candidates")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = materialize(shingle_sets(texts.join(ends, "node", "left_semi"), shingle), "sets")
-    told = edges
+    told, sides = edges, []
     for end in ("a", "b"):
         degrees = edges.groupBy(end).agg(F.count("*").alias("_n"))
         side = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}")).join(degrees, end)
-        told = lookup_skewed(told, materialize(side, f"sets-{end}"), end, "_n", hot=64)  # few sets at once are broadcast
+        sides.append(materialize(side, f"sets-{end}"))
+        told = lookup_skewed(told, sides[-1], end, "_n", hot=64)  # few sets at once are broadcast
+    discard(sets)
     common = F.size(F.array_intersect("_a", "_b"))
-    return told.where(common >= F.lit(similarity) * (F.size("_a") + F.size("_b") - common)).select("a", "b")
+    out = materialize(told.where(common >= F.lit(similarity) * (F.size("_a") + F.size("_b") - common)).select("a", "b"), "verified")
+    discard(edges, *sides)
+    return out
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -356,12 +400,19 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """
     row = fresh(docs, "_row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    prints = fingerprints(numbered, shingle, row, wide=True)
+    prints = wide_fingerprints(numbered, row, shingle, similarity, common_shingles(numbered, row, shingle))
+    number, text = columns(numbered, row, "text")
+    texts = numbered.select(number.alias("node"), text.alias("text"))
 
     def find(groups: DataFrame) -> DataFrame:
-        texts = groups.select("node", F.col("first.row").alias(row)).join(numbered.select(row, F.col("text").alias("text")), row).drop(row)
-        return verified(links(groups, ladder(similarity), deal_samples(similarity)), texts, shingle, similarity)
-
-    found = _with_best(prints, find, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")))
+        wide = groups.select("node", F.substring("print", 1, 8 * WIDE).alias("print"))
+        near = connect(verified(links(wide, ladder(similarity), deal_samples(similarity)), texts, shingle, similarity))
+        prefixes = prints.select(F.col("row").alias("node"), "prefix").join(groups.select("node"), "node", "left_semi")
+        bitmaps = prints.select(F.col("row").alias("node"), "size", "bits")
+        known = near.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        missed = set_join.crossing_pairs(prefixes, near, bitmaps, similarity)
+        return known if missed is None else known.unionByName(verified(missed, texts, shingle, similarity))
+
+    found = _with_best(prints.select("doc_id", "row", "print"), find, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")))
     gone = found.where("component_id.row != row").select(F.col("row").alias(row))
     return numbered.join(gone, row, "left_anti").drop(row)

@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from isopleth.llm import decontaminate, elias_fano, encode, gray_index, language_id, packing, queries, rp_forest, simhash, token_counts, token_files, url_filter, warc
+from isopleth.llm import decontaminate, elias_fano, encode, gray_index, language_id, packing, queries, rp_forest, set_join, simhash, token_counts, token_files, url_filter, warc
 from tests.llm import brute
 
 
@@ -222,6 +222,59 @@ def test_weak_links_do_not_join_groups(spark):
     assert kept == brute.survivors(docs, simhash.reach(0.8)) and [d for d, _ in kept] == [0, 12, *range(38, 44)]
 
 
+def test_no_similar_pair_is_left_out(spark):
+    """Short texts whose prints differ by more than ``reach``, and a dense group of texts
+    that are almost similar, where a forest gives nearer links that then fail."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = [" ".join(word() for _ in range(8)) for _ in range(40)]
+    texts += [f"{t} {word()}" for t in texts]
+    base = [word() for _ in range(300)]
+    change = lambda of, n: [word() if i in places else w for places in [set(rng.sample(range(300), n))] for i, w in enumerate(of)]
+    for _ in range(60):
+        words = change(base, 9)
+        texts += [" ".join(words), " ".join(change(words, 6))]
+    docs = list(enumerate(texts))
+    want = brute.survivors(docs, 64 * simhash.WIDE)
+    assert len(want) < len(brute.survivors(docs, simhash.reach(0.8))) - 10 and all(d not in dict(want) for d in range(40, 80))
+    assert sorted(map(tuple, simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == want
+
+
+def test_set_join_finds_every_crossing_pair(spark):
+    rng = np.random.default_rng(12)
+    pool = np.sort(rng.integers(0, 2**64, 4000, np.uint64))
+    bases = [rng.choice(pool, n, replace=False) for n in (1, 4, 5, 30, 30, 200, 900)]
+    sets = []
+    for i in range(210):
+        kept = bases[i % 7][rng.random(len(bases[i % 7])) < rng.choice([1.0, 0.97, 0.9, 0.8])]
+        sets.append(np.unique(np.concatenate([kept, pool[rng.integers(0, 4000, rng.integers(0, 2 + len(kept) // 9))]])))
+    sets.append(np.zeros(0, np.uint64))
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    roots = {i: i - i % 14 for i in range(0, 211, 3)}
+    root = lambda i: roots.get(i, i)
+    want = {(a, b) for a in range(210) for b in range(a) if root(a) != root(b) and len(sets[a]) and len(sets[b]) and alike(sets[a], sets[b])}
+    assert len(want) > 500
+    bitmaps = spark.createDataFrame([(i, len(s), set_join.bitmap(s).tobytes()) for i, s in enumerate(sets)], "node long, size long, bits binary")
+    for common in (np.zeros(0, np.uint64), rng.permutation(np.concatenate(bases[2:5]))):
+        prefixes = spark.createDataFrame([(i, set_join.packed(set_join.prefix(s, 0.8, common))) for i, s in enumerate(sets)], "node long, prefix binary")
+        for hot, batch_rows in ((1 << 13, 1 << 14), (6, 10)):
+            found = set_join.crossing_pairs(prefixes, spark.createDataFrame(list(roots.items()), "node long, root long"), bitmaps, 0.8, hot, batch_rows)
+            got = [tuple(r) for r in found.collect()]
+            assert want <= set(got) and len(got) == len(set(got)) and all(root(a) != root(b) for a, b in got)
+    one = spark.createDataFrame([(0, bases[3][:8].tobytes()[: 5 * set_join.BYTES])], "node long, prefix binary")
+    assert set_join.crossing_pairs(one, spark.createDataFrame([], "node long, root long"), bitmaps, 0.8) is None
+
+
+def test_set_join_prefixes_and_bitmaps():
+    e = np.arange(1, 11, dtype=np.uint64) * np.uint64(1 << 50)
+    common = np.array([e[1], np.uint64(7), e[0]])
+    assert set_join.prefix(e, 0.8, common[:0]).tolist() == e[:3].tolist() and set_join.prefix(e, 0.8, common).tolist() == e[2:5].tolist()
+    assert set_join.prefix(e[:3], 0.1, common).tolist() == [e[2], e[1], e[0]] and len(set_join.prefix(e[:0], 0.8, common)) == 0
+    assert set_join.unpacked(set_join.packed(e + np.uint64(5))).tolist() == [5] * 10
+    other = np.concatenate([e[:6], e[:3] + np.uint64(1 << 44)])
+    assert np.bitwise_count(set_join.bitmap(e) ^ set_join.bitmap(other)).sum() <= 7
+
+
 def test_forests_connect_and_have_no_cycles():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**64, (30, 8), np.uint64)
