@@ -112,6 +112,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def broadcast_few(keys: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """``keys``, materialised and of a few bytes a row, as the side of a join that is
+    broadcast, if it has ``most`` rows or fewer: the other side is then not shuffled."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def lookup_skewed(left: DataFrame, right: DataFrame, key: str, weight: str, hot: int = 2000) -> DataFrame:
     """Left join to a table with one row a key, safe when one key holds many rows.
 

@@ -7,8 +7,9 @@ that are not like it.  The elements are dealt packed, many in a row; those of on
 alone or of sets too different in size, nearly all, end there.  Of the others those that lie in several components
 are searched: pairs in reach by their sizes are told by bitmaps that hold for each bit
 whether an odd number of elements fell on it.  As many bits differ as elements at
-most, so that no pair is lost, and the sets of what is left are for the caller to
-compare.
+most, so that no pair is lost.  Sets of more elements than bits fill such a bitmap and
+are told again, once a pair, by one with a bit an element at least.  The sets of what is
+left are for the caller to compare.
 """
 
 from __future__ import annotations
@@ -20,12 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import materialize, partitions_for
+from ._shared import discard, lookup_skewed, materialize, partitions_for
 
 #: Bytes of an element that are dealt; where these agree by chance, more pairs are compared.
 BYTES = 5
-#: Bits of a bitmap.
-BITS = 2048
+#: Bits of a bitmap, and the most of one for a long set.
+BITS, LONGEST = 2048, 1 << 24
 #: Pairs that are compared at once.
 _CHUNK = 1 << 15
 
@@ -108,10 +109,24 @@ def shared_elements(prefixes: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition(n, "part").mapInArrow(meet, "element long, node long")
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    """For each of ``BITS`` places whether an odd number of the uint64 elements fall on it."""
-    places = (elements >> np.uint64(40)) % np.uint64(BITS)
-    return np.packbits(np.bincount(places.astype(np.int64), minlength=BITS) & 1)
+def bitmap(elements: np.ndarray, wide: int = BITS) -> np.ndarray:
+    """For each of ``wide`` places whether an odd number of the uint64 elements fall on it."""
+    places = (elements >> np.uint64(40)) % np.uint64(wide)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=wide) & 1)
+
+
+def long_bitmap(elements: np.ndarray) -> bytes | None:
+    """For sets of more than ``BITS`` elements a bitmap of as many places or more, a power of two."""
+    n = len(elements)
+    return bitmap(elements, min(LONGEST, 1 << (n - 1).bit_length())).tobytes() if n > BITS else None
+
+
+def may_be_similar(a: bytes, b: bytes, sizes: int, similarity: float) -> bool:
+    """Whether two long bitmaps of sets with ``sizes`` elements in all allow the
+    similarity; a wider one is folded to the places of the other."""
+    n = min(len(a), len(b)) // 8
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(raw, np.uint64).reshape(-1, n), axis=0) for raw in (a, b))
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= int((1 - similarity) / (1 + similarity) * sizes + 1e-9)
 
 
 def close_pairs(key: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, bits: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -187,3 +202,28 @@ def crossing_pairs(prefixes: DataFrame, roots: DataFrame, bitmaps: DataFrame, si
 
     dealt = told.select("key", "node", "root", "size", "bits").repartition(n, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def still_close(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose long bitmaps, of (node, size, long), allow the similarity or
+    of which one has none, materialised."""
+    pairs = materialize(pairs, "pairs")
+    told, sides = pairs, []
+    for end in ("a", "b"):
+        degrees = pairs.groupBy(end).agg(F.count("*").alias("_n"))
+        side = bitmaps.where("long is not null").select(F.col("node").alias(end), F.col("size").alias(f"_size_{end}"), F.col("long").alias(f"_long_{end}"))
+        sides.append(materialize(side.join(degrees, end), f"long-{end}"))
+        told = lookup_skewed(told, sides[-1], end, "_n", hot=64)  # few bitmaps at once are broadcast
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for at in range(0, batch.num_rows, 500):
+                sizes, x, y = (c.to_pylist() for c in batch.slice(at, 500).columns[2:])
+                kept += [n is None or may_be_similar(p, q, n, similarity) for n, p, q in zip(sizes, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    told = told.select("a", "b", (F.col("_size_a") + F.col("_size_b")).alias("sizes"), "_long_a", "_long_b")
+    out = materialize(told.mapInArrow(run, "a long, b long"), "close")
+    discard(pairs, *sides)
+    return out

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import gray_index, set_join
-from ._shared import columns, discard, fresh, lookup_skewed, materialize, partitions_for, spread
+from ._shared import broadcast_few, columns, discard, fresh, lookup_skewed, materialize, partitions_for, spread
 
 #: Unrelated prints that a key holds, as keys are long.
 ROWS = 128
@@ -131,13 +131,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 def wide_fingerprints(docs: DataFrame, row: str, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
     """doc_id, the long ``row``, the wide fingerprint with a digest of the set of shingles
-    behind it, and the set's prefix, size and bitmap (see ``set_join``), materialised."""
+    behind it, and the set's prefix, size and bitmaps (see ``set_join``), materialised."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            prints, prefixes, sizes, bits = [], [], [], []
+            prints, prefixes, sizes, bits, long = [], [], [], [], []
             for at in range(0, batch.num_rows, 500):
                 for t in batch.column(2).slice(at, 500).to_pylist():
                     h = np.unique(shingle_hashes(t, shingle))
@@ -145,12 +145,13 @@ def wide_fingerprints(docs: DataFrame, row: str, shingle: int, similarity: float
                     prefixes.append(set_join.packed(set_join.prefix(h, similarity, common)))
                     sizes.append(len(h))
                     bits.append(set_join.bitmap(h).tobytes())
-            made = [pa.array(prints, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc_id", "row", "print", "prefix", "size", "bits"])
+                    long.append(set_join.long_bitmap(h))
+            made = [pa.array(prints, pa.binary()), pa.array(prefixes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], ["doc_id", "row", "print", "prefix", "size", "bits", "long"])
 
     doc_id, number, text = columns(docs, "doc_id", row, "text")
     slim = docs.select(doc_id.cast("long").alias("doc_id"), number.alias("row"), text.alias("text"))
-    return materialize(spread(slim).mapInArrow(run, "doc_id long, row long, print binary, prefix binary, size long, bits binary"), "prints")
+    return materialize(spread(slim).mapInArrow(run, "doc_id long, row long, print binary, prefix binary, size long, bits binary, long binary"), "prints")
 
 
 def block_plan(n: int, most: int) -> tuple[int, ...]:
@@ -375,8 +376,8 @@ def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float
     """The edges (a, b) whose nodes, of (node, text), have sets of shingles as similar,
     materialised."""
     edges = materialize(edges, "candidates")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(shingle_sets(texts.join(ends, "node", "left_semi"), shingle), "sets")
+    ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    sets = materialize(shingle_sets(texts.join(broadcast_few(ends), "node", "left_semi"), shingle), "sets")
     told, sides = edges, []
     for end in ("a", "b"):
         degrees = edges.groupBy(end).agg(F.count("*").alias("_n"))
@@ -386,7 +387,7 @@ def verified(edges: DataFrame, texts: DataFrame, shingle: int, similarity: float
     discard(sets)
     common = F.size(F.array_intersect("_a", "_b"))
     out = materialize(told.where(common >= F.lit(similarity) * (F.size("_a") + F.size("_b") - common)).select("a", "b"), "verified")
-    discard(edges, *sides)
+    discard(edges, ends, *sides)
     return out
 
 
@@ -411,8 +412,11 @@ def deduplicate(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
         bitmaps = prints.select(F.col("row").alias("node"), "size", "bits")
         known = near.select(F.col("node").alias("a"), F.col("root").alias("b"))
         missed = set_join.crossing_pairs(prefixes, near, bitmaps, similarity)
-        return known if missed is None else known.unionByName(verified(missed, texts, shingle, similarity))
+        if missed is None:
+            return known
+        close = set_join.still_close(missed, prints.select(F.col("row").alias("node"), "size", "long"), similarity)
+        return known.unionByName(verified(close, texts, shingle, similarity))
 
     found = _with_best(prints.select("doc_id", "row", "print"), find, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")))
-    gone = found.where("component_id.row != row").select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").drop(row)
+    gone = materialize(found.where("component_id.row != row").select(F.col("row").alias(row)), "gone")
+    return numbered.join(broadcast_few(gone), row, "left_anti").drop(row)

@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from isopleth.llm import decontaminate, elias_fano, encode, gray_index, language_id, packing, queries, rp_forest, set_join, simhash, token_counts, token_files, url_filter, warc
+from isopleth.llm import _shared, decontaminate, elias_fano, encode, gray_index, language_id, packing, queries, rp_forest, set_join, simhash, token_counts, token_files, url_filter, warc
 from tests.llm import brute
 
 
@@ -275,6 +275,52 @@ def test_set_join_prefixes_and_bitmaps():
     assert np.bitwise_count(set_join.bitmap(e) ^ set_join.bitmap(other)).sum() <= 7
 
 
+def test_long_bitmaps_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(6)
+    bases = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (1900, 2200, 3900, 4300, 9000)]
+    sets = [b[rng.random(len(b)) < share] for b in bases for share in (1, 0.97, 0.93, 0.88, 0.82, 0.7, 0.5)]
+    alike = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    share = {(a, b): alike(sets[a], sets[b]) for a in range(35) for b in range(a)}
+    bitmaps = spark.createDataFrame([(i, len(s), set_join.long_bitmap(s)) for i, s in enumerate(sets)], "node long, size long, long binary")
+    got = {tuple(r) for r in set_join.still_close(spark.createDataFrame(list(share), "a long, b long"), bitmaps, 0.8).collect()}
+    short = {i for i, s in enumerate(sets) if len(s) <= set_join.BITS}
+    assert {p for p, x in share.items() if x >= 0.8 or short & set(p)} <= got
+    assert not {p for p, x in share.items() if x < 0.6 and not short & set(p)} & got
+    widths = {len(set_join.long_bitmap(sets[i])) for p in got - {p for p in got if short & set(p)} for i in p}
+    assert len(short) > 5 and len(widths) > 2
+    assert set_join.still_close(spark.createDataFrame([], "a long, b long"), bitmaps, 0.8).count() == 0
+
+
+def test_sets_of_long_unlike_texts_are_not_compared(spark, monkeypatch):
+    """Long texts that share a passage fill a small bitmap, so that it tells none of them apart."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for _ in range(4):
+        passage = [word() for _ in range(1500)]
+        texts += [" ".join(passage + [word() for _ in range(4500)]) for _ in range(3)]
+    near = texts[0].split()
+    near[3000:3040] = [word() for _ in range(40)]
+    docs, compared, verified = list(enumerate([*texts, " ".join(near)])), [], simhash.verified
+
+    def counted(edges, *args):
+        compared.append(edges.count())
+        return verified(edges, *args)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    kept = sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == list(range(12)) and len(compared) == 2 and sum(compared) <= 3
+
+
+def test_few_keys_are_broadcast_and_more_are_not(spark):
+    rows, keys = spark.range(1000).toDF("k"), spark.range(10).toDF("k")
+    for how, want in (("left_semi", 10), ("left_anti", 990)):
+        for most, broadcast in ((10, True), (9, False)):
+            joined = rows.join(_shared.broadcast_few(keys, most), "k", how)
+            hinted = "strategy=broadcast" in joined._jdf.queryExecution().logical().toString()
+            assert hinted == broadcast and joined.count() == want
+
+
 def test_forests_connect_and_have_no_cycles():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**64, (30, 8), np.uint64)
