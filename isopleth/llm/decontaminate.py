@@ -104,10 +104,11 @@ def _item_blocks(items: DataFrame, block_items: int, block_bytes: int) -> Iterat
 
 
 def contamination(
-    docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2, block_items: int = 20_000, block_bytes: int = 4 << 20, keep: list[str] | None = None
+    docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2, block_items: int = 20_000, block_bytes: int = 4 << 20, keep: list[str] | None = None, keep_text: str | None = None
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated,
-    spans (first and last hit word of each maximal run) and the kept columns.
+    spans (first and last hit word of each maximal run), the kept columns and, under
+    the name ``keep_text``, the text, which goes through the search once only.
 
     Each block's patterns travel as one broadcast of bounded size.  With one block
     a single pass finds everything.  With more, the documents are numbered and
@@ -120,7 +121,7 @@ def contamination(
     blocks = _item_blocks(items, block_items, block_bytes)
     block, after = next(blocks), next(blocks, None)
     if after is None:
-        state = _search(slim, block, window, "_text")
+        state = _search(slim, block, window, "_text", bool(keep_text))
     else:
         numbered = materialize(slim.withColumn("_row", F.monotonically_increasing_id()), "numbered")
         hits = []
@@ -129,7 +130,7 @@ def contamination(
         once = materialize(reduce(DataFrame.unionByName, hits), "hits")
         # a row and block give one line at most, so a group is no larger than the number of blocks
         both = once.groupBy("_row").agg(F.array_distinct(F.flatten(F.collect_list("_found"))).alias("_found"), F.array_sort(F.flatten(F.collect_list("_spans"))).alias("_spans"))
-        words_of = _search(numbered, [], window, "_text").drop("_found", "_spans")
+        words_of = _search(numbered, [], window, "_text", bool(keep_text)).drop("_found", "_spans")
         none = {"_found": F.array().cast("array<string>"), "_spans": F.array().cast(_SPANS)}
         state = words_of.join(both.withColumn("_spans", _merged("_spans")), "_row", "left").withColumns({c: F.coalesce(c, e) for c, e in none.items()})
     names = F.array_join(F.array_sort("_found"), ",")
@@ -142,6 +143,7 @@ def contamination(
         (F.size("_found") >= min_items).alias("contaminated"),
         F.col("_spans").alias("spans"),
         *(F.col(f"_k{i}").alias(c) for i, c in enumerate(kept)),
+        *([F.col("_text").alias(keep_text)] if keep_text else []),
     )
 
 
@@ -163,13 +165,13 @@ def _merged(spans: str) -> Column:
 _BUILT: dict[str, list[WuManber]] = {}
 
 
-def _search(docs: DataFrame, block: list[tuple[str, str | None]], window: int, text: str) -> DataFrame:
-    """``docs`` without their first column, the text, and _words, _found and _spans.
+def _search(docs: DataFrame, block: list[tuple[str, str | None]], window: int, text: str, keep_text: bool = False) -> DataFrame:
+    """``docs``, without the text unless it is kept, and _words, _found and _spans.
 
     A worker process builds the tables of a block once and keeps the last ones.
     """
     shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-    others = [f for f in docs.schema.fields if f.name != text]
+    others = [f for f in docs.schema.fields if keep_text or f.name != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "_words long, _found array<string>, _spans " + _SPANS])
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
@@ -214,6 +216,8 @@ def clean(docs: DataFrame, items: DataFrame, min_items: int = 1, **options) -> D
     """The documents that hold windows of fewer than ``min_items`` items, with all
     their columns; by default a single occurring window removes a document."""
     names = [f"k_{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True)), *(docs[f"`{c}`"].alias(c) for c in ("doc_id", "text")))
-    found = contamination(plain, items, keep=names, min_items=min_items, **options).where("not contaminated")
+    of_text = names[[c.lower() for c in docs.columns].index("text")]
+    others = [n for n in names if n != of_text]
+    plain = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in zip(docs.columns, names, strict=True) if n != of_text), *(docs[f"`{c}`"].alias(c) for c in ("doc_id", "text")))
+    found = contamination(plain, items, keep=others, keep_text=of_text, min_items=min_items, **options).where("not contaminated")
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

@@ -312,6 +312,23 @@ def test_sets_of_long_unlike_texts_are_not_compared(spark, monkeypatch):
     assert kept == list(range(12)) and len(compared) == 2 and sum(compared) <= 3
 
 
+def test_clean_carries_the_text_once(spark, monkeypatch):
+    rows = [(1, "one two three", 7), (2, None, 8), (3, "a plain text", 9), (None, "four FIVE", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, Text string, n long")
+    items = spark.createDataFrame([("x", "two three"), ("y", "four five")], "item_id string, text string")
+    seen, search = [], decontaminate._search
+
+    def counted(docs, *args):
+        seen.append([t for _, t in docs.dtypes].count("string"))
+        return search(docs, *args)
+
+    monkeypatch.setattr(decontaminate, "_search", counted)
+    for blocks in (20_000, 1):
+        out = decontaminate.clean(docs, items, block_items=blocks)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == rows[1:3]
+    assert seen == [1] * 4
+
+
 def test_few_keys_are_broadcast_and_more_are_not(spark):
     rows, keys = spark.range(1000).toDF("k"), spark.range(10).toDF("k")
     for how, want in (("left_semi", 10), ("left_anti", 990)):
