@@ -72,10 +72,24 @@ def r(c: Column | str, digits: int = DIGITS) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + 0.0
 
 
-def rounded(x: Field | DataFrame, digits: int = DIGITS) -> DataFrame:
+def r_scaled(c: str, digits: int = DIGITS) -> Column:
+    """As DuckDB rounds: the scaled double, halves away from zero.
+
+    ``F.round`` goes by the decimals that a double prints as and so takes another way
+    where they end in a five; for columns whose doubles are the same in both engines.
+    """
+    scale = 10.0**digits
+    y = F.col(c) * scale
+    whole = F.floor(F.abs(y))
+    half_up = whole + F.when(F.abs(y) - whole >= 0.5, 1).otherwise(0)
+    # beyond 2^52 every double is whole
+    return F.when(F.abs(y) < 2.0**52, F.signum(y) * half_up).otherwise(y) / scale + 0.0
+
+
+def rounded(x: Field | DataFrame, digits: int = DIGITS, by: Callable[..., Column] = r) -> DataFrame:
     """All double columns rounded."""
     df = x.df.select(*x.dims, x.value) if isinstance(x, Field) else x
-    return df.select(*(r(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+    return df.select(*(by(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
 def users(spark: SparkSession, sf_dir: str) -> Field:

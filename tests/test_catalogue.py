@@ -92,3 +92,25 @@ def test_linetrack_takes_every_crossing_of_every_user(spark):
         got = sorted((r.stretch, r.track, r.x0) for r in rows if r.user_id == user)
         assert [g[:2] for g in got] == [w[:2] for w in want]
         assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-6)
+
+
+# two equal lowest or highest points; places and values whose decimals end in a five, or nearly
+SERIES = ([5, 1, 1, 4, 2, 3], [1, 6, 6, 2, 3], [6.28, 1.39, 8.02], [53.09, 2.79, 1.46, 25.73], [2.7, 19.93, 18.4, 51.43], [6.14, 43.76, 25.06, 23.17], [14.26, 120.85, 67.44, 95.89])
+
+
+def extrema_twin(spark, folder, name):
+    """Rows of the query and of its SQL over ``SERIES``."""
+    rows = [(i, t, float(v)) for i, vs in enumerate(SERIES) for t, v in enumerate(vs)]
+    con = duckdb.connect()
+    con.execute("create table events (event_id bigint, ts timestamp, user_id bigint, event_type varchar, value double, props varchar)")
+    con.executemany("insert into events values (?, timestamp '2024-01-01' + to_minutes(?), ?, 'view', ?, null)", [(100 * u + t, t, u, v) for u, t, v in rows])
+    con.execute(f"copy events to '{folder}/events.parquet' (format parquet)")
+    df = QUERIES[name](spark, str(folder))
+    columns = sorted(df.columns)
+    return ordered(df.select(*columns).collect()), ordered(con.sql(f"select {', '.join(columns)} from ({ORACLE_SQL[name]})").fetchall())
+
+
+@pytest.mark.parametrize("name", ["global_max", "global_min"])
+def test_global_extrema_agree_with_sql_on_flat_and_half_way_points(spark, tmp_path, name):
+    got, want = extrema_twin(spark, tmp_path, name)
+    assert got == want and len(got) == len(SERIES)

@@ -180,6 +180,13 @@ def test_crossings(spark):
     assert features.find(one(spark, [0, 1, 2, 3], [-1, 0, 0, 1]), "x").count() == 0
 
 
+def test_flat_extrema_are_left_out_only_on_demand(spark):
+    top = one(spark, [0, 1, 2, 3, 4, 5], [1, 6, 6, 2, 4, 3])
+    assert [(r.track, r.x0, r.y0) for r in features.local_extrema(top, "x").orderBy("x0").collect()][0] == (0, 1.5, 6.0)
+    assert [r.track for r in features.local_extrema(top, "x", flat=False).collect()] == [0]
+    assert features.global_extremum(top, "x").first().y0 == 6.0 > features.global_extremum(top, "x", flat=False).first().y0
+
+
 def test_pole_rows(spark):
     lat = [-90.0, -45.0, 0.0, 45.0, 90.0]
     f = Field.of(spark.createDataFrame([(x, math.sin(math.radians(x))) for x in lat], "lat double, v double"), ("lat",))
